@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,26 +13,28 @@ ROWS_PER_TASK = 8_000_000
 BROADCAST_ROWS = 500_000
 
 
-def _checkpoint_ready(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; locally a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+    if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="lacuna-checkpoint-")
-    sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lacuna-"))
+    return sc.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute now and keep the rows in the shared checkpoint folder.
+    """Compute now, as a table in the shared folder, and continue from there.
 
-    Later jobs read them from there, so they neither repeat the work nor lose
-    it together with an executor.
+    Later jobs neither repeat the work nor lose it together with an executor.
     """
-    _checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark).rstrip('/')}/lacuna-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:

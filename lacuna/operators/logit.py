@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,40 +15,42 @@ from pyspark.sql import types as T
 from lacuna.functions import cell_code
 from lacuna.study import DEFAULT_DESIGN, Design
 
+# Executors get the fit by value, so they need numpy but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_STEPS = 50
 TOLERANCE = 1e-10
 DIVERGED = 40.0
 
 
-def _indicators(design: Design) -> np.ndarray:
-    """Cells x (intercept and every factor level)."""
-    terms = design.terms()
-    x = np.zeros((design.n_cells, 1 + len(terms)))
+def _indicators(design: Design) -> tuple[np.ndarray, list[list[int]]]:
+    """Cells x (intercept and every factor level), and each factor's columns."""
+    x = np.zeros((design.n_cells, 1 + len(design.terms())))
     x[:, 0] = 1
     for cell in range(design.n_cells):
         for factor, level in zip(design.factors, design.cell_levels(cell)):
             x[cell, design.position(factor.name, level)] = 1
-    return x
+    groups = [[design.position(f.name, v) for v in f.levels] for f in design.factors]
+    return x, groups
 
 
-def _fit_batch(design: Design, n: np.ndarray, r: np.ndarray):
+def newton_fit(x: np.ndarray, groups: list[list[int]], n: np.ndarray, r: np.ndarray):
     """Coefficients (rows x terms) and convergence flags by Newton steps.
 
     The first level present is the base with coefficient 0; absent levels get
     NaN, and so does every term of a fit without a finite maximum.
     """
-    x = _indicators(design)
     present = (n @ x) > 0
     free = present.copy()
-    for factor in design.factors:
-        at = [design.position(factor.name, level) for level in factor.levels]
-        base = present[:, at].argmax(axis=1)
-        free[np.arange(len(n)), np.array(at)[base]] = False
+    for columns in groups:
+        base = present[:, columns].argmax(axis=1)
+        free[np.arange(len(n)), np.array(columns)[base]] = False
+    diagonal = np.arange(x.shape[1])
 
     def curvature(weight, active):
         h = np.einsum("bc,ci,cj->bij", weight, x, x)
         h *= active[:, :, None] & active[:, None, :]
-        h[:, np.arange(x.shape[1]), np.arange(x.shape[1])] += ~active
+        h[:, diagonal, diagonal] += ~active
         return h
 
     theta = np.zeros(free.shape)
@@ -56,10 +60,8 @@ def _fit_batch(design: Design, n: np.ndarray, r: np.ndarray):
     one_sided = present & ((margin_r == 0) | (margin_r == margin_n))
     todo = (total > 0) & ~one_sided.any(axis=1)
     if todo.any():
-        rank = np.linalg.matrix_rank(
-            curvature((n > 0).astype(float), free), hermitian=True
-        )
-        todo &= rank == x.shape[1]
+        occupied = curvature((n > 0).astype(float), free)
+        todo &= np.linalg.matrix_rank(occupied, hermitian=True) == x.shape[1]
     theta[todo, 0] = np.log((hits[todo] + 0.5) / (total[todo] - hits[todo] + 0.5))
     converged = np.zeros(len(n), dtype=bool)
     for _ in range(MAX_STEPS):
@@ -115,12 +117,14 @@ def fit_coded(
         ]
     )
 
+    x, groups = _indicators(design)
+
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            coef, converged = _fit_batch(
-                design, batch[n_cols].to_numpy(float), batch[r_cols].to_numpy(float)
+            coef, converged = newton_fit(
+                x, groups, batch[n_cols].to_numpy(float), batch[r_cols].to_numpy(float)
             )
             out = batch[by].copy()
             out["coef"] = list(coef)

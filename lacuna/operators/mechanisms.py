@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import attach_small, draw_key, settle, tasks_for
 from lacuna.operators.profile import poor_before
-from lacuna.operators.sampling import draw_cuts, is_drawn
+from lacuna.operators.sampling import PoolClass, draw_cuts, is_drawn
 from lacuna.study import DEFAULT_STUDY, MarRates, Study
 
 MCAR_DRAW = 0
@@ -86,9 +86,8 @@ def mcar_draws(
         rows,
         ["replicate"],
         key,
-        F.array(*map(F.lit, rates)),
-        rates,
-        n_universe,
+        [F.lit(p) for p in rates],
+        [PoolClass(tuple(rates), n_universe)],
         len(seeds),
     )
     per_rate = []
@@ -96,7 +95,7 @@ def mcar_draws(
         at = F.col("rate") == p
         for name in ("cut_key", "cut_id", "pool", "taken"):
             per_rate.append(F.max(F.when(at, F.col(name))).alias(f"{name}_{i}"))
-    return Draws(settle(cuts.groupBy("replicate").agg(*per_rate)), seeds, 1)
+    return Draws(cuts.groupBy("replicate").agg(*per_rate), seeds, 1)
 
 
 def mark_level(rows: DataFrame, draws: Draws, rates: Sequence[float]) -> DataFrame:
@@ -140,21 +139,23 @@ def _pool(visit: int) -> Column:
 
 def _leave(rows: DataFrame, visit: int, scenarios: int) -> DataFrame:
     """Apply the dropout step of one visit, given its cuts as columns."""
-    key = draw_key(F.col("SUBJID"), seed_of(scenarios), visit)
-
-    def drawn(pool):
-        return is_drawn(
-            key,
-            F.col("SUBJID"),
-            F.col(f"cut_key_{visit}_{pool}"),
-            F.col(f"cut_id_{visit}_{pool}"),
-        )
+    pool = F.col("_pool")
+
+    def cut(name):
+        high, low = (F.col(f"{name}_{visit}_{p}") for p in (HIGH, LOW))
+        return F.when(pool, high).when(~pool, low)
 
-    pool = _pool(visit)
-    leaves = F.when(pool, drawn(HIGH)).when(~pool, drawn(LOW))
-    return rows.withColumn(
-        "dropout_visit",
-        F.coalesce(F.col("dropout_visit"), F.when(leaves, F.lit(visit))),
+    leaves = is_drawn(F.col("_key"), F.col("SUBJID"), F.col("_cut_key"), F.col("_cut_id"))
+    return (
+        rows.withColumns(
+            {"_pool": _pool(visit), "_key": draw_key(F.col("SUBJID"), seed_of(scenarios), visit)}
+        )
+        .withColumns({"_cut_key": cut("cut_key"), "_cut_id": cut("cut_id")})
+        .withColumn(
+            "dropout_visit",
+            F.coalesce(F.col("dropout_visit"), F.when(leaves, F.lit(visit))),
+        )
+        .drop("_pool", "_key", "_cut_key", "_cut_id")
     )
 
 
@@ -177,9 +178,19 @@ def _by_scenario(values: Sequence[float], scenarios: int) -> Column:
     return F.element_at(rates, scenario_of(scenarios) + 1)
 
 
+def _pool_hints(subjects, rates, study) -> dict[int, tuple[int, int]]:
+    """Rough (poor, other) pool sizes per dropout visit, a little on the low side."""
+    poor = [F.count_if(F.col(poor_before(v))) for v in study.dropout_visits]
+    counts = subjects.agg(F.count_if(F.col("in_universe")), *poor).first()
+    stay, hints = 1.0, {}
+    for visit, n_poor in zip(study.dropout_visits, counts[1:]):
+        hints[visit] = (int(n_poor * stay), max(counts[0] - n_poor, 0))
+        stay *= 1 - max(max(r.high, r.low) for r in rates)
+    return hints
+
+
 def mar_draws(
     profile: DataFrame,
-    n_universe: int,
     seeds: Sequence[int],
     rates: Sequence[MarRates],
     study: Study = DEFAULT_STUDY,
@@ -193,24 +204,23 @@ def mar_draws(
     n_replicates = len(seeds) * s
     needed = ["SUBJID", "in_universe", *map(poor_before, study.dropout_visits)]
     subjects = profile.select(*needed)
-    cuts = None
+    cuts, hints = None, _pool_hints(subjects, rates, study)
     high, low = [r.high for r in rates], [r.low for r in rates]
     for i, visit in enumerate(study.dropout_visits):
         rows = (
             _dropout(subjects, cuts, study.dropout_visits[:i], seeds, s)
             .withColumn("is_high", _pool(visit))
-            .filter(F.col("is_high").isNotNull())
             .select("SUBJID", "replicate", "is_high")
         )
         found = draw_cuts(
             rows,
             ["replicate", "is_high"],
             draw_key(F.col("SUBJID"), seed_of(s), visit),
-            F.array(
-                F.when(F.col("is_high"), _by_scenario(high, s)).otherwise(_by_scenario(low, s))
-            ),
-            [*high, *low],
-            max(n_universe // 4, 1),
+            [F.when(F.col("is_high"), _by_scenario(high, s)).otherwise(_by_scenario(low, s))],
+            [
+                PoolClass(tuple(high), hints[visit][0], F.col("is_high")),
+                PoolClass(tuple(low), hints[visit][1]),
+            ],
             2 * n_replicates,
         )
         columns = []

@@ -15,6 +15,8 @@ always exact.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,13 +25,22 @@ from lacuna.functions import attach_small, sample_size, settle
 
 KEY_MIN = -(2**63)
 KEY_SPAN = 2**64
-FIRST_WIDTH = 10.0
+FIRST_WIDTH = 5.0
 WIDEN = 8.0
 
 
-def _bands(rates, pool_hint: int, width: float) -> list[tuple[int, int]]:
+@dataclass(frozen=True)
+class PoolClass:
+    """Groups sampled alike: which rows they are, their rates and expected size."""
+
+    rates: tuple[float, ...]
+    size_hint: int
+    where: Column | None = None
+
+
+def _bands(rates, size_hint: int, width: float) -> list[tuple[int, int]]:
     """Key intervals [low, high) around the quantiles, merged where they meet."""
-    n = max(pool_hint, 1)
+    n = max(size_hint, 1)
     bands: list[tuple[int, int]] = []
     for p in sorted(set(rates)):
         half = width * math.sqrt(p * (1 - p) / n) + width / n
@@ -58,8 +69,17 @@ def _slot(key: Column, bands: list[tuple[int, int]]) -> tuple[Column, Column]:
     return position.otherwise(F.lit(gap)), exact.otherwise(F.lit(False))
 
 
-def _search(rows, by, key, id_col, rates, bands) -> DataFrame:
-    position, exact = _slot(F.col("_key"), bands)
+def _slots(key: Column, classes: Sequence[PoolClass], width: float) -> tuple[Column, Column]:
+    parts = [(c.where, *_slot(key, _bands(c.rates, c.size_hint, width))) for c in classes]
+    _, position, exact = parts[-1]
+    for where, p, e in reversed(parts[:-1]):
+        position = F.when(where, p).otherwise(position)
+        exact = F.when(where, e).otherwise(exact)
+    return position, exact
+
+
+def _search(rows, by, key, id_col, rates, classes, width) -> DataFrame:
+    position, exact = _slots(F.col("_key"), classes, width)
     counted = (
         rows.withColumn("_key", key)
         .select(
@@ -77,19 +97,25 @@ def _search(rows, by, key, id_col, rates, bands) -> DataFrame:
     ranked = counted.withColumns(
         {"_upto": F.sum("_n").over(so_far), "pool": F.sum("_n").over(group)}
     )
-    wanted = ranked.select("*", F.explode(rates).alias("rate")).withColumn(
-        "taken", F.least(sample_size(F.col("rate"), F.col("pool")), F.col("pool"))
-    )
-    empty = F.col("taken") <= 0
     first = F.col("_upto") == F.col("_n")
-    holds = (F.col("_upto") >= F.col("taken")) & (
-        F.col("_upto") - F.col("_n") < F.col("taken")
-    )
-    return wanted.filter(F.when(empty, first).otherwise(holds)).select(
+    hits = []
+    for rate in rates:
+        taken = F.least(sample_size(rate, F.col("pool")), F.col("pool"))
+        inside = (F.col("_upto") >= taken) & (F.col("_upto") - F.col("_n") < taken)
+        hits.append(
+            F.when(
+                F.when(taken <= 0, first).otherwise(inside),
+                F.struct(rate.alias("rate"), taken.alias("taken")),
+            )
+        )
+    hit = F.coalesce(*hits).isNotNull()
+    wanted = ranked.filter(hit).select("*", F.explode(F.array_compact(F.array(*hits))).alias("_hit"))
+    empty = F.col("_hit.taken") <= 0
+    return wanted.select(
         *by,
-        "rate",
+        "_hit.rate",
         "pool",
-        "taken",
+        "_hit.taken",
         (empty | F.col("cut_id").isNotNull()).alias("_found"),
         F.when(~empty, F.col("cut_key")).alias("cut_key"),
         F.when(~empty, F.col("cut_id")).alias("cut_id"),
@@ -100,24 +126,22 @@ def draw_cuts(
     rows: DataFrame,
     by: list[str],
     key: Column,
-    rates: Column,
-    rate_values: list[float],
-    pool_hint: int,
+    rates: Sequence[Column],
+    classes: Sequence[PoolClass],
     max_groups: int,
     id_col: str = "SUBJID",
 ) -> DataFrame:
     """The last key drawn from each group, at each of its rates.
 
-    ``rates`` gives a group's sampling rates as an array over the ``by`` columns
-    and ``rate_values`` every rate that can occur in it; ``pool_hint`` is the
-    expected group size and ``max_groups`` a bound on the number of groups.
+    ``rates`` are a group's sampling rates, as expressions over the ``by`` columns.
+    ``classes`` tell where to look first; wrong size hints cost time, not
+    exactness. ``max_groups`` bounds the number of groups.
     Returns ``by``, ``rate``, ``pool``, ``taken``, ``cut_key``, ``cut_id``; both cut
     columns are null where nothing is drawn.
     """
     todo, width, found = rows, FIRST_WIDTH, None
     while True:
-        bands = _bands(rate_values, pool_hint, width)
-        cuts = settle(_search(todo, by, key, id_col, rates, bands))
+        cuts = settle(_search(todo, by, key, id_col, rates, classes, width))
         missed = cuts.filter(~F.col("_found"))
         if missed.isEmpty():
             return (cuts if found is None else found.unionByName(cuts)).drop("_found")
@@ -143,13 +167,19 @@ def sample_exact(
     by: list[str],
     key: Column,
     rate: float,
-    pool_hint: int,
+    size_hint: int,
     max_groups: int,
     id_col: str = "SUBJID",
 ) -> DataFrame:
     """Rows of an exact-size sample without replacement from every group."""
     cuts = draw_cuts(
-        rows, by, key, F.array(F.lit(float(rate))), [rate], pool_hint, max_groups, id_col
+        rows,
+        by,
+        key,
+        [F.lit(float(rate))],
+        [PoolClass((rate,), size_hint)],
+        max_groups,
+        id_col,
     ).select(*by, "cut_key", "cut_id")
     drawn = is_drawn(key, F.col(id_col), F.col("cut_key"), F.col("cut_id"))
     return attach_small(rows, cuts, by, max_groups).filter(drawn).drop("cut_key", "cut_id")

@@ -141,7 +141,7 @@ def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
         n,
         len(seeds) * s,
     )
-    draws = mar_draws(profile, n, seeds, rates, study)
+    draws = mar_draws(profile, seeds, rates, study)
     fitted = profile.filter(F.col("has_row") & F.col("cell").isNotNull())
     marked = mark_dropout(fitted, draws, study)
     # A response that was null all along is handled like one masked by dropout.

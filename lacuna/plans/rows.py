@@ -93,8 +93,7 @@ def mar_setup(
         "SUBJID", "in_universe", *map(poor_before, study.dropout_visits)
     )
     pools = settle(pools)
-    n = pools.filter("in_universe").count()
-    return pools, mar_draws(pools, n, seeds, rates, study)
+    return pools, mar_draws(pools, seeds, rates, study)
 
 
 def mar_dropout(
