@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import settle
+from lacuna.functions import sample_size, settle
 from lacuna.operators.analysis import (
     last_observed,
     parameter_rows,
@@ -25,7 +25,7 @@ from lacuna.operators.mechanisms import (
     seed_of,
 )
 from lacuna.operators.profile import poor_before, subject_profile
-from lacuna.sources.tables import subject_universe
+from lacuna.sources.tables import scenario_grid, subject_universe
 from lacuna.study import DEFAULT_STUDY, MarRates, Study, mcar_label
 
 
@@ -149,3 +149,33 @@ def mar_rows(
         )
         .drop("replicate", "in_universe", *map(poor_before, study.dropout_visits))
     )
+
+
+def scenario_sizes(
+    responses: DataFrame,
+    subjects: DataFrame,
+    mcar: Sequence[float],
+    mar: Sequence[MarRates],
+    study: Study = DEFAULT_STUDY,
+) -> DataFrame:
+    """The scenario grid with the number of subjects each scenario draws first.
+
+    MAR pools are those of the first dropout visit, which no draw has changed yet.
+    """
+    grid = scenario_grid(subjects.sparkSession, mcar, mar)
+    poor = F.col(poor_before(study.dropout_visits[0]))
+    sizes = subject_profile(responses, subjects, study).agg(
+        F.count_if("in_universe").alias("n_subjects"),
+        F.count_if(poor).alias("n_high"),
+        F.count_if(F.col("in_universe") & ~poor).alias("n_low"),
+    )
+    scenarios = [
+        F.struct(*[F.lit(row[c]).cast(t).alias(c) for c, t in grid.dtypes]) for row in grid.collect()
+    ]
+    return sizes.select("*", F.inline(F.array(*scenarios))).select(
+        *grid.columns,
+        "n_subjects",
+        sample_size(F.col("p"), F.col("n_subjects")).alias("n_drawn"),
+        sample_size(F.col("p_high"), F.col("n_high")).alias("n_drawn_high"),
+        sample_size(F.col("p_low"), F.col("n_low")).alias("n_drawn_low"),
+    )
