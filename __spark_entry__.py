@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
-from lacuna.functions import draw_key, pick, settle  # noqa: E402
+from lacuna.functions import draw_key, pick, settle_counting  # noqa: E402
 from lacuna.operators import (  # noqa: E402
     analysis_set,
     complete_case,
@@ -74,10 +74,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _mcar_sample(spark, sf_dir):
-    universe = settle(subject_universe(trial_tables(spark, sf_dir)[1]))
+    universe, seen = settle_counting(
+        subject_universe(trial_tables(spark, sf_dir)[1]), n=F.count(F.lit(1))
+    )
     rows = expand(universe, ROW_SEEDS).withColumnRenamed("replicate", "seed")
     key = draw_key(F.col("SUBJID"), F.col("seed"), MCAR_DRAW)
-    return sample_exact(rows, ["seed"], key, RATE, universe.count(), len(ROW_SEEDS)).select(
+    return sample_exact(rows, ["seed"], key, RATE, seen["n"], len(ROW_SEEDS)).select(
         "seed", "SUBJID"
     )
 

@@ -6,7 +6,7 @@ from lacuna.functions.columns import (
     sample_size,
     standard_normal_quantile,
 )
-from lacuna.functions.staging import attach_small, settle, tasks_for
+from lacuna.functions.staging import attach_small, settle, settle_counting, tasks_for
 
 __all__ = [
     "attach_small",
@@ -16,6 +16,7 @@ __all__ = [
     "poor_response",
     "sample_size",
     "settle",
+    "settle_counting",
     "standard_normal_quantile",
     "tasks_for",
 ]

@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 8_000_000
@@ -26,15 +26,24 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """Compute now, as a table in the shared folder, and continue from there.
 
     Later jobs neither repeat the work nor lose it together with an executor.
+    ``counts`` are aggregates taken along the way, without another pass.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark).rstrip('/')}/lacuna-{uuid.uuid4().hex}"
+    schema, seen = df.schema, None
+    if counts:
+        seen = Observation()
+        df = df.observe(seen, *[c.alias(name) for name, c in counts.items()])
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), dict(seen.get) if counts else {}
+
+
+def settle(df: DataFrame) -> DataFrame:
+    return settle_counting(df)[0]
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:

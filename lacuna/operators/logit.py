@@ -100,9 +100,7 @@ def fit_coded(
     by = list(by)
     size = design.n_cells
     counts = [
-        F.coalesce(F.sum(F.when(F.col("cell") == i, F.col(c))), F.lit(0))
-        .cast("double")
-        .alias(f"_{c}{i}")
+        F.expr(f"double(sum(if(cell = {i}, {c}, 0L))) as _{c}{i}")
         for c in ("n", "r")
         for i in range(size)
     ]

@@ -13,12 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import attach_small, draw_key, settle, tasks_for
+from lacuna.functions import attach_small, draw_key, settle, settle_counting, tasks_for
 from lacuna.operators.profile import poor_before
 from lacuna.operators.sampling import PoolClass, draw_cuts, is_drawn
 from lacuna.study import DEFAULT_STUDY, MarRates, Study
 
 MCAR_DRAW = 0
+CUT_COLUMNS = ("cut_key", "cut_id", "pool", "taken")
 MASKED = ("AVAL", "PCHG", "PCHGCA1N")
 
 
@@ -62,10 +63,10 @@ def scenario_of(scenarios: int) -> Column:
     return F.pmod(F.col("replicate"), F.lit(scenarios)).cast("int")
 
 
-def spread(profile: DataFrame, n_rows: int, n_replicates: int) -> DataFrame:
-    """Keep a profile in as many partitions as its expanded scan needs."""
+def spread(profile: DataFrame, n_rows: int, n_replicates: int, **counts: Column):
+    """Keep a profile in as many partitions as its expanded scan needs, and count."""
     n = tasks_for(profile.sparkSession, n_rows * n_replicates)
-    return settle(profile.repartition(n, "SUBJID"))
+    return settle_counting(profile.repartition(n, "SUBJID"), **counts)
 
 
 # --- missing completely at random -------------------------------------------
@@ -90,11 +91,11 @@ def mcar_draws(
         [PoolClass(tuple(rates), n_universe)],
         len(seeds),
     )
-    per_rate = []
-    for i, p in enumerate(rates, 1):
-        at = F.col("rate") == p
-        for name in ("cut_key", "cut_id", "pool", "taken"):
-            per_rate.append(F.max(F.when(at, F.col(name))).alias(f"{name}_{i}"))
+    per_rate = [
+        F.expr(f"max(if(rate = double({p}), {name}, null)) as {name}_{i}")
+        for i, p in enumerate(rates, 1)
+        for name in CUT_COLUMNS
+    ]
     return Draws(cuts.groupBy("replicate").agg(*per_rate), seeds, 1)
 
 
@@ -127,48 +128,38 @@ def mark_level(rows: DataFrame, draws: Draws, rates: Sequence[float]) -> DataFra
 HIGH, LOW = "high", "low"
 
 
-def _pool(visit: int) -> Column:
-    """True: poor responder, false: everybody else, null: in neither pool.
-
-    The previous visit of a subject that has already left is masked, so such a
-    subject counts as everybody else.
-    """
-    poor = F.col(poor_before(visit)) & F.col("dropout_visit").isNull()
-    return F.when(poor, True).when(F.col("in_universe"), False)
-
-
-def _leave(rows: DataFrame, visit: int, scenarios: int) -> DataFrame:
-    """Apply the dropout step of one visit, given its cuts as columns."""
-    pool = F.col("_pool")
+def _leaves(visit: int, scenarios: int) -> Column:
+    """Whether the step of a visit draws the subject, provided it is still there."""
+    poor = F.col(poor_before(visit))
 
     def cut(name):
-        high, low = (F.col(f"{name}_{visit}_{p}") for p in (HIGH, LOW))
-        return F.when(pool, high).when(~pool, low)
+        high, low = (F.col(f"{name}_{visit}_{pool}") for pool in (HIGH, LOW))
+        return F.when(poor, high).otherwise(low)
 
-    leaves = is_drawn(F.col("_key"), F.col("SUBJID"), F.col("_cut_key"), F.col("_cut_id"))
-    return (
-        rows.withColumns(
-            {"_pool": _pool(visit), "_key": draw_key(F.col("SUBJID"), seed_of(scenarios), visit)}
-        )
-        .withColumns({"_cut_key": cut("cut_key"), "_cut_id": cut("cut_id")})
-        .withColumn(
-            "dropout_visit",
-            F.coalesce(F.col("dropout_visit"), F.when(leaves, F.lit(visit))),
-        )
-        .drop("_pool", "_key", "_cut_key", "_cut_id")
-    )
+    key = draw_key(F.col("SUBJID"), seed_of(scenarios), visit)
+    drawn = is_drawn(key, F.col("SUBJID"), cut("cut_key"), cut("cut_id"))
+    return (poor | F.col("in_universe")) & drawn
 
 
 def _dropout(rows, cuts, visits, seeds, scenarios):
     """Expanded rows with the dropout visit after the given steps."""
     out = expand(rows, seeds, scenarios)
-    if cuts is not None:
-        keep = [c for c in cuts.columns if not c.startswith(("pool", "taken"))]
-        out = attach_small(out, cuts.select(*keep), "replicate", len(seeds) * scenarios)
-    out = out.withColumn("dropout_visit", F.lit(None).cast("int"))
-    for visit in visits:
-        out = _leave(out, visit, scenarios)
-    return out
+    if not visits:
+        return out.withColumn("dropout_visit", F.lit(None).cast("int"))
+    keep = [c for c in cuts.columns if not c.startswith(("pool", "taken"))]
+    out = attach_small(out, cuts.select(*keep), "replicate", len(seeds) * scenarios)
+    steps = [F.when(_leaves(v, scenarios), F.lit(v)) for v in visits]
+    return out.withColumn("dropout_visit", F.coalesce(*steps))
+
+
+def _pool(visit: int) -> Column:
+    """True: poor responder, false: everybody else, null: in neither pool.
+
+    The previous visit of a subject that has already left is masked, so such a
+    subject counts as everybody else.
+    """
+    poor = F.col(poor_before(visit)) & F.col("dropout_visit").isNull()
+    return F.when(poor, True).when(F.col("in_universe"), False)
 
 
 def _by_scenario(values: Sequence[float], scenarios: int) -> Column:
@@ -178,33 +169,39 @@ def _by_scenario(values: Sequence[float], scenarios: int) -> Column:
     return F.element_at(rates, scenario_of(scenarios) + 1)
 
 
-def _pool_hints(subjects, rates, study) -> dict[int, tuple[int, int]]:
+def pool_counts(study: Study = DEFAULT_STUDY) -> dict[str, Column]:
+    """Aggregates over a profile from which first pool sizes are guessed."""
+    poor = [poor_before(v) for v in study.dropout_visits]
+    return {c: F.count_if(F.col(c)) for c in ("in_universe", *poor)}
+
+
+def _pool_hints(counts, rates, study) -> dict[int, tuple[int, int]]:
     """Rough (poor, other) pool sizes per dropout visit, a little on the low side."""
-    poor = [F.count_if(F.col(poor_before(v))) for v in study.dropout_visits]
-    counts = subjects.agg(F.count_if(F.col("in_universe")), *poor).first()
     stay, hints = 1.0, {}
-    for visit, n_poor in zip(study.dropout_visits, counts[1:]):
-        hints[visit] = (int(n_poor * stay), max(counts[0] - n_poor, 0))
+    for visit in study.dropout_visits:
+        n_poor = counts[poor_before(visit)]
+        hints[visit] = (int(n_poor * stay), max(counts["in_universe"] - n_poor, 0))
         stay *= 1 - max(max(r.high, r.low) for r in rates)
     return hints
 
 
 def mar_draws(
     profile: DataFrame,
+    counts: dict[str, int],
     seeds: Sequence[int],
     rates: Sequence[MarRates],
     study: Study = DEFAULT_STUDY,
 ) -> Draws:
     """Samples of both pools at every dropout visit, each step knowing the last.
 
-    Steps depend on each other within a replicate, so visits are worked through
+    ``counts`` are the values of ``pool_counts`` for the profile. Steps depend on each other within a replicate, so visits are worked through
     in turn, all replicates at once.
     """
     s = len(rates)
     n_replicates = len(seeds) * s
     needed = ["SUBJID", "in_universe", *map(poor_before, study.dropout_visits)]
     subjects = profile.select(*needed)
-    cuts, hints = None, _pool_hints(subjects, rates, study)
+    cuts, hints = None, _pool_hints(counts, rates, study)
     high, low = [r.high for r in rates], [r.low for r in rates]
     for i, visit in enumerate(study.dropout_visits):
         rows = (
@@ -224,12 +221,12 @@ def mar_draws(
             2 * n_replicates,
         )
         columns = []
-        for pool, at in ((HIGH, F.col("is_high")), (LOW, ~F.col("is_high"))):
-            for name in ("cut_key", "cut_id", "pool", "taken"):
-                value = F.max(F.when(at, F.col(name)))
+        for pool, at in ((HIGH, "is_high"), (LOW, "not is_high")):
+            for name in CUT_COLUMNS:
+                value = f"max(if({at}, {name}, null))"
                 if name in ("pool", "taken"):
-                    value = F.coalesce(value, F.lit(0).cast("long"))
-                columns.append(value.alias(f"{name}_{visit}_{pool}"))
+                    value = f"coalesce({value}, 0L)"
+                columns.append(F.expr(f"{value} as {name}_{visit}_{pool}"))
         step = found.groupBy("replicate").agg(*columns)
         cuts = settle(step if cuts is None else cuts.join(step, "replicate", "full"))
     return Draws(cuts, seeds, s)

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions import attach_small, sample_size, settle
+from lacuna.functions import attach_small, sample_size, settle, settle_counting
 
 KEY_MIN = -(2**63)
 KEY_SPAN = 2**64
@@ -141,11 +141,13 @@ def draw_cuts(
     """
     todo, width, found = rows, FIRST_WIDTH, None
     while True:
-        cuts = settle(_search(todo, by, key, id_col, rates, classes, width))
-        missed = cuts.filter(~F.col("_found"))
-        if missed.isEmpty():
+        cuts, seen = settle_counting(
+            _search(todo, by, key, id_col, rates, classes, width),
+            missed=F.count_if(~F.col("_found")),
+        )
+        if not seen["missed"]:
             return (cuts if found is None else found.unionByName(cuts)).drop("_found")
-        again = settle(missed.select(*by).distinct())
+        again = settle(cuts.filter(~F.col("_found")).select(*by).distinct())
         resolved = cuts.join(again, by, "left_anti")
         found = resolved if found is None else found.unionByName(resolved)
         todo = attach_small(

@@ -23,6 +23,7 @@ from lacuna.operators.mechanisms import (
     mark_dropout,
     mark_level,
     mcar_draws,
+    pool_counts,
     scenario_of,
     seed_of,
     spread,
@@ -72,8 +73,8 @@ def _fold(marked: DataFrame, by: list[str], lag: Column) -> DataFrame:
 
 
 def _by_strategy(counts: DataFrame, missing: Column, keep: Sequence[str]) -> DataFrame:
-    """Cells of the three strategies; a missing subject is dropped, set to no
-    response, or given its earlier one."""
+    """Cells of the three strategies, in parts that add up; a missing subject is
+    dropped, set to no response, or given its earlier one."""
     zero = F.lit(0).cast("long")
 
     def part(strategy, n, r):
@@ -88,18 +89,13 @@ def _by_strategy(counts: DataFrame, missing: Column, keep: Sequence[str]) -> Dat
         part(STRATEGIES[1], F.col("rows"), zero),
         part(STRATEGIES[2], F.col("carried_n"), F.col("carried_r")),
     )
-    return (
-        counts.select(*keep, "cell", F.inline(parts))
-        .groupBy(*keep, "strategy", "cell")
-        .agg(F.sum("n").alias("n"), F.sum(F.coalesce("r", zero)).alias("r"))
-        .filter(F.col("n") > 0)
-    )
+    return counts.select(*keep, "cell", F.inline(parts)).filter(F.col("n") > 0)
 
 
 def _mcar_coded(responses, subjects, seeds, rates, study) -> DataFrame:
     rates = sorted(map(float, rates))
     n = subjects.count()
-    profile = spread(
+    profile, _ = spread(
         subject_profile(responses, subjects, study).select(
             "SUBJID", "in_universe", "has_row", "y", "lag", "cell"
         ),
@@ -136,12 +132,13 @@ def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
         carries = ["seen", *[f"seen_{v}" for v in study.dropout_visits]]
     else:
         raise ValueError(f"unknown mode: {locf}")
-    profile = spread(
+    profile, sizes = spread(
         profile.select("SUBJID", "in_universe", *poor, "has_row", "y", *carries, "cell"),
         n,
         len(seeds) * s,
+        **pool_counts(study),
     )
-    draws = mar_draws(profile, seeds, rates, study)
+    draws = mar_draws(profile, sizes, seeds, rates, study)
     fitted = profile.filter(F.col("has_row") & F.col("cell").isNotNull())
     marked = mark_dropout(fitted, draws, study)
     # A response that was null all along is handled like one masked by dropout.
@@ -157,7 +154,8 @@ def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
 
 
 def _labelled(coded: DataFrame, study: Study) -> DataFrame:
-    return coded.select(*KEYS, *cell_label(study.design, F.col("cell")), "n", "r")
+    cells = coded.groupBy(*KEYS, "cell").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
+    return cells.select(*KEYS, *cell_label(study.design, F.col("cell")), "n", "r")
 
 
 def mcar_cells(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import sample_size, settle
+from lacuna.functions import sample_size, settle_counting
 from lacuna.operators.analysis import (
     last_observed,
     parameter_rows,
@@ -21,6 +21,7 @@ from lacuna.operators.mechanisms import (
     mark_level,
     mask_from,
     mcar_draws,
+    pool_counts,
     scenario_of,
     seed_of,
 )
@@ -41,8 +42,8 @@ def mcar_sample(
 ) -> DataFrame:
     """Drawn subjects with the smallest rate that draws them."""
     rates = sorted(map(float, rates))
-    universe = settle(subject_universe(subjects))
-    draws = mcar_draws(universe, universe.count(), seeds, rates)
+    universe, seen = settle_counting(subject_universe(subjects), n=F.count(F.lit(1)))
+    draws = mcar_draws(universe, seen["n"], seeds, rates)
     level = F.col("level")
     return (
         mark_level(universe.withColumn("in_universe", F.lit(True)), draws, rates)
@@ -63,8 +64,8 @@ def mcar_rows(
     study: Study = DEFAULT_STUDY,
 ) -> DataFrame:
     """Analysis-visit rows of every replicate with lag and the flag ``missing``."""
-    universe = settle(subject_universe(subjects))
-    draws = mcar_draws(universe, universe.count(), seeds, [rate])
+    universe, seen = settle_counting(subject_universe(subjects), n=F.count(F.lit(1)))
+    draws = mcar_draws(universe, seen["n"], seeds, [rate])
     rows = response_lag(parameter_rows(responses, study)).filter(
         F.col("AVISITN") == study.analysis_visit
     )
@@ -92,8 +93,8 @@ def mar_setup(
     pools = subject_profile(responses, subjects, study).select(
         "SUBJID", "in_universe", *map(poor_before, study.dropout_visits)
     )
-    pools = settle(pools)
-    return pools, mar_draws(pools, seeds, rates, study)
+    pools, counts = settle_counting(pools, **pool_counts(study))
+    return pools, mar_draws(pools, counts, seeds, rates, study)
 
 
 def mar_dropout(
