@@ -59,6 +59,7 @@ from lacuna.study import (  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 ROW_SEEDS = range(1, 21)
 SINGLE_SEED = 7
+Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 RATE = 0.3
 VISIT = 6
 FITTED = ["seed", "SUBJID", "SEX", "TRTP", "PCHGCA1N"]
@@ -73,51 +74,18 @@ def entry(spark: SparkSession) -> DataFrame:
     return complete_odds_ratios(*trial_tables(spark, SMOKE_DIR))
 
 
-def _mcar_sample(spark, sf_dir):
-    universe, seen = settle_counting(
-        subject_universe(trial_tables(spark, sf_dir)[1]), n=F.count(F.lit(1))
-    )
-    rows = expand(universe, ROW_SEEDS).withColumnRenamed("replicate", "seed")
-    key = draw_key(F.col("SUBJID"), F.col("seed"), MCAR_DRAW)
-    return sample_exact(rows, ["seed"], key, RATE, seen["n"], len(ROW_SEEDS)).select(
-        "seed", "SUBJID"
-    )
-
-
-def _mar_pools(spark, sf_dir):
-    _, draws = mar_setup(*trial_tables(spark, sf_dir), REPLICATES, MAR_SCRIPT)
-    return pool_table(draws).withColumnRenamed("replicate", "seed").filter("n_pool > 0")
-
-
 def _trial(run: Callable[[DataFrame, DataFrame], DataFrame]):
     return lambda spark, sf_dir: run(*trial_tables(spark, sf_dir))
 
 
-def _mcar_handled(strategy):
-    return _trial(
-        lambda r, s: strategy(mcar_rows(r, s, ROW_SEEDS, RATE), missing="missing").select(*FITTED)
-    )
-
-
-def _mar_masked(r, s):
-    return mar_rows(r, s, ROW_SEEDS, MAR_SCRIPT)
-
-
-def _mar_handled(strategy):
-    return _trial(
-        lambda r, s: strategy(_mar_masked(r, s).filter(F.col("AVISITN") == VISIT)).select(*FITTED)
-    )
-
-
-def _mar_last_observed(r, s):
-    rows = impute_locf(_mar_masked(r, s), mode="last_observed")
-    return rows.select("seed", "SUBJID", "AVISITN", "PCHGCA1N")
-
-
 def _summary(replicates):
     return _rounded(mc_summary(replicates), 8, "mean", "var", "low", "high")
 
 
+def _ratios(run):
+    return _trial(lambda r, s: _rounded(run(r, s), 6, "or_raw"))
+
+
 def _forest(run):
     def query(r, s):
         frame = forest_frame(mc_summary(run(r, s)), complete_odds_ratios(r, s))
@@ -126,10 +94,6 @@ def _forest(run):
     return _trial(query)
 
 
-def _ratios(run):
-    return _trial(lambda r, s: _rounded(run(r, s), 6, "or_raw"))
-
-
 def _single(**scenarios):
     def query(r, s):
         ratios, _ = compare_once(r, s, seed=SINGLE_SEED, **scenarios)
@@ -138,7 +102,7 @@ def _single(**scenarios):
     return _trial(query)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def source_queries() -> Queries:
     lagged = ["SUBJID", "AVISITN", "PCHGCA1N", "LAGPCHGCA1N"]
     return {
         "load_responses": _trial(lambda r, s: r),
@@ -159,38 +123,95 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "complete_cells": _trial(lambda r, s: model_cells(complete_case(r, s))),
         "complete_odds_ratios": _ratios(complete_odds_ratios),
         "truth_frame": _trial(lambda r, s: truth_frame(complete_odds_ratios(r, s))),
-        "mcar_sample": _mcar_sample,
-        "mcar_sample_nested": _trial(lambda r, s: mcar_sample(s, ROW_SEEDS, MCAR_RATES)),
-        "mcar_completers": _mcar_handled(completers),
-        "mcar_composite": _mcar_handled(impute_composite),
-        "mcar_locf": _mcar_handled(impute_locf),
-        "mcar_cells": _trial(mcar_cells),
-        "mcar_replicates": _ratios(run_mcar),
-        "mcar_summary": _trial(lambda r, s: _summary(run_mcar(r, s))),
-        "mcar_forest_frame": _forest(run_mcar),
-        "mcar_variance_frame": _trial(lambda r, s: variance_frame(mc_summary(run_mcar(r, s)))),
-        "mar_pools": _mar_pools,
-        "mar_dropout": _trial(lambda r, s: mar_dropout(r, s, ROW_SEEDS, MAR_SCRIPT)),
-        "mar_masked_long": _trial(
-            lambda r, s: _mar_masked(r, s).select("seed", *lagged, "AVAL", "PCHG")
+    }
+
+
+def row_queries(seeds) -> Queries:
+    """Queries that return rows per subject and seed."""
+
+    def sample(r, s):
+        universe, seen = settle_counting(subject_universe(s), n=F.count(F.lit(1)))
+        rows = expand(universe, seeds).withColumnRenamed("replicate", "seed")
+        key = draw_key(F.col("SUBJID"), F.col("seed"), MCAR_DRAW)
+        drawn = sample_exact(rows, ["seed"], key, RATE, seen["n"], len(seeds))
+        return drawn.select("seed", "SUBJID")
+
+    def mcar(strategy):
+        return _trial(
+            lambda r, s: strategy(mcar_rows(r, s, seeds, RATE), missing="missing").select(*FITTED)
+        )
+
+    def masked(r, s):
+        return mar_rows(r, s, seeds, MAR_SCRIPT)
+
+    def mar(strategy):
+        return _trial(
+            lambda r, s: strategy(masked(r, s).filter(F.col("AVISITN") == VISIT)).select(*FITTED)
+        )
+
+    masked_columns = [
+        "seed", "SUBJID", "AVISITN", "AVAL", "PCHG", "PCHGCA1N", "LAGPCHGCA1N"
+    ]
+    return {
+        "mcar_sample": _trial(sample),
+        "mcar_sample_nested": _trial(lambda r, s: mcar_sample(s, seeds, MCAR_RATES)),
+        "mcar_completers": mcar(completers),
+        "mcar_composite": mcar(impute_composite),
+        "mcar_locf": mcar(impute_locf),
+        "mar_dropout": _trial(lambda r, s: mar_dropout(r, s, seeds, MAR_SCRIPT)),
+        "mar_masked_long": _trial(lambda r, s: masked(r, s).select(*masked_columns)),
+        "mar_completers": mar(completers),
+        "mar_composite": mar(impute_composite),
+        "mar_locf": mar(impute_locf),
+        "mar_locf_last_observed": _trial(
+            lambda r, s: impute_locf(masked(r, s), mode="last_observed").select(
+                "seed", "SUBJID", "AVISITN", "PCHGCA1N"
+            )
         ),
-        "mar_completers": _mar_handled(completers),
-        "mar_composite": _mar_handled(impute_composite),
-        "mar_locf": _mar_handled(impute_locf),
-        "mar_locf_last_observed": _trial(_mar_last_observed),
-        "mar_locf_all_visits": _ratios(lambda r, s: mar_locf_all_visits(r, s, ROW_SEEDS)),
-        "mar_cells": _trial(mar_cells),
-        "mar_replicates": _ratios(run_mar),
-        "mar_summary": _trial(lambda r, s: _summary(run_mar(r, s))),
+        "mar_locf_all_visits": _ratios(lambda r, s: mar_locf_all_visits(r, s, seeds)),
+    }
+
+
+def simulation_queries(seeds) -> Queries:
+    """Queries that reduce every replicate to cells, odds ratios or summaries."""
+
+    def mcar(r, s):
+        return run_mcar(r, s, seeds)
+
+    def mar(r, s):
+        return run_mar(r, s, seeds)
+
+    def pools(r, s):
+        _, draws = mar_setup(r, s, seeds, MAR_SCRIPT)
+        return pool_table(draws).withColumnRenamed("replicate", "seed").filter("n_pool > 0")
+
+    return {
+        "mcar_cells": _trial(lambda r, s: mcar_cells(r, s, seeds)),
+        "mcar_replicates": _ratios(mcar),
+        "mcar_summary": _trial(lambda r, s: _summary(mcar(r, s))),
+        "mcar_forest_frame": _forest(mcar),
+        "mcar_variance_frame": _trial(lambda r, s: variance_frame(mc_summary(mcar(r, s)))),
+        "mar_pools": _trial(pools),
+        "mar_cells": _trial(lambda r, s: mar_cells(r, s, seeds)),
+        "mar_replicates": _ratios(mar),
+        "mar_summary": _trial(lambda r, s: _summary(mar(r, s))),
         "mar_summary_last_observed": _trial(
-            lambda r, s: _summary(run_mar(r, s, locf="last_observed"))
+            lambda r, s: _summary(run_mar(r, s, seeds, locf="last_observed"))
         ),
-        "mar_forest_frame": _forest(run_mar),
-        "mar_variance_frame": _trial(lambda r, s: variance_frame(mc_summary(run_mar(r, s)))),
+        "mar_forest_frame": _forest(mar),
+        "mar_variance_frame": _trial(lambda r, s: variance_frame(mc_summary(mar(r, s)))),
         "single_draw_mcar": _single(mcar=MCAR_RATES),
         "single_draw_mar": _single(mar=MAR_MENU),
     }
 
 
+def queries() -> Queries:
+    return {
+        **source_queries(),
+        **row_queries(ROW_SEEDS),
+        **simulation_queries(REPLICATES),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return oracle_queries.build(REPLICATES[-1], ROW_SEEDS[-1], SINGLE_SEED)
