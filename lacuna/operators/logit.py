@@ -18,9 +18,10 @@ from lacuna.study import DEFAULT_DESIGN, Design
 # Executors get the fit by value, so they need numpy but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_STEPS = 50
+MAX_STEPS = 100
 TOLERANCE = 1e-10
-DIVERGED = 40.0
+LONGEST_STEP = 5.0
+DIVERGED = 30.0
 
 
 def _indicators(design: Design) -> tuple[np.ndarray, list[list[int]]]:
@@ -53,31 +54,43 @@ def newton_fit(x: np.ndarray, groups: list[list[int]], n: np.ndarray, r: np.ndar
         h[:, diagonal, diagonal] += ~active
         return h
 
+    def solve(h, g):
+        try:
+            return np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            return (np.linalg.pinv(h, hermitian=True) @ g[:, :, None])[:, :, 0]
+
     theta = np.zeros(free.shape)
-    total, hits = n.sum(axis=1), r.sum(axis=1)
     margin_n, margin_r = n @ x, r @ x
     # A margin of only responders or only non-responders has no finite estimate.
     one_sided = present & ((margin_r == 0) | (margin_r == margin_n))
-    todo = (total > 0) & ~one_sided.any(axis=1)
+    todo = (n.sum(axis=1) > 0) & ~one_sided.any(axis=1)
     if todo.any():
         occupied = curvature((n > 0).astype(float), free)
         todo &= np.linalg.matrix_rank(occupied, hermitian=True) == x.shape[1]
-    theta[todo, 0] = np.log((hits[todo] + 0.5) / (total[todo] - hits[todo] + 0.5))
+    # Start at the least-squares fit of the cells' own, slightly shrunken logits.
+    p = (r + 0.5) / (n + 1)
+    weight = n * p * (1 - p)
+    target = weight * np.log(p / (1 - p)) + (r - n * p)
+    at = np.flatnonzero(todo)
+    theta[at] = solve(curvature(weight[at], free[at]), (target[at] @ x) * free[at])
     converged = np.zeros(len(n), dtype=bool)
     for _ in range(MAX_STEPS):
         at = np.flatnonzero(todo)
         if not len(at):
             break
-        p = 1 / (1 + np.exp(-(theta[at] @ x.T)))
+        eta = theta[at] @ x.T
+        lost = ~(np.abs(np.where(n[at] > 0, eta, 0)).max(axis=1) < DIVERGED)
+        todo[at[lost]] = False
+        at, eta = at[~lost], eta[~lost]
+        p = 1 / (1 + np.exp(-eta))
         gradient = ((r[at] - n[at] * p) @ x) * free[at]
-        h = curvature(n[at] * p * (1 - p), free[at])
-        step = np.linalg.solve(h, gradient[:, :, None])[:, :, 0]
-        theta[at] += step
+        step = solve(curvature(n[at] * p * (1 - p), free[at]), gradient)
         size = np.abs(step).max(axis=1)
-        done = size < TOLERANCE
-        lost = ~np.isfinite(size) | (np.abs(theta[at]).max(axis=1) > DIVERGED)
-        converged[at[done & ~lost]] = True
-        todo[at[done | lost]] = False
+        theta[at] += step * np.minimum(1, LONGEST_STEP / np.maximum(size, TOLERANCE))[:, None]
+        done = at[size < TOLERANCE]
+        converged[done] = True
+        todo[done] = False
     theta[~present] = np.nan
     theta[~converged] = np.nan
     return theta, converged
