@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
-from lacuna.functions import draw_key, pick, settle_counting  # noqa: E402
+from lacuna.functions import draw_key, pick, settle  # noqa: E402
 from lacuna.operators import (  # noqa: E402
     analysis_set,
     complete_case,
@@ -25,7 +25,7 @@ from lacuna.operators import (  # noqa: E402
     sample_exact,
     three_way_table,
 )
-from lacuna.operators.mechanisms import MCAR_DRAW, expand, pool_table  # noqa: E402
+from lacuna.operators.mechanisms import MCAR_DRAW, expand, pool_table, spread  # noqa: E402
 from lacuna.plans import (  # noqa: E402
     compare_once,
     complete_odds_ratios,
@@ -130,10 +130,11 @@ def row_queries(seeds) -> Queries:
     """Queries that return rows per subject and seed."""
 
     def sample(r, s):
-        universe, seen = settle_counting(subject_universe(s), n=F.count(F.lit(1)))
+        n = s.count()
+        universe = settle(spread(subject_universe(s), n, len(seeds)))
         rows = expand(universe, seeds).withColumnRenamed("replicate", "seed")
         key = draw_key(F.col("SUBJID"), F.col("seed"), MCAR_DRAW)
-        drawn = sample_exact(rows, ["seed"], key, RATE, seen["n"], len(seeds))
+        drawn = sample_exact(rows, ["seed"], key, RATE, n, len(seeds))
         return drawn.select("seed", "SUBJID")
 
     def mcar(strategy):
@@ -183,7 +184,7 @@ def simulation_queries(seeds) -> Queries:
 
     def pools(r, s):
         _, draws = mar_setup(r, s, seeds, MAR_SCRIPT)
-        return pool_table(draws).withColumnRenamed("replicate", "seed").filter("n_pool > 0")
+        return pool_table(draws).withColumnRenamed("replicate", "seed")
 
     return {
         "mcar_cells": _trial(lambda r, s: mcar_cells(r, s, seeds)),

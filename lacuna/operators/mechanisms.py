@@ -13,19 +13,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import attach_small, draw_key, settle, settle_counting, tasks_for
+from lacuna.functions import attach_small, draw_key, settle_counting, tasks_for
 from lacuna.operators.profile import poor_before
 from lacuna.operators.sampling import PoolClass, draw_cuts, is_drawn
 from lacuna.study import DEFAULT_STUDY, MarRates, Study
 
 MCAR_DRAW = 0
-CUT_COLUMNS = ("cut_key", "cut_id", "pool", "taken")
 MASKED = ("AVAL", "PCHG", "PCHGCA1N")
 
 
 @dataclass(frozen=True)
 class Draws:
-    """The samples of a mechanism in all replicates: one row of cuts per replicate."""
+    """The samples of a mechanism in all replicates.
+
+    ``cuts`` has a row per replicate and sample: which sample it is (``rate`` or
+    ``visit`` and ``is_high``), its pool size, the number taken and the cut.
+    """
 
     cuts: DataFrame
     seeds: Sequence[int]
@@ -35,6 +38,15 @@ class Draws:
     def n_replicates(self) -> int:
         return len(self.seeds) * self.scenarios
 
+    def side_by_side(self, samples: dict[str, str]) -> DataFrame:
+        """One row per replicate; the cuts of each named sample as columns."""
+        columns = [
+            F.expr(f"max(if({where}, {part}, null)) as {part}_{name}")
+            for name, where in samples.items()
+            for part in ("cut_key", "cut_id")
+        ]
+        return self.cuts.groupBy("replicate").agg(*columns)
+
 
 def expand(rows: DataFrame, seeds: Sequence[int], scenarios: int = 1) -> DataFrame:
     """Repeat rows once per scenario and seed; ``replicate`` numbers the pair."""
@@ -63,10 +75,9 @@ def scenario_of(scenarios: int) -> Column:
     return F.pmod(F.col("replicate"), F.lit(scenarios)).cast("int")
 
 
-def spread(profile: DataFrame, n_rows: int, n_replicates: int, **counts: Column):
-    """Keep a profile in as many partitions as its expanded scan needs, and count."""
-    n = tasks_for(profile.sparkSession, n_rows * n_replicates)
-    return settle_counting(profile.repartition(n, "SUBJID"), **counts)
+def spread(rows: DataFrame, n_rows: int, n_replicates: int) -> DataFrame:
+    """Partition rows by subject into as many tasks as expanding them needs."""
+    return rows.repartition(tasks_for(rows.sparkSession, n_rows * n_replicates), "SUBJID")
 
 
 # --- missing completely at random -------------------------------------------
@@ -91,12 +102,7 @@ def mcar_draws(
         [PoolClass(tuple(rates), n_universe)],
         len(seeds),
     )
-    per_rate = [
-        F.expr(f"max(if(rate = double({p}), {name}, null)) as {name}_{i}")
-        for i, p in enumerate(rates, 1)
-        for name in CUT_COLUMNS
-    ]
-    return Draws(cuts.groupBy("replicate").agg(*per_rate), seeds, 1)
+    return Draws(cuts, seeds, 1)
 
 
 def mark_level(rows: DataFrame, draws: Draws, rates: Sequence[float]) -> DataFrame:
@@ -107,10 +113,10 @@ def mark_level(rows: DataFrame, draws: Draws, rates: Sequence[float]) -> DataFra
     (``in_universe`` false) are never drawn.
     """
     n = len(rates)
-    keep = [c for c in draws.cuts.columns if not c.startswith(("pool", "taken"))]
-    wide = attach_small(
-        expand(rows, draws.seeds), draws.cuts.select(*keep), "replicate", draws.n_replicates
+    cuts = draws.side_by_side(
+        {str(i): f"rate = double({float(p)})" for i, p in enumerate(sorted(rates), 1)}
     )
+    wide = attach_small(expand(rows, draws.seeds), cuts, "replicate", draws.n_replicates)
     key = draw_key(F.col("SUBJID"), F.col("replicate"), MCAR_DRAW)
     level = F.when(~F.col("in_universe"), n + 1)
     for i in range(1, n + 1):
@@ -141,14 +147,20 @@ def _leaves(visit: int, scenarios: int) -> Column:
     return (poor | F.col("in_universe")) & drawn
 
 
-def _dropout(rows, cuts, visits, seeds, scenarios):
+def _dropout(rows: DataFrame, draws: Draws, visits: Sequence[int]) -> DataFrame:
     """Expanded rows with the dropout visit after the given steps."""
-    out = expand(rows, seeds, scenarios)
+    out = expand(rows, draws.seeds, draws.scenarios)
     if not visits:
         return out.withColumn("dropout_visit", F.lit(None).cast("int"))
-    keep = [c for c in cuts.columns if not c.startswith(("pool", "taken"))]
-    out = attach_small(out, cuts.select(*keep), "replicate", len(seeds) * scenarios)
-    steps = [F.when(_leaves(v, scenarios), F.lit(v)) for v in visits]
+    cuts = draws.side_by_side(
+        {
+            f"{v}_{pool}": f"visit = {v} and {where}"
+            for v in visits
+            for pool, where in ((HIGH, "is_high"), (LOW, "not is_high"))
+        }
+    )
+    out = attach_small(out, cuts, "replicate", draws.n_replicates)
+    steps = [F.when(_leaves(v, draws.scenarios), F.lit(v)) for v in visits]
     return out.withColumn("dropout_visit", F.coalesce(*steps))
 
 
@@ -198,14 +210,13 @@ def mar_draws(
     in turn, all replicates at once.
     """
     s = len(rates)
-    n_replicates = len(seeds) * s
     needed = ["SUBJID", "in_universe", *map(poor_before, study.dropout_visits)]
     subjects = profile.select(*needed)
-    cuts, hints = None, _pool_hints(counts, rates, study)
+    draws, hints = Draws(None, seeds, s), _pool_hints(counts, rates, study)
     high, low = [r.high for r in rates], [r.low for r in rates]
     for i, visit in enumerate(study.dropout_visits):
         rows = (
-            _dropout(subjects, cuts, study.dropout_visits[:i], seeds, s)
+            _dropout(subjects, draws, study.dropout_visits[:i])
             .withColumn("is_high", _pool(visit))
             .select("SUBJID", "replicate", "is_high")
         )
@@ -218,18 +229,12 @@ def mar_draws(
                 PoolClass(tuple(high), hints[visit][0], F.col("is_high")),
                 PoolClass(tuple(low), hints[visit][1]),
             ],
-            2 * n_replicates,
+            3 * draws.n_replicates,
         )
-        columns = []
-        for pool, at in ((HIGH, "is_high"), (LOW, "not is_high")):
-            for name in CUT_COLUMNS:
-                value = f"max(if({at}, {name}, null))"
-                if name in ("pool", "taken"):
-                    value = f"coalesce({value}, 0L)"
-                columns.append(F.expr(f"{value} as {name}_{visit}_{pool}"))
-        step = found.groupBy("replicate").agg(*columns)
-        cuts = settle(step if cuts is None else cuts.join(step, "replicate", "full"))
-    return Draws(cuts, seeds, s)
+        found = found.filter(F.col("is_high").isNotNull()).withColumn("visit", F.lit(visit))
+        cuts = found if draws.cuts is None else draws.cuts.unionByName(found)
+        draws = Draws(cuts, seeds, s)
+    return draws
 
 
 def mark_dropout(
@@ -239,7 +244,7 @@ def mark_dropout(
 
     Rows need ``in_universe`` and the ``poor_before_v`` columns of the profile.
     """
-    out = _dropout(rows, draws.cuts, study.dropout_visits, draws.seeds, draws.scenarios)
+    out = _dropout(rows, draws, study.dropout_visits)
     return out.select(*rows.columns, "replicate", "dropout_visit")
 
 
@@ -252,16 +257,12 @@ def mask_from(
     return rows.withColumns({c: F.when(~gone, F.col(c)) for c in columns})
 
 
-def pool_table(draws: Draws, study: Study = DEFAULT_STUDY) -> DataFrame:
-    """Pool and sample size per replicate, dropout visit and pool."""
-    rows = [
-        F.struct(
-            F.lit(v).alias("visit"),
-            F.lit(pool).alias("pool"),
-            F.col(f"pool_{v}_{pool}").alias("n_pool"),
-            F.col(f"taken_{v}_{pool}").alias("n_drawn"),
-        )
-        for v in study.dropout_visits
-        for pool in (HIGH, LOW)
-    ]
-    return draws.cuts.select("replicate", F.inline(F.array(*rows)))
+def pool_table(draws: Draws) -> DataFrame:
+    """Pool and sample size per replicate, dropout visit and non-empty pool."""
+    return draws.cuts.select(
+        "replicate",
+        "visit",
+        F.when(F.col("is_high"), HIGH).otherwise(LOW).alias("pool"),
+        F.col("pool").alias("n_pool"),
+        F.col("taken").alias("n_drawn"),
+    )

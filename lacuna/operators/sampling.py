@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,15 +150,20 @@ def draw_cuts(
         if not seen["missed"]:
             return (cuts if found is None else found.unionByName(cuts)).drop("_found")
         again = settle(cuts.filter(~F.col("_found")).select(*by).distinct())
-        resolved = cuts.join(again, by, "left_anti")
+        same = reduce(and_, [F.col(f"cuts.{c}").eqNullSafe(F.col(f"again.{c}")) for c in by])
+        resolved = cuts.alias("cuts").join(again.alias("again"), same, "left_anti")
         found = resolved if found is None else found.unionByName(resolved)
-        todo = attach_small(
-            rows, again.withColumn("_again", F.lit(True)), by, max_groups
-        ).filter(F.col("_again"))
-        todo = todo.drop("_again")
+        todo = _only(rows, again, by, max_groups)
         width *= WIDEN
 
 
+def _only(rows: DataFrame, groups: DataFrame, by: list[str], max_groups: int) -> DataFrame:
+    """The rows of the given groups; a group's key can be null."""
+    small = groups.select(*[F.col(c).alias(f"_{c}") for c in by], F.lit(True).alias("_again"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return attach_small(rows, small, same, max_groups).filter("_again").select(*rows.columns)
+
+
 def is_drawn(key: Column, id_: Column, cut_key: Column, cut_id: Column) -> Column:
     """Whether a row is at or below its group's cut; false where there is none."""
     return F.coalesce(

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import standard_normal_quantile
+from lacuna.functions import settle, settle_counting, standard_normal_quantile
 from lacuna.functions.columns import cell_label
 from lacuna.operators.cells import model_cells
 from lacuna.operators.logit import contrast_rows, fit_coded, odds_ratios
@@ -95,13 +95,10 @@ def _by_strategy(counts: DataFrame, missing: Column, keep: Sequence[str]) -> Dat
 def _mcar_coded(responses, subjects, seeds, rates, study) -> DataFrame:
     rates = sorted(map(float, rates))
     n = subjects.count()
-    profile, _ = spread(
-        subject_profile(responses, subjects, study).select(
-            "SUBJID", "in_universe", "has_row", "y", "lag", "cell"
-        ),
-        n,
-        len(seeds),
+    profile = subject_profile(responses, subjects, study).select(
+        "SUBJID", "in_universe", "has_row", "y", "lag", "cell"
     )
+    profile = settle(spread(profile, n, len(seeds)))
     draws = mcar_draws(profile.filter("in_universe"), n, seeds, rates)
     fitted = profile.filter(F.col("has_row") & F.col("cell").isNotNull())
     counts = _fold(
@@ -132,11 +129,11 @@ def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
         carries = ["seen", *[f"seen_{v}" for v in study.dropout_visits]]
     else:
         raise ValueError(f"unknown mode: {locf}")
-    profile, sizes = spread(
-        profile.select("SUBJID", "in_universe", *poor, "has_row", "y", *carries, "cell"),
-        n,
-        len(seeds) * s,
-        **pool_counts(study),
+    profile = profile.select(
+        "SUBJID", "in_universe", *poor, "has_row", "y", *carries, "cell"
+    )
+    profile, sizes = settle_counting(
+        spread(profile, n, len(seeds) * s), **pool_counts(study)
     )
     draws = mar_draws(profile, sizes, seeds, rates, study)
     fitted = profile.filter(F.col("has_row") & F.col("cell").isNotNull())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import sample_size, settle_counting
+from lacuna.functions import sample_size, settle, settle_counting
 from lacuna.operators.analysis import (
     last_observed,
     parameter_rows,
@@ -24,6 +24,7 @@ from lacuna.operators.mechanisms import (
     pool_counts,
     scenario_of,
     seed_of,
+    spread,
 )
 from lacuna.operators.profile import poor_before, subject_profile
 from lacuna.sources.tables import scenario_grid, subject_universe
@@ -42,8 +43,9 @@ def mcar_sample(
 ) -> DataFrame:
     """Drawn subjects with the smallest rate that draws them."""
     rates = sorted(map(float, rates))
-    universe, seen = settle_counting(subject_universe(subjects), n=F.count(F.lit(1)))
-    draws = mcar_draws(universe, seen["n"], seeds, rates)
+    n = subjects.count()
+    universe = settle(spread(subject_universe(subjects), n, len(seeds)))
+    draws = mcar_draws(universe, n, seeds, rates)
     level = F.col("level")
     return (
         mark_level(universe.withColumn("in_universe", F.lit(True)), draws, rates)
@@ -64,11 +66,11 @@ def mcar_rows(
     study: Study = DEFAULT_STUDY,
 ) -> DataFrame:
     """Analysis-visit rows of every replicate with lag and the flag ``missing``."""
-    universe, seen = settle_counting(subject_universe(subjects), n=F.count(F.lit(1)))
-    draws = mcar_draws(universe, seen["n"], seeds, [rate])
-    rows = response_lag(parameter_rows(responses, study)).filter(
-        F.col("AVISITN") == study.analysis_visit
-    )
+    n = subjects.count()
+    universe = settle(spread(subject_universe(subjects), n, len(seeds)))
+    draws = mcar_draws(universe, n, seeds, [rate])
+    rows = response_lag(spread(parameter_rows(responses, study), n, len(seeds)))
+    rows = rows.filter(F.col("AVISITN") == study.analysis_visit)
     listed = subjects.select("SUBJID", "SEX", F.lit(True).alias("in_universe"))
     rows = rows.join(listed, "SUBJID", "left").withColumn(
         "in_universe", F.coalesce("in_universe", F.lit(False))
@@ -93,7 +95,10 @@ def mar_setup(
     pools = subject_profile(responses, subjects, study).select(
         "SUBJID", "in_universe", *map(poor_before, study.dropout_visits)
     )
-    pools, counts = settle_counting(pools, **pool_counts(study))
+    n_replicates = len(seeds) * len(rates)
+    pools, counts = settle_counting(
+        spread(pools, subjects.count(), n_replicates), **pool_counts(study)
+    )
     return pools, mar_draws(pools, counts, seeds, rates, study)
 
 
@@ -131,9 +136,11 @@ def mar_rows(
     Lags are taken over all visits and before masking.
     """
     pools, draws = mar_setup(responses, subjects, seeds, rates, study)
-    rows = last_observed(
-        response_lag(parameter_rows(responses, study, skip_visit=False)), study
+    n_rows = subjects.count() * study.analysis_visit
+    rows = spread(
+        parameter_rows(responses, study, skip_visit=False), n_rows, draws.n_replicates
     )
+    rows = last_observed(response_lag(rows), study)
     if skip_visit and study.skipped_visit is not None:
         rows = rows.filter(F.col("AVISITN") != study.skipped_visit)
     rows = with_sex(rows, subjects).join(pools, "SUBJID")

@@ -7,7 +7,7 @@ import __spark_entry__ as registered
 import oracle_queries
 from tests.conftest import MEDIUM
 
-REPLICATES, ROWS = 25, 3
+REPLICATES, ROWS = 101, 3
 QUERIES = {
     **registered.source_queries(),
     **registered.row_queries(range(1, ROWS + 1)),
