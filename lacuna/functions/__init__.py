@@ -6,11 +6,18 @@ from lacuna.functions.columns import (
     sample_size,
     standard_normal_quantile,
 )
-from lacuna.functions.staging import attach_small, settle, settle_counting, tasks_for
+from lacuna.functions.staging import (
+    attach_small,
+    discard_settled,
+    settle,
+    settle_counting,
+    tasks_for,
+)
 
 __all__ = [
     "attach_small",
     "cell_code",
+    "discard_settled",
     "draw_key",
     "pick",
     "poor_response",

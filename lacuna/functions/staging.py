@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 8_000_000
+TASKS_PER_CORE = 8
 BROADCAST_ROWS = 500_000
 
+_settled: list[str] = []
+
 
 def _shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; locally a temporary one."""
@@ -38,6 +41,7 @@ def settle_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[st
     if counts:
         seen = Observation()
         df = df.observe(seen, *[c.alias(name) for name, c in counts.items()])
+    _settled.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), dict(seen.get) if counts else {}
 
@@ -46,9 +50,25 @@ def settle(df: DataFrame) -> DataFrame:
     return settle_counting(df)[0]
 
 
+def discard_settled(spark: SparkSession) -> int:
+    """Delete the tables kept so far, once every result built on them is written."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _settled:
+        path = jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def tasks_for(spark: SparkSession, rows: int) -> int:
-    """Tasks over which to spread a scan that produces this many rows."""
-    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK))
+    """Tasks over which to spread a scan that produces this many rows.
+
+    Rows stream through a task, so beyond some tasks per core more would only
+    add shuffle blocks.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    return min(max(cores, math.ceil(rows / ROWS_PER_TASK)), cores * TASKS_PER_CORE)
 
 
 def attach_small(df: DataFrame, small: DataFrame, on, max_rows: int) -> DataFrame:
