@@ -203,6 +203,7 @@ def simulation_queries(seeds) -> Queries:
         "mar_variance_frame": _trial(lambda r, s: variance_frame(mc_summary(mar(r, s)))),
         "single_draw_mcar": _single(mcar=MCAR_RATES),
         "single_draw_mar": _single(mar=MAR_MENU),
+        "single_draw_mar_interactive": _single(mar=MAR_MENU, interactive_locf=True),
     }
 
 

@@ -147,6 +147,15 @@ MENU = [
 ]
 
 
+def _masked(dropout: str) -> str:
+    return f"""(
+  select d.scenario, d.seed, d.dropout_visit, r.* exclude(AVAL, PCHG, PCHGCA1N),
+         case when coalesce(AVISITN >= dropout_visit, false) then null else AVAL end AVAL,
+         case when coalesce(AVISITN >= dropout_visit, false) then null else PCHG end PCHG,
+         case when coalesce(AVISITN >= dropout_visit, false) then null else PCHGCA1N end PCHGCA1N
+  from allv r join {dropout} d on d.SUBJID = r.SUBJID)"""
+
+
 def _mar(first: int, last: int, scenarios=SCRIPT, visits=(4, 5, 6)) -> str:
     """CTEs up to ``dropout``: scenario, seed, SUBJID, dropout_visit; ``step_v`` per visit."""
     rows = ",".join(f"('{s}',{_rate(h)},{_rate(low)})" for s, h, low in scenarios)
@@ -168,12 +177,7 @@ step_{v} as (
         from (select *, poor{v} and dropout_visit is null is_high from {_key(f'step_{v - 1}', v)})))"""
     return sql + f""",
 dropout as (select scenario, seed, SUBJID, dropout_visit from step_{visits[-1]}),
-masked as (
-  select d.scenario, d.seed, d.dropout_visit, r.* exclude(AVAL, PCHG, PCHGCA1N),
-         case when coalesce(AVISITN >= dropout_visit, false) then null else AVAL end AVAL,
-         case when coalesce(AVISITN >= dropout_visit, false) then null else PCHG end PCHG,
-         case when coalesce(AVISITN >= dropout_visit, false) then null else PCHGCA1N end PCHGCA1N
-  from allv r join dropout d on d.SUBJID = r.SUBJID)"""
+masked as {_masked('dropout')}"""
 
 
 def _rows_by_strategy_mcar() -> str:
@@ -357,11 +361,21 @@ from (select scenario, strategy, contrast, or_value "boxOdds", strategy source f
             n_pool_{v} n_pool, cast(n_drawn_{v} as bigint) n_drawn from step_6"""
         for v in (4, 5, 6)
     )
-    all_visits = """,
-fitrows as (
-  select scenario, seed, 'locf' strategy, SEX, TRTP,
+    carried = """select scenario, seed, 'locf' strategy, SEX, TRTP,
          case when PCHGCA1N is not null then PCHGCA1N when AVISITN=3 then 0 else LAGPCHGCA1N end y
-  from masked)"""
+  from {}"""
+    all_visits = f""",
+fitrows as ({carried.format('masked')})"""
+    interactive = f""",
+dropout_45 as (select scenario, seed, SUBJID, dropout_visit from step_5),
+masked_45 as {_masked('dropout_45')},
+fitrows as (
+  select scenario, seed, 'completers' strategy, SEX, TRTP, PCHGCA1N y
+  from masked where AVISITN=6 and PCHGCA1N is not null
+  union all
+  select scenario, seed, 'imputed', SEX, TRTP, coalesce(PCHGCA1N, 0) from masked where AVISITN=6
+  union all
+  {carried.format('masked_45')})"""
     sizes = ",".join(
         [f"('MCAR {100 * p:g}%','MCAR',{_rate(p)},null,null)" for p in (0.1, 0.2, 0.3)]
         + [f"('{s}','MAR',null,{_rate(h)},{_rate(low)})" for s, h, low in SCRIPT + MENU]
@@ -454,4 +468,7 @@ select seed, SUBJID, AVISITN, coalesce(PCHGCA1N,seen) PCHGCA1N from carried wher
             _truth(),
             out=single_out,
         ),
+        "single_draw_mar_interactive": _with(
+            _mar(*one, scenarios=MENU), interactive, CELLS, FIT, _truth(), out=single_out
+        ),
     }
