@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import attach_small, draw_key, settle_counting, tasks_for
 from lacuna.operators.profile import poor_before
-from lacuna.operators.sampling import PoolClass, draw_cuts, is_drawn
+from lacuna.operators.sampling import Fold, PoolClass, draw_cuts, draw_folded, is_drawn
 from lacuna.study import DEFAULT_STUDY, MarRates, Study
 
 MCAR_DRAW = 0
@@ -91,18 +91,51 @@ def mcar_draws(
     ``universe`` has one row per subject. A subject gets one key per replicate,
     whatever the rate, so all rates are found in the same pass.
     """
-    rates = sorted(map(float, rates))
     rows = expand(universe.select("SUBJID"), seeds)
-    key = draw_key(F.col("SUBJID"), F.col("replicate"), MCAR_DRAW)
-    cuts = draw_cuts(
-        rows,
+    cuts = draw_cuts(rows, ["replicate"], *_mcar_search(n_universe, seeds, rates))
+    return Draws(cuts, seeds, 1)
+
+
+def mcar_folded(
+    universe: DataFrame,
+    n_universe: int,
+    seeds: Sequence[int],
+    rates: Sequence[float],
+    fold: Fold,
+) -> DataFrame:
+    """Totals per replicate, level and ``fold.by``, in a single pass over the subjects."""
+    cuts, folded = draw_folded(
+        expand(universe, seeds),
         ["replicate"],
-        key,
+        *_mcar_search(n_universe, seeds, rates),
+        fold,
+    )
+    cuts = Draws(cuts, seeds, 1).side_by_side(_per_rate(rates))
+    placed = attach_small(folded, cuts, "replicate", len(seeds))
+    level = _level(F.col("at_key"), F.col("at_id"), len(rates))
+    return placed.select("*", level.alias("level"))
+
+
+def _mcar_search(n_universe, seeds, rates):
+    rates = sorted(map(float, rates))
+    return (
+        draw_key(F.col("SUBJID"), F.col("replicate"), MCAR_DRAW),
         [F.lit(p) for p in rates],
         [PoolClass(tuple(rates), n_universe)],
         len(seeds),
     )
-    return Draws(cuts, seeds, 1)
+
+
+def _per_rate(rates: Sequence[float]) -> dict[str, str]:
+    return {str(i): f"rate = double({float(p)})" for i, p in enumerate(sorted(rates), 1)}
+
+
+def _level(key: Column, id_: Column, n: int) -> Column:
+    """The first of n nested samples that holds a key, n + 1 if none does."""
+    level = F.when(F.lit(False), 0)
+    for i in range(1, n + 1):
+        level = level.when(is_drawn(key, id_, F.col(f"cut_key_{i}"), F.col(f"cut_id_{i}")), i)
+    return level.otherwise(n + 1)
 
 
 def mark_level(rows: DataFrame, draws: Draws, rates: Sequence[float]) -> DataFrame:
@@ -113,15 +146,10 @@ def mark_level(rows: DataFrame, draws: Draws, rates: Sequence[float]) -> DataFra
     (``in_universe`` false) are never drawn.
     """
     n = len(rates)
-    cuts = draws.side_by_side(
-        {str(i): f"rate = double({float(p)})" for i, p in enumerate(sorted(rates), 1)}
-    )
+    cuts = draws.side_by_side(_per_rate(rates))
     wide = attach_small(expand(rows, draws.seeds), cuts, "replicate", draws.n_replicates)
     key = draw_key(F.col("SUBJID"), F.col("replicate"), MCAR_DRAW)
-    level = F.when(~F.col("in_universe"), n + 1)
-    for i in range(1, n + 1):
-        drawn = is_drawn(F.col("_key"), F.col("SUBJID"), F.col(f"cut_key_{i}"), F.col(f"cut_id_{i}"))
-        level = level.when(drawn, i)
+    level = F.when(F.col("in_universe"), _level(F.col("_key"), F.col("SUBJID"), n))
     return (
         wide.withColumn("_key", key)
         .withColumn("level", level.otherwise(n + 1))

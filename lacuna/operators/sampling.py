@@ -71,6 +71,17 @@ def _slot(key: Column, bands: list[tuple[int, int]]) -> tuple[Column, Column]:
     return position.otherwise(F.lit(gap)), exact.otherwise(F.lit(False))
 
 
+@dataclass(frozen=True)
+class Fold:
+    """What to total, and by which columns, while looking for the cuts."""
+
+    by: tuple[str, ...] = ()
+    totals: tuple[Column, ...] = ()
+
+
+NOTHING = Fold()
+
+
 def _slots(key: Column, classes: Sequence[PoolClass], width: float) -> tuple[Column, Column]:
     parts = [(c.where, *_slot(key, _bands(c.rates, c.size_hint, width))) for c in classes]
     _, position, exact = parts[-1]
@@ -80,18 +91,19 @@ def _slots(key: Column, classes: Sequence[PoolClass], width: float) -> tuple[Col
     return position, exact
 
 
-def _search(rows, by, key, id_col, rates, classes, width) -> DataFrame:
+def _count(rows, by, key, id_col, classes, width, fold: Fold) -> DataFrame:
+    """Rows per group and place on the key range: exact near the cut, else gaps."""
     position, exact = _slots(F.col("_key"), classes, width)
-    counted = (
+    return (
         rows.withColumn("_key", key)
-        .select(
-            *by,
-            position.alias("cut_key"),
-            F.when(exact, F.col(id_col)).alias("cut_id"),
-        )
-        .groupBy(*by, "cut_key", "cut_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"cut_key": position, "cut_id": F.when(exact, F.col(id_col))})
+        .groupBy(*by, "cut_key", "cut_id", *fold.by)
+        .agg(F.count(F.lit(1)).alias("_n"), *fold.totals)
     )
+
+
+def _locate(counted, by, rates) -> DataFrame:
+    """The place at which each group's sample ends, from the counts per place."""
     group = Window.partitionBy(*by)
     so_far = group.orderBy("cut_key", F.col("cut_id").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -141,22 +153,58 @@ def draw_cuts(
     Returns ``by``, ``rate``, ``pool``, ``taken``, ``cut_key``, ``cut_id``; both cut
     columns are null where nothing is drawn.
     """
-    todo, width, found = rows, FIRST_WIDTH, None
+    return _draw(rows, by, key, rates, classes, max_groups, id_col, NOTHING)[0]
+
+
+def draw_folded(
+    rows: DataFrame,
+    by: list[str],
+    key: Column,
+    rates: Sequence[Column],
+    classes: Sequence[PoolClass],
+    max_groups: int,
+    fold: Fold,
+    id_col: str = "SUBJID",
+) -> tuple[DataFrame, DataFrame]:
+    """Cuts as from ``draw_cuts``, and the rows folded in the same pass.
+
+    The second frame has ``by``, ``fold.by``, ``at_key``, ``at_id`` and the totals. Its
+    places lie wholly on one side of every cut, so ``is_drawn`` of a place holds
+    for all rows folded into it.
+    """
+    cuts, folded = _draw(rows, by, key, rates, classes, max_groups, id_col, fold)
+    return cuts, folded.withColumnsRenamed({"cut_key": "at_key", "cut_id": "at_id"})
+
+
+def _draw(rows, by, key, rates, classes, max_groups, id_col, fold):
+    todo, width, found, folded = rows, FIRST_WIDTH, None, None
     while True:
+        places = counted = _count(todo, by, key, id_col, classes, width, fold)
+        if fold is not NOTHING:
+            counted = settle(counted)
+            places = counted.groupBy(*by, "cut_key", "cut_id").agg(F.sum("_n").alias("_n"))
         cuts, seen = settle_counting(
-            _search(todo, by, key, id_col, rates, classes, width),
-            missed=F.count_if(~F.col("_found")),
+            _locate(places, by, rates), missed=F.count_if(~F.col("_found"))
         )
         if not seen["missed"]:
-            return (cuts if found is None else found.unionByName(cuts)).drop("_found")
+            return _also(found, cuts).drop("_found"), _also(folded, counted).drop("_n")
         again = settle(cuts.filter(~F.col("_found")).select(*by).distinct())
-        same = reduce(and_, [F.col(f"cuts.{c}").eqNullSafe(F.col(f"again.{c}")) for c in by])
-        resolved = cuts.alias("cuts").join(again.alias("again"), same, "left_anti")
-        found = resolved if found is None else found.unionByName(resolved)
+        found = _also(found, _without(cuts, again, by))
+        if fold is not NOTHING:
+            folded = _also(folded, _without(counted, again, by))
         todo = _only(rows, again, by, max_groups)
         width *= WIDEN
 
 
+def _also(before: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if before is None else before.unionByName(more)
+
+
+def _without(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    same = [F.col(f"here.{c}").eqNullSafe(F.col(f"there.{c}")) for c in by]
+    return rows.alias("here").join(groups.alias("there"), reduce(and_, same), "left_anti")
+
+
 def _only(rows: DataFrame, groups: DataFrame, by: list[str], max_groups: int) -> DataFrame:
     """The rows of the given groups; a group's key can be null."""
     small = groups.select(*[F.col(c).alias(f"_{c}") for c in by], F.lit(True).alias("_again"))

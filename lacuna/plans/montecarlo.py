@@ -19,16 +19,17 @@ from lacuna.functions.columns import cell_label
 from lacuna.operators.cells import model_cells
 from lacuna.operators.logit import contrast_rows, fit_coded, odds_ratios
 from lacuna.operators.mechanisms import (
+    expand,
     mar_draws,
     mark_dropout,
-    mark_level,
-    mcar_draws,
+    mcar_folded,
     pool_counts,
     scenario_of,
     seed_of,
     spread,
 )
 from lacuna.operators.profile import poor_before, subject_profile
+from lacuna.operators.sampling import Fold
 from lacuna.operators.strategies import complete_case, impute_locf
 from lacuna.plans.rows import mar_rows, scenario_label
 from lacuna.study import (
@@ -56,19 +57,17 @@ def complete_odds_ratios(
 # --- from marked subjects to cells per strategy -----------------------------
 
 
-def _fold(marked: DataFrame, by: list[str], lag: Column) -> DataFrame:
-    """Counts per replicate and cell that all three strategies derive from."""
-    y = F.col("y")
+def _totals(y: Column, carried: Column, present: Column | None = None) -> tuple[Column, ...]:
+    """Counts that all three strategies derive from, over the present rows."""
+    here = F.lit(True) if present is None else present
+    y, carried = F.when(here, y.cast("long")), F.when(here, carried.cast("long"))
+    zero = F.lit(0).cast("long")
     return (
-        marked.select(*by, "cell", "y", lag.alias("carried"))
-        .groupBy(*by, "cell")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count("y").alias("seen_n"),
-            F.sum(y.cast("long")).alias("seen_r"),
-            F.count("carried").alias("carried_n"),
-            F.sum(F.col("carried").cast("long")).alias("carried_r"),
-        )
+        F.count_if(here).alias("rows"),
+        F.count(y).alias("seen_n"),
+        F.coalesce(F.sum(y), zero).alias("seen_r"),
+        F.count(carried).alias("carried_n"),
+        F.coalesce(F.sum(carried), zero).alias("carried_r"),
     )
 
 
@@ -99,10 +98,15 @@ def _mcar_coded(responses, subjects, seeds, rates, study) -> DataFrame:
         "SUBJID", "in_universe", "has_row", "y", "lag", "cell"
     )
     profile = settle(spread(profile, n, len(seeds)))
-    draws = mcar_draws(profile.filter("in_universe"), n, seeds, rates)
-    fitted = profile.filter(F.col("has_row") & F.col("cell").isNotNull())
-    counts = _fold(
-        mark_level(fitted, draws, rates), ["replicate", "level"], F.col("lag")
+    totals = _totals(F.col("y"), F.col("lag"), F.col("has_row"))
+    kept = ["replicate", "cell", "level", "rows", "seen_n", "seen_r", "carried_n", "carried_r"]
+    drawn = mcar_folded(
+        profile.filter("in_universe"), n, seeds, rates, Fold(("cell",), totals)
+    )
+    unlisted = profile.filter("not in_universe").groupBy("cell").agg(*totals)
+    never = expand(unlisted, seeds).withColumn("level", F.lit(len(rates) + 1))
+    counts = drawn.select(*kept).unionByName(never.select(*kept)).filter(
+        F.col("cell").isNotNull()
     )
     # Each scenario takes as missing all levels up to its own.
     per_scenario = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(rates)))).alias("at"))
@@ -140,7 +144,11 @@ def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
     marked = mark_dropout(fitted, draws, study)
     # A response that was null all along is handled like one masked by dropout.
     gone = F.col("dropout_visit").isNotNull() | F.col("y").isNull()
-    counts = _fold(marked.withColumn("gone", gone), ["replicate", "gone"], carried)
+    counts = (
+        marked.withColumn("gone", gone)
+        .groupBy("replicate", "gone", "cell")
+        .agg(*_totals(F.col("y"), carried))
+    )
     counts = counts.withColumns(
         {
             "scenario": scenario_label([r.label for r in rates], scenario_of(s)),
