@@ -195,3 +195,51 @@ def test_single_draw(trial):
     assert as_set(again, *columns) == as_set(first, *columns)
     with pytest.raises(ValueError):
         compare_once(responses, subjects)
+
+
+# --- paths that ordinary data does not take ----------------------------------
+
+
+@pytest.mark.parametrize("hint", [20, 10**13])
+def test_folding_survives_wrong_size_hints(trial, hint):
+    """A far too large hint makes the first search miss in many replicates."""
+    from lacuna.operators.mechanisms import mcar_folded
+    from lacuna.operators.profile import subject_profile
+    from lacuna.operators.sampling import Fold
+
+    responses, subjects = trial
+    universe = subject_profile(responses, subjects).filter("in_universe")
+    fold = Fold(("cell",), (F.count("y").alias("seen"),))
+    columns = ("replicate", "cell", "level", "n")
+
+    def totals(n):
+        folded = mcar_folded(universe, n, SEEDS, [0.1, 0.3], fold)
+        return as_set(
+            folded.groupBy("replicate", "cell", "level").agg(F.sum("seen").alias("n")), *columns
+        )
+
+    expected = totals(1500)
+    assert totals(hint) == expected
+    assert len({(r, level) for r, _, level, _ in expected}) == 9
+
+
+def test_unlisted_subject_is_never_missing_under_mcar(make_trial):
+    """With a model that does not need the subject table its response still counts."""
+    from dataclasses import replace
+
+    from lacuna.study import DEFAULT_STUDY, Contrast, Design, Factor
+
+    design = Design(
+        (Factor("TRTP", ("ACTIVE", "PLACEBO")),),
+        (Contrast("AvsP", "TRTP", "ACTIVE", "PLACEBO"),),
+    )
+    study = replace(DEFAULT_STUDY, design=design)
+    folk = {i: ("F", ("ACTIVE", "PLACEBO")[i % 2], {6: (0.0, 1)}) for i in range(1, 21)}
+    responses, subjects = make_trial(folk, unlisted={1, 2})
+    cells = mcar_cells(responses, subjects, [1, 2], [0.5], study)
+    got = cells.groupBy("seed", "strategy").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
+    assert as_set(got, "seed", "strategy", "n", "r") == {
+        (seed, strategy, n, r)
+        for seed in (1, 2)
+        for strategy, n, r in (("completers", 11, 11), ("imputed", 20, 11), ("locf", 11, 11))
+    }
