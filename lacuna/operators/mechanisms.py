@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import attach_small, draw_key, settle_counting, tasks_for
+from lacuna.functions import attach_small, draw_key, tasks_for
 from lacuna.operators.profile import poor_before
 from lacuna.operators.sampling import Fold, PoolClass, draw_cuts, draw_folded, is_drawn
 from lacuna.study import DEFAULT_STUDY, MarRates, Study

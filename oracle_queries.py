@@ -7,6 +7,8 @@ and the logistic fit is solved by bisection instead of Newton steps.
 
 from __future__ import annotations
 
+import re
+
 # The xxHash64 constants, as published.
 P1 = 0x9E3779B185EBCA87
 P2 = 0xC2B2AE3D27D4EB4F
@@ -298,8 +300,6 @@ def _with(*parts: str, out: str) -> str:
 
 
 def _renamed(sql: str, suffix: str, names: tuple[str, ...]) -> str:
-    import re
-
     for name in names:
         sql = re.sub(rf"\b{name}\b", f"{name}_{suffix}", sql)
     return sql

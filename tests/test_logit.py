@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import functions as F
 
 from lacuna.operators import analysis_set, model_cells, odds_ratios
 from lacuna.operators.logit import fit_cells
