@@ -56,6 +56,13 @@ from lacuna.study import (  # noqa: E402
     REPLICATES,
 )
 
+try:
+    from lacuna.llm import registry as training_data
+except ModuleNotFoundError as missing:
+    if missing.name not in ("lacuna.llm", "corpus_pipeline"):
+        raise
+    training_data = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 ROW_SEEDS = range(1, 21)
 SINGLE_SEED = 7
@@ -212,8 +219,12 @@ def queries() -> Queries:
         **source_queries(),
         **row_queries(ROW_SEEDS),
         **simulation_queries(REPLICATES),
+        **(training_data.QUERIES if training_data else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.build(REPLICATES[-1], ROW_SEEDS[-1], SINGLE_SEED)
+    return {
+        **oracle_queries.build(REPLICATES[-1], ROW_SEEDS[-1], SINGLE_SEED),
+        **(training_data.ORACLE_SQL if training_data else {}),
+    }

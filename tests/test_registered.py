@@ -25,7 +25,9 @@ def duck():
 
 
 def test_same_keys():
-    assert set(registered.queries()) == set(registered.oracle_sql()) == set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(registered.queries())
+    assert set(registered.oracle_sql()) <= set(registered.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
