@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text a task works on at once; a longer text is worked on alone.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 #: Rows of one Arrow batch of texts.
 BATCH_ROWS = 1_000
 
