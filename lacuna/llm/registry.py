@@ -6,10 +6,12 @@ from lacuna.llm.classifier import quality_query
 from lacuna.llm.packing import packing_query
 from lacuna.llm.rules import rules_query
 from lacuna.llm.sentencepieces import sentencepiece_query
+from lacuna.llm.simhash import simhash_query
 
 QUERIES = {
     "op3_best_fit_packing": packing_query,
     "op5_quality_rules": rules_query,
+    "op6_simhash": simhash_query,
     "op9_sentencepiece": sentencepiece_query,
     "op10_quality_classifier": quality_query,
 }
