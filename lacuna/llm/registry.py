@@ -7,13 +7,17 @@ from lacuna.llm.packing import packing_query
 from lacuna.llm.rules import rules_query
 from lacuna.llm.sentencepieces import sentencepiece_query
 from lacuna.llm.simhash import simhash_query
+from lacuna.llm.urls import URL_SQL, url_query
 
 QUERIES = {
     "op3_best_fit_packing": packing_query,
+    "op4_url_filters": url_query,
     "op5_quality_rules": rules_query,
     "op6_simhash": simhash_query,
     "op9_sentencepiece": sentencepiece_query,
     "op10_quality_classifier": quality_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_url_filters": URL_SQL,
+}
