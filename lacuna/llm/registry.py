@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lacuna.llm.chat import chat_query
 from lacuna.llm.classifier import quality_query
 from lacuna.llm.packing import packing_query
 from lacuna.llm.rules import rules_query
@@ -10,6 +11,7 @@ from lacuna.llm.simhash import simhash_query
 from lacuna.llm.urls import URL_SQL, url_query
 
 QUERIES = {
+    "op2_chat_formatting": chat_query,
     "op3_best_fit_packing": packing_query,
     "op4_url_filters": url_query,
     "op5_quality_rules": rules_query,
