@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lacuna.llm.chat import chat_query
 from lacuna.llm.classifier import quality_query
+from lacuna.llm.lm import lm_query
 from lacuna.llm.neighbours import neighbour_query
 from lacuna.llm.packing import packing_query
 from lacuna.llm.rules import rules_query
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality_rules": rules_query,
     "op6_simhash": simhash_query,
     "op7_neighbours": neighbour_query,
+    "op8_pitman_yor": lm_query,
     "op9_sentencepiece": sentencepiece_query,
     "op10_quality_classifier": quality_query,
 }
