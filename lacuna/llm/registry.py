@@ -10,9 +10,11 @@ from lacuna.llm.packing import packing_query
 from lacuna.llm.rules import rules_query
 from lacuna.llm.sentencepieces import sentencepiece_query
 from lacuna.llm.simhash import simhash_query
+from lacuna.llm.suffixes import suffix_query
 from lacuna.llm.urls import URL_SQL, url_query
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_query,
     "op2_chat_formatting": chat_query,
     "op3_best_fit_packing": packing_query,
     "op4_url_filters": url_query,
