@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lacuna.llm.chat import chat_query
 from lacuna.llm.classifier import quality_query
 from lacuna.llm.lm import lm_query
@@ -24,8 +25,11 @@ QUERIES = {
     "op8_pitman_yor": lm_query,
     "op9_sentencepiece": sentencepiece_query,
     "op10_quality_classifier": quality_query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op4_url_filters": URL_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

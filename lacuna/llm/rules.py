@@ -217,6 +217,18 @@ def judge(
     )
 
 
+def clean(documents: DataFrame, host: str = "source") -> DataFrame:
+    """The rows that are kept, without their boilerplate lines; ``n_chars`` follows if there is one."""
+    judged = judge(documents, host, tuple(documents.columns)).filter("kept")
+    lines = F.split("text", "\n", -1)
+    rest = F.filter(lines, lambda line, at: ~F.array_contains("removed_lines", at))
+    cut = F.when(F.size("removed_lines") > 0, F.array_join(rest, "\n")).otherwise(F.col("text"))
+    out = judged.withColumn("text", cut)
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
+    return out.select(*documents.columns)
+
+
 def rules_query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     judged = judge(documents.select("doc_id", "text", "source"))

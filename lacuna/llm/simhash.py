@@ -216,6 +216,15 @@ def near_duplicates(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return rows.join(named, "node")
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """One row of each component: that of its smallest doc_id, null last; one of repeated rows."""
+    rows = settle(fingerprints(documents).withColumn("row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select("doc_id", "fingerprint", "node", "row"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = found.groupBy("root").agg(F.min_by("row", first).alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*documents.columns)
+
+
 def simhash_query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = settle(fingerprints(documents.select("doc_id", "text")).drop("text"))

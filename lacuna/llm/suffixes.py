@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lacuna.functions import settle
 from lacuna.llm.words import MULTIPLIER, flat, mix, powers, split_batch
@@ -431,6 +432,46 @@ def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return _with_spans(documents, length, "doc_id").select("doc_id", "text", "spans").mapInArrow(work, schema)
 
 
+def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without parts of UTF-8 characters at their ends."""
+    out = []
+    for start, end in spans:
+        while start < end and data[start] & 0xC0 == 0x80:
+            start += 1
+        while end > start and end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        if start < end:
+            out.append((start, end))
+    return out
+
+
+def clean(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Every row with its text's repeated bytes removed, whole characters only.
+
+    A null text becomes an empty one; ``n_chars`` follows if there is one.
+    """
+    columns = documents.columns
+    inner = [c for c in columns if c != "text"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            at = batch.schema.get_field_index("text")
+            for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+                data = text.as_py().encode()
+                texts.append(kept_bytes(data, whole_characters(data, merged(spans.as_py()))).decode())
+            rest = batch.select(inner)
+            yield rest.append_column("text", pa.array(texts, pa.string()))
+
+    fields = [documents.schema[c] for c in inner]
+    found = _with_spans(documents, length, *inner).select(*inner, "text", "spans")
+    schema = StructType([*fields, StructField("text", StringType())])
+    out = found.mapInArrow(work, schema)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
+    return out.select(*columns)
+
+
 def suffix_query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return digests(documents.select("doc_id", "text"))
