@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text a task works on at once; a longer text is worked on alone.
 BLOCK_BYTES = 1_000_000
@@ -29,21 +30,26 @@ def text_rows(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
 ) -> DataFrame:
     """``work`` on every Arrow batch, in parts of bounded rows and bytes.
 
-    ``work`` has to return one batch, or none if it has no rows to give.
+    Inside, columns whose names need quoting have plain ones.
     """
+    plain = {c: f"column_{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
+    if isinstance(schema, StructType):
+        names = schema.names
+        schema = StructType(
+            [StructField(plain.get(f.name, f.name), f.dataType, f.nullable) for f in schema]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in split_batch(batch):
-                out = work(part)
-                if out is not None and out.num_rows:
-                    yield out
+                yield work(part)
 
-    return df.mapInArrow(run, schema)
+    out = df.toDF(*(plain.get(c, c) for c in df.columns)).mapInArrow(run, schema)
+    return out.toDF(*names) if plain else out
 
 
 def split_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
