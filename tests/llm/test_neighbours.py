@@ -1,0 +1,53 @@
+import numpy as np
+import pytest
+
+from lacuna.llm import neighbours
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def ask(table):
+    queries = table.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return neighbours.search(neighbours.index(table), queries)
+
+
+def brute(ids, points, query):
+    score = np.sqrt(((points - points[ids.index(query)]) ** 2).sum(axis=1))
+    best = sorted((s, i) for s, i in zip(score.tolist(), ids) if i != query)[:10]
+    return {i: s for s, i in best}
+
+
+@pytest.mark.parametrize("shard_rows", [300, 4000])
+def test_recall_and_scores(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", shard_rows)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = table.collect()
+    ids, points = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+    found = ask(table).toPandas()
+    hits = 0
+    for query, own in found.groupby("query_id"):
+        own = own.sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11))
+        expected = brute(ids, points, query)
+        hits += len(expected.keys() & set(own.vec_id))
+        order = list(zip(own.score, own.vec_id))
+        assert order == sorted(order)
+        for i, s in zip(own.vec_id, own.score):
+            assert s == pytest.approx(np.linalg.norm(points[ids.index(i)] - points[ids.index(query)]), abs=1e-12)
+    assert hits >= 0.95 * len(found)
+
+
+def test_copies_ties_and_odd_vectors(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(90, 131)] + [(100, [1.0, 0.0])]
+    rows += [(1, [0.0, 2.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0])]
+    rows += [(6, []), (None, [1.0, 1.0]), (200, [1.0]), (8, [float("inf"), 1.0]), (300, [0.0, 0.0])]
+    found = ask(spark.createDataFrame(rows, SCHEMA).repartition(3)).orderBy("rank").collect()
+    assert [tuple(r) for r in found] == [
+        (100, k, i, 0.0) for k, i in enumerate([*range(90, 100), *range(101, 131)][:10], 1)
+    ]
+    few = spark.createDataFrame([(100, [1.0, 0.0]), (7, [1.0, 3.0]), (9, [1.0, -3.0])], SCHEMA)
+    assert [tuple(r) for r in ask(few).orderBy("rank").collect()] == [(100, 1, 7, 3.0), (100, 2, 9, 3.0)]
+
+
+def test_empty_table(spark):
+    assert ask(spark.createDataFrame([], SCHEMA)).count() == 0
