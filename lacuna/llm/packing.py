@@ -27,7 +27,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from lacuna.functions import settle
 from lacuna.llm.words import map_batches, text_rows, worker_table
@@ -199,10 +198,10 @@ def _round(bins: DataFrame, capacity: int, tasks: int) -> DataFrame:
     """Merge bins that fit together within each of ``tasks`` partitions."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema=to_arrow_schema(schema))
-        if not table.num_rows:
+        given = [batch for batch in batches if batch.num_rows]
+        if not given:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(given).combine_chunks()
         lists = table.column("pieces").chunk(0)
         fills = table.column("fill").to_numpy()
         # Rows may come in any order after a lost task; the bins must not change.
@@ -222,7 +221,6 @@ def _round(bins: DataFrame, capacity: int, tasks: int) -> DataFrame:
         out = pa.table([pa.array(totals), merged], ["fill", "pieces"])
         yield from out.to_batches(max_chunksize=1000)
 
-    schema = bins.schema
     first = F.col("pieces")[0]
     spread = bins.repartition(1) if tasks == 1 else bins.repartition(
         tasks, F.xxhash64(first["doc_id"], first["piece"], first["ids_crc32"])
