@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,12 +49,20 @@ from lacuna.plans.rows import (  # noqa: E402
     mcar_sample,
     scenario_sizes,
 )
-from lacuna.sources import subject_universe, trial_tables  # noqa: E402
+from lacuna.functions.staging import shared_folder  # noqa: E402
+from lacuna.sources import (  # noqa: E402
+    load_responses,
+    load_subjects,
+    subject_universe,
+    trial_tables,
+)
 from lacuna.study import (  # noqa: E402
+    LAGGED,
     MAR_MENU,
     MAR_SCRIPT,
     MCAR_RATES,
     REPLICATES,
+    RESPONSE,
 )
 
 try:
@@ -64,7 +73,6 @@ except ModuleNotFoundError as missing:
     training_data = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
-ROW_SEEDS = range(1, 21)
 SINGLE_SEED = 7
 Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 RATE = 0.3
@@ -109,11 +117,18 @@ def _single(**scenarios):
     return _trial(query)
 
 
+def _through_csv(table: DataFrame, load) -> DataFrame:
+    """The table as the reader finds it in files with a header and NA for missing."""
+    path = f"{shared_folder(table.sparkSession)}/lacuna-csv-{uuid.uuid4().hex}"
+    table.write.csv(path, header=True, nullValue="NA")
+    return load(table.sparkSession, path)
+
+
 def source_queries() -> Queries:
     lagged = ["SUBJID", "AVISITN", "PCHGCA1N", "LAGPCHGCA1N"]
     return {
-        "load_responses": _trial(lambda r, s: r),
-        "load_subjects": _trial(lambda r, s: s.select("SUBJID", "SEX")),
+        "load_responses": _trial(lambda r, s: _through_csv(r, load_responses)),
+        "load_subjects": _trial(lambda r, s: _through_csv(s, load_subjects)),
         "subject_universe": _trial(lambda r, s: subject_universe(s)),
         "scenario_sizes": _trial(
             lambda r, s: scenario_sizes(r, s, MCAR_RATES, [*MAR_SCRIPT, *MAR_MENU])
@@ -133,16 +148,32 @@ def source_queries() -> Queries:
     }
 
 
+def _per_visit(rows: DataFrame, *more: str) -> DataFrame:
+    """All rows of all seeds in exact totals per seed and visit.
+
+    Weighted by the subject, so that a value at a wrong subject shows.
+    """
+    weight = F.col("SUBJID") % 1009 + 1
+    totals = [F.count(F.lit(1)).alias("n")]
+    for c in ("AVAL", "PCHG", RESPONSE, *more):
+        totals.append(F.sum(F.when(F.col(c).isNotNull(), weight)).alias(f"{c}_seen"))
+    for c in (RESPONSE, *more):
+        totals.append(F.sum(F.col(c).cast("long") * weight).alias(f"{c}_sum"))
+    cents = F.round(F.col("AVAL") * 100).cast("long")
+    totals.append(F.sum(cents).alias("cents"))
+    return rows.groupBy("seed", "AVISITN").agg(*totals)
+
+
 def row_queries(seeds) -> Queries:
     """Queries that return rows per subject and seed."""
 
     def sample(r, s):
-        n = s.count()
-        universe = settle(spread(subject_universe(s), n, len(seeds)))
-        rows = expand(universe, seeds).withColumnRenamed("replicate", "seed")
+        universe = settle(subject_universe(s))
+        n = universe.count()
+        rows = expand(spread(universe, n, len(seeds)), seeds)
+        rows = rows.withColumnRenamed("replicate", "seed")
         key = draw_key(F.col("SUBJID"), F.col("seed"), MCAR_DRAW)
-        drawn = sample_exact(rows, ["seed"], key, RATE, n, len(seeds))
-        return drawn.select("seed", "SUBJID")
+        return sample_exact(rows, ["seed"], key, RATE, n).select("seed", "SUBJID")
 
     def mcar(strategy):
         return _trial(
@@ -157,9 +188,6 @@ def row_queries(seeds) -> Queries:
             lambda r, s: strategy(masked(r, s).filter(F.col("AVISITN") == VISIT)).select(*FITTED)
         )
 
-    masked_columns = [
-        "seed", "SUBJID", "AVISITN", "AVAL", "PCHG", "PCHGCA1N", "LAGPCHGCA1N"
-    ]
     return {
         "mcar_sample": _trial(sample),
         "mcar_sample_nested": _trial(lambda r, s: mcar_sample(s, seeds, MCAR_RATES)),
@@ -167,14 +195,12 @@ def row_queries(seeds) -> Queries:
         "mcar_composite": mcar(impute_composite),
         "mcar_locf": mcar(impute_locf),
         "mar_dropout": _trial(lambda r, s: mar_dropout(r, s, seeds, MAR_SCRIPT)),
-        "mar_masked_long": _trial(lambda r, s: masked(r, s).select(*masked_columns)),
+        "mar_masked_long": _trial(lambda r, s: _per_visit(masked(r, s), LAGGED)),
         "mar_completers": mar(completers),
         "mar_composite": mar(impute_composite),
         "mar_locf": mar(impute_locf),
         "mar_locf_last_observed": _trial(
-            lambda r, s: impute_locf(masked(r, s), mode="last_observed").select(
-                "seed", "SUBJID", "AVISITN", "PCHGCA1N"
-            )
+            lambda r, s: _per_visit(impute_locf(masked(r, s), mode="last_observed"))
         ),
         "mar_locf_all_visits": _ratios(lambda r, s: mar_locf_all_visits(r, s, seeds)),
     }
@@ -197,6 +223,16 @@ def simulation_queries(seeds) -> Queries:
         "mcar_cells": _trial(lambda r, s: mcar_cells(r, s, seeds)),
         "mcar_replicates": _ratios(mcar),
         "mcar_summary": _trial(lambda r, s: _summary(mcar(r, s))),
+        "mcar_summary_median": _trial(
+            lambda r, s: _rounded(
+                mc_summary(mcar(r, s), median=F.median, lowest=F.min).select(
+                    "scenario", "strategy", "contrast", "n", "median", "lowest"
+                ),
+                8,
+                "median",
+                "lowest",
+            )
+        ),
         "mcar_forest_frame": _forest(mcar),
         "mcar_variance_frame": _trial(lambda r, s: variance_frame(mc_summary(mcar(r, s)))),
         "mar_pools": _trial(pools),
@@ -217,7 +253,7 @@ def simulation_queries(seeds) -> Queries:
 def queries() -> Queries:
     return {
         **source_queries(),
-        **row_queries(ROW_SEEDS),
+        **row_queries(REPLICATES),
         **simulation_queries(REPLICATES),
         **(training_data.QUERIES if training_data else {}),
     }
@@ -225,6 +261,6 @@ def queries() -> Queries:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        **oracle_queries.build(REPLICATES[-1], ROW_SEEDS[-1], SINGLE_SEED),
+        **oracle_queries.build(REPLICATES[-1], REPLICATES[-1], SINGLE_SEED),
         **(training_data.ORACLE_SQL if training_data else {}),
     }

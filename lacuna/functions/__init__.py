@@ -8,7 +8,7 @@ from lacuna.functions.columns import (
 )
 from lacuna.functions.staging import (
     attach_small,
-    discard_settled,
+    kept_tables,
     settle,
     settle_counting,
     tasks_for,
@@ -17,7 +17,7 @@ from lacuna.functions.staging import (
 __all__ = [
     "attach_small",
     "cell_code",
-    "discard_settled",
+    "kept_tables",
     "draw_key",
     "pick",
     "poor_response",

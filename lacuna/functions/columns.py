@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from lacuna.study import Design, Study
 
-DRAWS_PER_SEED = 100
-
 
 def draw_key(subject: Column, seed: Column, draw: int) -> Column:
     """Reproducible 64-bit sort key of a subject in one draw of one replicate.
@@ -20,10 +18,7 @@ def draw_key(subject: Column, seed: Column, draw: int) -> Column:
     without replacement. The rate is not part of the key, so a smaller sample
     is always contained in a larger one.
     """
-    if not 0 <= draw < DRAWS_PER_SEED:
-        raise ValueError(f"draw number must be below {DRAWS_PER_SEED}: {draw}")
-    stream = seed.cast("long") * F.lit(DRAWS_PER_SEED) + F.lit(draw)
-    return F.xxhash64(subject.cast("long"), stream)
+    return F.xxhash64(subject.cast("long"), seed.cast("long"), F.lit(draw).cast("long"))
 
 
 def sample_size(rate: Column, pool: Column) -> Column:

@@ -3,30 +3,54 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 8_000_000
-TASKS_PER_CORE = 8
 BROADCAST_ROWS = 500_000
 
-_settled: list[str] = []
+_run: ContextVar[list[str] | None] = ContextVar("kept_tables", default=None)
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; locally a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints, else one in the warehouse.
+
+    A warehouse on the local disk serves local mode only: executors of a cluster
+    would not see each other's files.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lacuna-"))
-    return sc.getCheckpointDir()
+    path = sc._jvm.org.apache.hadoop.fs.Path(warehouse)
+    scheme = path.getFileSystem(sc._jsc.hadoopConfiguration()).getScheme()
+    if scheme == "file" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{warehouse}/lacuna-kept"
+
+
+@contextmanager
+def kept_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables kept inside are deleted at the end; those of other runs stay.
+
+    Results have to be written before the end.
+    """
+    paths: list[str] = []
+    token = _run.set(paths)
+    try:
+        yield paths
+    finally:
+        _run.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def settle_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -36,12 +60,14 @@ def settle_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[st
     ``counts`` are aggregates taken along the way, without another pass.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/lacuna-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lacuna-{uuid.uuid4().hex}"
     schema, seen = df.schema, None
     if counts:
         seen = Observation()
         df = df.observe(seen, *[c.alias(name) for name, c in counts.items()])
-    _settled.append(path)
+    run = _run.get()
+    if run is not None:
+        run.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), dict(seen.get) if counts else {}
 
@@ -50,31 +76,18 @@ def settle(df: DataFrame) -> DataFrame:
     return settle_counting(df)[0]
 
 
-def discard_settled(spark: SparkSession) -> int:
-    """Delete the tables kept so far, once every result built on them is written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = 0
-    while _settled:
-        path = jvm.org.apache.hadoop.fs.Path(_settled.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
-    return gone
-
-
 def tasks_for(spark: SparkSession, rows: int) -> int:
-    """Tasks over which to spread a scan that produces this many rows.
-
-    Rows stream through a task, so beyond some tasks per core more would only
-    add shuffle blocks.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    return min(max(cores, math.ceil(rows / ROWS_PER_TASK)), cores * TASKS_PER_CORE)
+    """Tasks over which to spread a scan that produces this many rows."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK))
 
 
-def attach_small(df: DataFrame, small: DataFrame, on, max_rows: int) -> DataFrame:
-    """Left join a table of at most ``max_rows`` rows.
+def attach_small(df: DataFrame, small: DataFrame, on, rows: int | None = None) -> DataFrame:
+    """Left join of a table that is small as a rule.
 
-    The bound comes from the caller's parameters. Below the limit the table is
-    broadcast and ``df`` stays where it is; above it Spark picks the join.
+    ``rows`` is its number of rows where the caller made it so; otherwise they are
+    counted. Up to BROADCAST_ROWS it is broadcast and ``df`` stays where it is;
+    a larger one is joined as Spark sees fit.
     """
-    return df.join(F.broadcast(small) if max_rows <= BROADCAST_ROWS else small, on, "left")
+    if rows is None:
+        rows = small.count()
+    return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, "left")

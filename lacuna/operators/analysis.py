@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions import settle
 from lacuna.study import DEFAULT_STUDY, LAGGED, RESPONSE, Study
 
+VISITS_PER_BLOCK = 64
+
+
+TIED = "several rows of a subject at one visit: name a column that orders them"
+LISTED_TWICE = "a subject is listed twice"
+
 
 def parameter_rows(
     responses: DataFrame, study: Study = DEFAULT_STUDY, skip_visit: bool = True
@@ -18,8 +25,19 @@ def parameter_rows(
     return rows
 
 
+def unique_subjects(subjects: DataFrame) -> DataFrame:
+    """The subject table; a subject listed twice stops the job."""
+    rest = [c for c in subjects.columns if c != "SUBJID"]
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(LISTED_TWICE)).cast("boolean"))
+    grouped = subjects.groupBy("SUBJID").agg(
+        *[F.first(c).alias(c) for c in rest], once.alias("_once")
+    )
+    # ``_once`` is null; using it keeps the check in the plan.
+    return grouped.filter(F.col("_once").isNull()).select(*subjects.columns)
+
+
 def with_sex(rows: DataFrame, subjects: DataFrame) -> DataFrame:
-    return rows.join(subjects.select("SUBJID", "SEX"), "SUBJID", "left")
+    return rows.join(unique_subjects(subjects.select("SUBJID", "SEX")), "SUBJID", "left")
 
 
 def analysis_set(
@@ -34,13 +52,51 @@ def analysis_set(
     return with_sex(rows, subjects)
 
 
-def response_lag(rows: DataFrame) -> DataFrame:
+def _with_history(
+    rows: DataFrame, study: Study, previous: dict[str, Column], seen: dict[str, Column]
+) -> DataFrame:
+    """Add values of the preceding row, and values last seen (not null) before the row.
+
+    A subject's rows are worked on in blocks of visits, so one with very many is
+    not left to one task; a row that a block does not answer takes what the
+    blocks before it leave over, one row for each of them.
+    """
+    order = ["AVISITN", *([study.tie] if study.tie else [])]
+    rows = rows.withColumn("_block", F.floor(F.col("AVISITN") / VISITS_PER_BLOCK))
+    place = F.struct(*order)
+    edges = {f"_{c}": F.max_by(v, place) for c, v in previous.items()}
+    edges |= {f"_{c}": F.max_by(v, F.when(v.isNotNull(), place)) for c, v in seen.items()}
+    blocks = rows.groupBy("SUBJID", "_block").agg(*[v.alias(c) for c, v in edges.items()])
+    by_block = Window.partitionBy("SUBJID").orderBy("_block")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    left_over = {f"_{c}": F.lag(f"_{c}").over(by_block) for c in previous}
+    left_over |= {f"_{c}": F.last(f"_{c}", ignorenulls=True).over(before) for c in seen}
+    blocks = blocks.select("SUBJID", "_block", *[v.alias(c) for c, v in left_over.items()])
+
+    own = Window.partitionBy("SUBJID", "_block").orderBy(*order)
+    so_far = own.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(own) == 1
+    out = {}
+    for c, v in previous.items():
+        value = F.when(first, F.col(f"_{c}")).otherwise(F.lag(v).over(own))
+        if study.tie is None:
+            tied = F.lag("AVISITN").over(own) == F.col("AVISITN")
+            value = F.when(tied, F.raise_error(F.lit(TIED)).cast("int")).otherwise(value)
+        out[c] = value
+    for c, v in seen.items():
+        out[c] = F.coalesce(F.last(v, ignorenulls=True).over(so_far), F.col(f"_{c}"))
+    joined = rows.join(blocks, ["SUBJID", "_block"], "left").withColumns(out)
+    names = [c for c in rows.columns if c != "_block" and c not in out]
+    return joined.select(*names, *out)
+
+
+def response_lag(rows: DataFrame, study: Study = DEFAULT_STUDY) -> DataFrame:
     """Add the response of the subject's preceding row, in visit order.
 
-    A window holds one subject's visits of one parameter.
+    Rows of one visit follow the study's ``tie`` column; without one they stop the
+    job.
     """
-    visits = Window.partitionBy("SUBJID").orderBy("AVISITN")
-    return rows.withColumn(LAGGED, F.lag(RESPONSE, 1).over(visits))
+    return _with_history(rows, study, {LAGGED: F.col(RESPONSE)}, {})
 
 
 def last_observed(rows: DataFrame, study: Study = DEFAULT_STUDY) -> DataFrame:
@@ -49,19 +105,22 @@ def last_observed(rows: DataFrame, study: Study = DEFAULT_STUDY) -> DataFrame:
     ``SEEN`` serves subjects who stay, ``SEEN_v`` those who leave at visit v. The
     columns do not depend on the replicate, so no window runs over replicates.
     """
-    before = (
-        Window.partitionBy("SUBJID")
-        .orderBy("AVISITN")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    return _with_history(rows, study, {}, _seen(study))
+
+
+def response_history(rows: DataFrame, study: Study = DEFAULT_STUDY) -> DataFrame:
+    """``response_lag`` and ``last_observed`` at once."""
+    return _with_history(rows, study, {LAGGED: F.col(RESPONSE)}, _seen(study))
+
+
+def _seen(study: Study) -> dict[str, Column]:
     usable = F.col(RESPONSE)
     if study.skipped_visit is not None:
         usable = F.when(F.col("AVISITN") != study.skipped_visit, usable)
-    seen = {"SEEN": F.last(usable, ignorenulls=True).over(before)}
-    for v in study.dropout_visits:
-        kept = F.when(F.col("AVISITN") < v, usable)
-        seen[f"SEEN_{v}"] = F.last(kept, ignorenulls=True).over(before)
-    return rows.withColumns(seen)
+    by_visit = {
+        f"SEEN_{v}": F.when(F.col("AVISITN") < v, usable) for v in study.dropout_visits
+    }
+    return {"SEEN": usable, **by_visit}
 
 
 def three_way_table(
@@ -84,10 +143,10 @@ def three_way_table(
             F.count(F.when(F.col(response) == 1, 1)).alias("n_1"),
         )
     )
-    levels = counts.agg(
-        F.collect_set(first).alias("firsts"), F.collect_set(second).alias("seconds")
-    )
-    grid = levels.select(F.explode("firsts").alias(first), "seconds").select(
-        first, F.explode("seconds").alias(second)
-    )
+    counts = settle(counts)
+    seconds = counts.select(second).distinct()
+    seconds = seconds.withColumn("_at", F.row_number().over(Window.orderBy(second)))
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(seconds.count())))
+    firsts = counts.select(first).distinct().withColumn("_at", numbers)
+    grid = firsts.join(seconds, "_at").select(first, second)
     return grid.join(counts, [first, second], "left").na.fill(0, ["n_0", "n_1"])

@@ -18,10 +18,8 @@ from lacuna.study import DEFAULT_DESIGN, Design
 # Executors get the fit by value, so they need numpy but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_STEPS = 100
 TOLERANCE = 1e-10
 LONGEST_STEP = 5.0
-DIVERGED = 30.0
 
 
 def _indicators(design: Design) -> tuple[np.ndarray, list[list[int]]]:
@@ -35,12 +33,35 @@ def _indicators(design: Design) -> tuple[np.ndarray, list[list[int]]]:
     return x, groups
 
 
+def _without_separated(x: np.ndarray, n: np.ndarray, r: np.ndarray):
+    """Counts without the levels of only responders or only non-responders, and these levels.
+
+    The likelihood grows towards an infinite coefficient of such a level, where
+    its rows no longer bear on the others. Taking it out can leave another level
+    one-sided, so this repeats.
+    """
+    separated = np.zeros((len(n), x.shape[1]), bool)
+    while True:
+        margin_n, margin_r = n @ x, r @ x
+        one_sided = (margin_n > 0) & ((margin_r == 0) | (margin_r == margin_n))
+        one_sided[:, 0] = False
+        if not one_sided.any():
+            return n, r, separated
+        separated |= one_sided
+        gone = one_sided @ x.T > 0
+        n, r = np.where(gone, 0, n), np.where(gone, 0, r)
+
+
 def newton_fit(x: np.ndarray, groups: list[list[int]], n: np.ndarray, r: np.ndarray):
     """Coefficients (rows x terms) and convergence flags by Newton steps.
 
-    The first level present is the base with coefficient 0; absent levels get
-    NaN, and so does every term of a fit without a finite maximum.
+    The first level left is the base with coefficient 0; absent levels get NaN
+    and separated ones an infinite value. A fit whose likelihood still has no
+    finite maximum gets NaN in every term. Steps that lower the likelihood are
+    halved; the maximum is found when a step is next to nothing, and there is
+    none when a fitted logit leaves the range that counts of this size allow.
     """
+    n, r, separated = _without_separated(x, n, r)
     present = (n @ x) > 0
     free = present.copy()
     for columns in groups:
@@ -60,11 +81,12 @@ def newton_fit(x: np.ndarray, groups: list[list[int]], n: np.ndarray, r: np.ndar
         except np.linalg.LinAlgError:
             return (np.linalg.pinv(h, hermitian=True) @ g[:, :, None])[:, :, 0]
 
+    def likelihood(at, values):
+        eta = values @ x.T
+        return (r[at] * eta - n[at] * np.logaddexp(0, eta)).sum(axis=1)
+
     theta = np.zeros(free.shape)
-    margin_n, margin_r = n @ x, r @ x
-    # A margin of only responders or only non-responders has no finite estimate.
-    one_sided = present & ((margin_r == 0) | (margin_r == margin_n))
-    todo = (n.sum(axis=1) > 0) & ~one_sided.any(axis=1)
+    todo = n.sum(axis=1) > 0
     if todo.any():
         occupied = curvature((n > 0).astype(float), free)
         todo &= np.linalg.matrix_rank(occupied, hermitian=True) == x.shape[1]
@@ -74,25 +96,35 @@ def newton_fit(x: np.ndarray, groups: list[list[int]], n: np.ndarray, r: np.ndar
     target = weight * np.log(p / (1 - p)) + (r - n * p)
     at = np.flatnonzero(todo)
     theta[at] = solve(curvature(weight[at], free[at]), (target[at] @ x) * free[at])
+    farthest = 12 + 3 * np.log(n.sum(axis=1) + 2)
     converged = np.zeros(len(n), dtype=bool)
-    for _ in range(MAX_STEPS):
+    while True:
+        eta = theta @ x.T
+        todo &= np.abs(np.where(n > 0, eta, 0)).max(axis=1) < farthest
         at = np.flatnonzero(todo)
         if not len(at):
             break
-        eta = theta[at] @ x.T
-        lost = ~(np.abs(np.where(n[at] > 0, eta, 0)).max(axis=1) < DIVERGED)
-        todo[at[lost]] = False
-        at, eta = at[~lost], eta[~lost]
-        p = 1 / (1 + np.exp(-eta))
-        gradient = ((r[at] - n[at] * p) @ x) * free[at]
-        step = solve(curvature(n[at] * p * (1 - p), free[at]), gradient)
+        # The rarer outcome's chance, so that nothing cancels in long tails.
+        rare = 1 / (1 + np.exp(np.abs(eta[at])))
+        high = eta[at] > 0
+        residual = np.where(high, n[at] * rare - (n[at] - r[at]), r[at] - n[at] * rare)
+        step = solve(curvature(n[at] * rare * (1 - rare), free[at]), (residual @ x) * free[at])
         size = np.abs(step).max(axis=1)
-        theta[at] += step * np.minimum(1, LONGEST_STEP / np.maximum(size, TOLERANCE))[:, None]
-        done = at[size < TOLERANCE]
+        step *= np.minimum(1, LONGEST_STEP / np.maximum(size, TOLERANCE))[:, None]
+        before = likelihood(at, theta[at])
+        slack = 1e-12 * np.abs(before) + 1e-12
+        low = (likelihood(at, theta[at] + step) < before - slack) & (size >= TOLERANCE)
+        while low.any():
+            step[low] /= 2
+            low &= np.abs(step).max(axis=1) >= TOLERANCE
+            low &= likelihood(at, theta[at] + step) < before - slack
+        theta[at] += step
+        done = at[np.abs(step).max(axis=1) < TOLERANCE]
         converged[done] = True
         todo[done] = False
     theta[~present] = np.nan
     theta[~converged] = np.nan
+    theta[separated] = np.inf
     return theta, converged
 
 
@@ -148,19 +180,25 @@ def fit_coded(
 def contrast_rows(
     fits: DataFrame, by: Sequence[str], design: Design = DEFAULT_DESIGN
 ) -> DataFrame:
-    """Long odds ratios: plain (``or_raw``) and rounded to four places (``or_value``)."""
+    """Long odds ratios: plain (``or_raw``) and rounded to four places (``or_value``).
+
+    ``converged`` is false where the fit has no maximum, or not in this contrast's
+    levels.
+    """
     rows = []
     for c in design.contrasts:
         top = F.col("coef")[design.position(c.factor, c.level)]
         bottom = F.col("coef")[design.position(c.factor, c.reference)]
         ratio = F.exp(top - bottom)
+        endless = (top == float("inf")) | (bottom == float("inf"))
         rows.append(
             F.struct(
                 F.lit(c.name).alias("contrast"),
-                F.when(~F.isnan(ratio), ratio).alias("or_raw"),
+                F.when(~F.isnan(ratio) & ~endless, ratio).alias("or_raw"),
+                (F.col("converged") & ~endless).alias("converged"),
             )
         )
-    return fits.select(*by, F.inline(F.array(*rows)), "converged").select(
+    return fits.select(*by, F.inline(F.array(*rows))).select(
         *by, "contrast", "or_raw", F.round("or_raw", 4).alias("or_value"), "converged"
     )
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import attach_small, draw_key, tasks_for
+from lacuna.functions.staging import BROADCAST_ROWS
 from lacuna.operators.profile import poor_before
 from lacuna.operators.sampling import Fold, PoolClass, draw_cuts, draw_folded, is_drawn
 from lacuna.study import DEFAULT_STUDY, MarRates, Study
@@ -48,21 +50,37 @@ class Draws:
         return self.cuts.groupBy("replicate").agg(*columns)
 
 
+def seed_blocks(seeds: Sequence[int], scenarios: int = 1) -> list[Sequence[int]]:
+    """The seeds in parts whose cuts are few enough to be sent to every task."""
+    size = max(1, BROADCAST_ROWS // scenarios)
+    return [seeds[i : i + size] for i in range(0, len(seeds), size)]
+
+
 def expand(rows: DataFrame, seeds: Sequence[int], scenarios: int = 1) -> DataFrame:
     """Repeat rows once per scenario and seed; ``replicate`` numbers the pair."""
+
+    def numbers(first: int, last: int) -> Column:
+        return F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")))
+
+    s = scenarios
+    if not len(seeds):
+        return rows.select("*", F.lit(None).cast("long").alias("replicate")).limit(0)
     if isinstance(seeds, range) and seeds.step == 1:
-        if scenarios == 1:
-            ids = F.sequence(F.lit(seeds.start).cast("long"), F.lit(seeds.stop - 1).cast("long"))
-        else:
-            ids = F.sequence(
-                F.lit(seeds.start * scenarios).cast("long"),
-                F.lit(seeds.stop * scenarios - 1).cast("long"),
-            )
-    else:
-        ids = F.array(
-            *[F.lit(int(s) * scenarios + i).cast("long") for s in seeds for i in range(scenarios)]
-        )
-    return rows.select("*", F.explode(ids).alias("replicate"))
+        return rows.select("*", numbers(seeds.start * s, seeds.stop * s - 1).alias("replicate"))
+    counted = rows.select("*", numbers(0, len(seeds) * s - 1).alias("_at"))
+    place, scenario = F.expr(f"_at div {s}"), F.col("_at") % s
+    if isinstance(seeds, range):
+        seed = F.lit(seeds.start) + place * F.lit(seeds.step)
+        return counted.withColumn("replicate", seed * s + scenario).drop("_at")
+    listed = rows.sparkSession.createDataFrame(
+        [(i, int(seed)) for i, seed in enumerate(seeds)], "_place long, _seed long"
+    )
+    return (
+        counted.withColumn("_place", place)
+        .join(F.broadcast(listed), "_place")
+        .withColumn("replicate", F.col("_seed") * s + scenario)
+        .drop("_at", "_place", "_seed")
+    )
 
 
 def seed_of(scenarios: int) -> Column:
@@ -80,6 +98,20 @@ def spread(rows: DataFrame, n_rows: int, n_replicates: int) -> DataFrame:
     return rows.repartition(tasks_for(rows.sparkSession, n_rows * n_replicates), "SUBJID")
 
 
+def _with_cuts(
+    rows: DataFrame, seeds: Sequence[int], scenarios: int, cuts: DataFrame
+) -> DataFrame:
+    """Expanded rows with their replicate's cuts (one row each), one block of seeds at a time."""
+    parts = []
+    for block in seed_blocks(seeds, scenarios):
+        low, high = min(block) * scenarios, (max(block) + 1) * scenarios
+        # A listed block may leave out seeds in between; their cuts are not there.
+        own = cuts.filter((F.col("replicate") >= low) & (F.col("replicate") < high))
+        expanded = expand(rows, block, scenarios)
+        parts.append(attach_small(expanded, own, "replicate", len(block) * scenarios))
+    return reduce(DataFrame.unionByName, parts) if parts else expand(rows, seeds, scenarios)
+
+
 # --- missing completely at random -------------------------------------------
 
 
@@ -122,7 +154,6 @@ def _mcar_search(n_universe, seeds, rates):
         draw_key(F.col("SUBJID"), F.col("replicate"), MCAR_DRAW),
         [F.lit(p) for p in rates],
         [PoolClass(tuple(rates), n_universe)],
-        len(seeds),
     )
 
 
@@ -147,7 +178,7 @@ def mark_level(rows: DataFrame, draws: Draws, rates: Sequence[float]) -> DataFra
     """
     n = len(rates)
     cuts = draws.side_by_side(_per_rate(rates))
-    wide = attach_small(expand(rows, draws.seeds), cuts, "replicate", draws.n_replicates)
+    wide = _with_cuts(rows, draws.seeds, 1, cuts)
     key = draw_key(F.col("SUBJID"), F.col("replicate"), MCAR_DRAW)
     level = F.when(F.col("in_universe"), _level(F.col("_key"), F.col("SUBJID"), n))
     return (
@@ -177,8 +208,8 @@ def _leaves(visit: int, scenarios: int) -> Column:
 
 def _dropout(rows: DataFrame, draws: Draws, visits: Sequence[int]) -> DataFrame:
     """Expanded rows with the dropout visit after the given steps."""
-    out = expand(rows, draws.seeds, draws.scenarios)
     if not visits:
+        out = expand(rows, draws.seeds, draws.scenarios)
         return out.withColumn("dropout_visit", F.lit(None).cast("int"))
     cuts = draws.side_by_side(
         {
@@ -187,7 +218,7 @@ def _dropout(rows: DataFrame, draws: Draws, visits: Sequence[int]) -> DataFrame:
             for pool, where in ((HIGH, "is_high"), (LOW, "not is_high"))
         }
     )
-    out = attach_small(out, cuts, "replicate", draws.n_replicates)
+    out = _with_cuts(rows, draws.seeds, draws.scenarios, cuts)
     steps = [F.when(_leaves(v, draws.scenarios), F.lit(v)) for v in visits]
     return out.withColumn("dropout_visit", F.coalesce(*steps))
 
@@ -225,6 +256,25 @@ def _pool_hints(counts, rates, study) -> dict[int, tuple[int, int]]:
     return hints
 
 
+def _step(
+    subjects: DataFrame,
+    draws: Draws,
+    done: Sequence[int],
+    visit: int,
+    hint: tuple[int, int],
+    rates: Sequence[MarRates],
+) -> tuple:
+    """What a search for the cuts of one visit needs, once the visits ``done`` are drawn."""
+    s, high, low = len(rates), [r.high for r in rates], [r.low for r in rates]
+    return (
+        _dropout(subjects, draws, done).withColumn("is_high", _pool(visit)),
+        ["replicate", "is_high"],
+        draw_key(F.col("SUBJID"), seed_of(s), visit),
+        [F.when(F.col("is_high"), _by_scenario(high, s)).otherwise(_by_scenario(low, s))],
+        [PoolClass(tuple(high), hint[0], F.col("is_high")), PoolClass(tuple(low), hint[1])],
+    )
+
+
 def mar_draws(
     profile: DataFrame,
     counts: dict[str, int],
@@ -234,37 +284,48 @@ def mar_draws(
 ) -> Draws:
     """Samples of both pools at every dropout visit, each step knowing the last.
 
-    ``counts`` are the values of ``pool_counts`` for the profile. Steps depend on each other within a replicate, so visits are worked through
-    in turn, all replicates at once.
+    ``counts`` are the values of ``pool_counts`` for the profile. Steps depend on
+    each other within a replicate, so visits are worked through in turn, all
+    replicates at once.
     """
-    s = len(rates)
-    needed = ["SUBJID", "in_universe", *map(poor_before, study.dropout_visits)]
-    subjects = profile.select(*needed)
-    draws, hints = Draws(None, seeds, s), _pool_hints(counts, rates, study)
-    high, low = [r.high for r in rates], [r.low for r in rates]
-    for i, visit in enumerate(study.dropout_visits):
-        rows = (
-            _dropout(subjects, draws, study.dropout_visits[:i])
-            .withColumn("is_high", _pool(visit))
-            .select("SUBJID", "replicate", "is_high")
-        )
-        found = draw_cuts(
-            rows,
-            ["replicate", "is_high"],
-            draw_key(F.col("SUBJID"), seed_of(s), visit),
-            [F.when(F.col("is_high"), _by_scenario(high, s)).otherwise(_by_scenario(low, s))],
-            [
-                PoolClass(tuple(high), hints[visit][0], F.col("is_high")),
-                PoolClass(tuple(low), hints[visit][1]),
-            ],
-            3 * draws.n_replicates,
-        )
+    draws, hints = Draws(None, seeds, len(rates)), _pool_hints(counts, rates, study)
+    return _draw_visits(profile, draws, study.dropout_visits, hints, rates)
+
+
+def _draw_visits(profile, draws, visits, hints, rates) -> Draws:
+    subjects = profile.select("SUBJID", "in_universe", *map(poor_before, hints))
+    for i, visit in enumerate(visits):
+        rows, *search = _step(subjects, draws, visits[:i], visit, hints[visit], rates)
+        found = draw_cuts(rows.select("SUBJID", "replicate", "is_high"), *search)
         found = found.filter(F.col("is_high").isNotNull()).withColumn("visit", F.lit(visit))
         cuts = found if draws.cuts is None else draws.cuts.unionByName(found)
-        draws = Draws(cuts, seeds, s)
+        draws = Draws(cuts, draws.seeds, draws.scenarios)
     return draws
 
 
+def mar_folded(
+    profile: DataFrame,
+    counts: dict[str, int],
+    seeds: Sequence[int],
+    rates: Sequence[MarRates],
+    fold: Fold,
+    study: Study = DEFAULT_STUDY,
+) -> DataFrame:
+    """Totals per replicate, ``fold.by`` and whether the last visit draws the subject (``leaves``).
+
+    They are taken in the pass that finds the cuts of the last dropout visit, in
+    which ``fold`` can use ``dropout_visit``, the visit of an earlier dropout.
+    """
+    *earlier, last = study.dropout_visits
+    hints = _pool_hints(counts, rates, study)
+    draws = _draw_visits(profile, Draws(None, seeds, len(rates)), earlier, hints, rates)
+    cuts, folded = draw_folded(*_step(profile, draws, earlier, last, hints[last], rates), fold)
+    own = cuts.select("replicate", "is_high", "cut_key", "cut_id")
+    leaves = is_drawn(F.col("at_key"), F.col("at_id"), F.col("cut_key"), F.col("cut_id"))
+    placed = folded.join(own, ["replicate", "is_high"], "left")
+    return placed.withColumn("leaves", leaves).drop("cut_key", "cut_id", "at_key", "at_id")
+
+
 def mark_dropout(
     rows: DataFrame, draws: Draws, study: Study = DEFAULT_STUDY
 ) -> DataFrame:

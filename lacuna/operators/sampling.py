@@ -42,6 +42,8 @@ class PoolClass:
 
 def _bands(rates, size_hint: int, width: float) -> list[tuple[int, int]]:
     """Key intervals [low, high) around the quantiles, merged where they meet."""
+    if not all(0 <= p <= 1 for p in rates):
+        raise ValueError(f"rates must lie between 0 and 1: {sorted(set(rates))}")
     n = max(size_hint, 1)
     bands: list[tuple[int, int]] = []
     for p in sorted(set(rates)):
@@ -142,18 +144,17 @@ def draw_cuts(
     key: Column,
     rates: Sequence[Column],
     classes: Sequence[PoolClass],
-    max_groups: int,
     id_col: str = "SUBJID",
 ) -> DataFrame:
     """The last key drawn from each group, at each of its rates.
 
     ``rates`` are a group's sampling rates, as expressions over the ``by`` columns.
     ``classes`` tell where to look first; wrong size hints cost time, not
-    exactness. ``max_groups`` bounds the number of groups.
+    exactness.
     Returns ``by``, ``rate``, ``pool``, ``taken``, ``cut_key``, ``cut_id``; both cut
     columns are null where nothing is drawn.
     """
-    return _draw(rows, by, key, rates, classes, max_groups, id_col, NOTHING)[0]
+    return _draw(rows, by, key, rates, classes, id_col, NOTHING)[0]
 
 
 def draw_folded(
@@ -162,7 +163,6 @@ def draw_folded(
     key: Column,
     rates: Sequence[Column],
     classes: Sequence[PoolClass],
-    max_groups: int,
     fold: Fold,
     id_col: str = "SUBJID",
 ) -> tuple[DataFrame, DataFrame]:
@@ -172,11 +172,11 @@ def draw_folded(
     places lie wholly on one side of every cut, so ``is_drawn`` of a place holds
     for all rows folded into it.
     """
-    cuts, folded = _draw(rows, by, key, rates, classes, max_groups, id_col, fold)
+    cuts, folded = _draw(rows, by, key, rates, classes, id_col, fold)
     return cuts, folded.withColumnsRenamed({"cut_key": "at_key", "cut_id": "at_id"})
 
 
-def _draw(rows, by, key, rates, classes, max_groups, id_col, fold):
+def _draw(rows, by, key, rates, classes, id_col, fold):
     todo, width, found, folded = rows, FIRST_WIDTH, None, None
     while True:
         places = counted = _count(todo, by, key, id_col, classes, width, fold)
@@ -192,7 +192,7 @@ def _draw(rows, by, key, rates, classes, max_groups, id_col, fold):
         found = _also(found, _without(cuts, again, by))
         if fold is not NOTHING:
             folded = _also(folded, _without(counted, again, by))
-        todo = _only(rows, again, by, max_groups)
+        todo = _only(rows, again, by)
         width *= WIDEN
 
 
@@ -205,11 +205,11 @@ def _without(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     return rows.alias("here").join(groups.alias("there"), reduce(and_, same), "left_anti")
 
 
-def _only(rows: DataFrame, groups: DataFrame, by: list[str], max_groups: int) -> DataFrame:
+def _only(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     """The rows of the given groups; a group's key can be null."""
     small = groups.select(*[F.col(c).alias(f"_{c}") for c in by], F.lit(True).alias("_again"))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    return attach_small(rows, small, same, max_groups).filter("_again").select(*rows.columns)
+    return attach_small(rows, small, same).filter("_again").select(*rows.columns)
 
 
 def is_drawn(key: Column, id_: Column, cut_key: Column, cut_id: Column) -> Column:
@@ -225,7 +225,6 @@ def sample_exact(
     key: Column,
     rate: float,
     size_hint: int,
-    max_groups: int,
     id_col: str = "SUBJID",
 ) -> DataFrame:
     """Rows of an exact-size sample without replacement from every group."""
@@ -235,8 +234,7 @@ def sample_exact(
         key,
         [F.lit(float(rate))],
         [PoolClass((rate,), size_hint)],
-        max_groups,
         id_col,
     ).select(*by, "cut_key", "cut_id")
     drawn = is_drawn(key, F.col(id_col), F.col("cut_key"), F.col("cut_id"))
-    return attach_small(rows, cuts, by, max_groups).filter(drawn).drop("cut_key", "cut_id")
+    return attach_small(rows, cuts, by).filter(drawn).drop("cut_key", "cut_id")

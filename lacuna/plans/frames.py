@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.study import STRATEGIES
+
 # Axis, group and legend labels, in display order.
 AXIS_LABELS = {
     "AvsP": "TRTP Active control \n vs Placebo",
@@ -51,23 +53,21 @@ def forest_frame(summary: DataFrame, truth: DataFrame) -> DataFrame:
 
     The truth's limits are its value.
     """
-    shown = summary.select(
-        "scenario",
-        "strategy",
-        "contrast",
-        F.col("mean").alias("boxOdds"),
-        F.col("low").alias("boxCILow"),
-        F.col("high").alias("boxCIHigh"),
-    )
-    known = truth.select("contrast", F.col("or_value").alias("boxOdds"))
-    complete = (
-        summary.groupBy("scenario", "contrast")
-        .agg(F.lit("complete").alias("strategy"))
-        .join(known, "contrast")
-        .withColumns({"boxCILow": F.col("boxOdds"), "boxCIHigh": F.col("boxOdds")})
-    )
+    known = truth.select("contrast", F.col("or_value").alias("known"))
+
+    def row(strategy: Column, *values: str) -> Column:
+        names = ("boxOdds", "boxCILow", "boxCIHigh")
+        return F.struct(
+            strategy.alias("strategy"), *[F.col(v).alias(n) for v, n in zip(values, names)]
+        )
+
+    own = row(F.col("strategy"), "mean", "low", "high")
+    complete = row(F.lit("complete"), "known", "known", "known")
+    # The truth stands beside one strategy of each scenario.
+    both = F.when(F.col("strategy") == STRATEGIES[0], F.array(own, complete))
     return (
-        shown.unionByName(complete)
+        summary.join(known, "contrast")
+        .select("scenario", "contrast", F.inline(both.otherwise(F.array(own))))
         .orderBy("scenario", _place("strategy", GROUP_LABELS), _place("contrast", AXIS_LABELS))
         .select(
             "scenario",

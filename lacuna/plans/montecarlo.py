@@ -10,21 +10,22 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import settle, settle_counting, standard_normal_quantile
+from lacuna.functions import settle_counting, standard_normal_quantile
 from lacuna.functions.columns import cell_label
 from lacuna.operators.cells import model_cells
 from lacuna.operators.logit import contrast_rows, fit_coded, odds_ratios
 from lacuna.operators.mechanisms import (
     expand,
-    mar_draws,
-    mark_dropout,
+    mar_folded,
     mcar_folded,
     pool_counts,
     scenario_of,
+    seed_blocks,
     seed_of,
     spread,
 )
@@ -57,57 +58,43 @@ def complete_odds_ratios(
 # --- from marked subjects to cells per strategy -----------------------------
 
 
-def _totals(y: Column, carried: Column, present: Column | None = None) -> tuple[Column, ...]:
-    """Counts that all three strategies derive from, over the present rows."""
-    here = F.lit(True) if present is None else present
-    y, carried = F.when(here, y.cast("long")), F.when(here, carried.cast("long"))
+def _sums(**columns: str | Column) -> tuple[Column, ...]:
     zero = F.lit(0).cast("long")
-    return (
-        F.count_if(here).alias("rows"),
-        F.count(y).alias("seen_n"),
-        F.coalesce(F.sum(y), zero).alias("seen_r"),
-        F.count(carried).alias("carried_n"),
-        F.coalesce(F.sum(carried), zero).alias("carried_r"),
-    )
+    return tuple(F.coalesce(F.sum(c), zero).alias(name) for name, c in columns.items())
 
 
-def _by_strategy(counts: DataFrame, missing: Column, keep: Sequence[str]) -> DataFrame:
-    """Cells of the three strategies, in parts that add up; a missing subject is
-    dropped, set to no response, or given its earlier one."""
-    zero = F.lit(0).cast("long")
+def _by_strategy(counts: DataFrame, cases: Sequence[tuple[Column, Column]], keep) -> DataFrame:
+    """Cells of the three strategies from (observations, responders) of each."""
+    parts = [
+        F.struct(F.lit(strategy).alias("strategy"), n.alias("n"), r.alias("r"))
+        for strategy, (n, r) in zip(STRATEGIES, cases)
+    ]
+    return counts.select(*keep, "cell", F.inline(F.array(*parts))).filter(F.col("n") > 0)
 
-    def part(strategy, n, r):
-        return F.struct(
-            F.lit(strategy).alias("strategy"),
-            F.when(missing, n).otherwise(F.col("seen_n")).alias("n"),
-            F.when(missing, r).otherwise(F.col("seen_r")).alias("r"),
-        )
 
-    parts = F.array(
-        part(STRATEGIES[0], zero, zero),
-        part(STRATEGIES[1], F.col("rows"), zero),
-        part(STRATEGIES[2], F.col("carried_n"), F.col("carried_r")),
-    )
-    return counts.select(*keep, "cell", F.inline(parts)).filter(F.col("n") > 0)
+def _if(condition: Column, yes: str | Column, no: str | Column) -> Column:
+    yes, no = (F.col(c) if isinstance(c, str) else c for c in (yes, no))
+    return F.when(condition, yes).otherwise(no)
 
 
 def _mcar_coded(responses, subjects, seeds, rates, study) -> DataFrame:
     rates = sorted(map(float, rates))
-    n = subjects.count()
-    profile = subject_profile(responses, subjects, study).select(
-        "SUBJID", "in_universe", "has_row", "y", "lag", "cell"
-    )
-    profile = settle(spread(profile, n, len(seeds)))
-    totals = _totals(F.col("y"), F.col("lag"), F.col("has_row"))
-    kept = ["replicate", "cell", "level", "rows", "seen_n", "seen_r", "carried_n", "carried_r"]
-    drawn = mcar_folded(
-        profile.filter("in_universe"), n, seeds, rates, Fold(("cell",), totals)
+    columns = ["n_rows", "y_n", "y_r", "lag_n", "lag_r"]
+    profile = subject_profile(responses, subjects, study)
+    profile, size = settle_counting(
+        profile.select("SUBJID", "in_universe", *columns, "cell"), n=F.count_if("in_universe")
     )
+    totals = _sums(**{c: c for c in columns})
+    kept = ["replicate", "cell", "level", *columns]
+    listed = spread(profile.filter("in_universe"), size["n"], len(seeds))
+    drawn = [
+        mcar_folded(listed, size["n"], block, rates, Fold(("cell",), totals))
+        for block in seed_blocks(seeds)
+    ]
     unlisted = profile.filter("not in_universe").groupBy("cell").agg(*totals)
     never = expand(unlisted, seeds).withColumn("level", F.lit(len(rates) + 1))
-    counts = drawn.select(*kept).unionByName(never.select(*kept)).filter(
-        F.col("cell").isNotNull()
-    )
+    parts = [part.select(*kept) for part in [*drawn, never]]
+    counts = reduce(DataFrame.unionByName, parts).filter(F.col("cell").isNotNull())
     # Each scenario takes as missing all levels up to its own.
     per_scenario = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(rates)))).alias("at"))
     per_scenario = per_scenario.withColumns(
@@ -116,46 +103,69 @@ def _mcar_coded(responses, subjects, seeds, rates, study) -> DataFrame:
             "seed": F.col("replicate"),
         }
     )
-    return _by_strategy(per_scenario, F.col("level") <= F.col("at"), KEYS[:2])
+    missing, zero = F.col("level") <= F.col("at"), F.lit(0).cast("long")
+    cases = [
+        (_if(missing, zero, "y_n"), _if(missing, zero, "y_r")),
+        (_if(missing, "n_rows", "y_n"), _if(missing, zero, "y_r")),
+        (_if(missing, "lag_n", "y_n"), _if(missing, "lag_r", "y_r")),
+    ]
+    return _by_strategy(per_scenario, cases, KEYS[:2])
 
 
 def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
     s = len(rates)
-    n = subjects.count()
-    profile = subject_profile(responses, subjects, study, lag_skips_visit=False)
-    poor = [poor_before(v) for v in study.dropout_visits]
+    *earlier, last = study.dropout_visits
     if locf == "lag1_original":
-        carried, carries = F.col("lag"), ["lag"]
+        null, carries = "null_lag", ["lag"]
+        gone = {part: F.col(f"lag_{part}") for part in "nr"}
     elif locf == "last_observed":
-        carried = F.when(F.col("dropout_visit").isNull(), F.col("seen"))
-        for v in study.dropout_visits:
-            carried = carried.when(F.col("dropout_visit") == v, F.col(f"seen_{v}"))
-        carries = ["seen", *[f"seen_{v}" for v in study.dropout_visits]]
+        null, carries = "null_seen", [f"gone_{v}" for v in study.dropout_visits]
+        gone = {}
+        for part in "nr":
+            gone[part] = F.col(f"gone_{last}_{part}")
+            for v in earlier:
+                at_v = F.col("dropout_visit") == v
+                gone[part] = F.when(at_v, F.col(f"gone_{v}_{part}")).otherwise(gone[part])
     else:
         raise ValueError(f"unknown mode: {locf}")
-    profile = profile.select(
-        "SUBJID", "in_universe", *poor, "has_row", "y", *carries, "cell"
-    )
+    columns = ["n_rows", *[f"{name}_{part}" for name in ("y", null, *carries) for part in "nr"]]
+    profile = subject_profile(responses, subjects, study, lag_skips_visit=False)
+    poor = [poor_before(v) for v in study.dropout_visits]
     profile, sizes = settle_counting(
-        spread(profile, n, len(seeds) * s), **pool_counts(study)
+        profile.select("SUBJID", "in_universe", *poor, *columns, "cell"), **pool_counts(study)
     )
-    draws = mar_draws(profile, sizes, seeds, rates, study)
-    fitted = profile.filter(F.col("has_row") & F.col("cell").isNotNull())
-    marked = mark_dropout(fitted, draws, study)
-    # A response that was null all along is handled like one masked by dropout.
-    gone = F.col("dropout_visit").isNotNull() | F.col("y").isNull()
-    counts = (
-        marked.withColumn("gone", gone)
-        .groupBy("replicate", "gone", "cell")
-        .agg(*_totals(F.col("y"), carried))
+    profile = spread(profile, sizes["in_universe"], len(seeds) * s)
+    totals = _sums(
+        rows="n_rows",
+        y_n="y_n",
+        y_r="y_r",
+        null_n=f"{null}_n",
+        null_r=f"{null}_r",
+        gone_n=gone["n"],
+        gone_r=gone["r"],
     )
+    fold = Fold(("cell", "dropout_visit"), totals)
+    folded = [
+        mar_folded(profile, sizes, block, rates, fold, study) for block in seed_blocks(seeds, s)
+    ]
+    counts = reduce(DataFrame.unionByName, folded).filter(F.col("cell").isNotNull())
     counts = counts.withColumns(
         {
             "scenario": scenario_label([r.label for r in rates], scenario_of(s)),
             "seed": seed_of(s),
         }
     )
-    return _by_strategy(counts, F.col("gone"), KEYS[:2])
+    # A response that was null all along is handled like one masked by dropout.
+    left, zero = F.col("dropout_visit").isNotNull() | F.col("leaves"), F.lit(0).cast("long")
+    cases = [
+        (_if(left, zero, "y_n"), _if(left, zero, "y_r")),
+        (F.col("rows"), _if(left, zero, "y_r")),
+        (
+            _if(left, "gone_n", F.col("y_n") + F.col("null_n")),
+            _if(left, "gone_r", F.col("y_r") + F.col("null_r")),
+        ),
+    ]
+    return _by_strategy(counts, cases, KEYS[:2])
 
 
 def _labelled(coded: DataFrame, study: Study) -> DataFrame:
@@ -278,14 +288,15 @@ def compare_once(
     the MAR scenarios for the all-visits variant.
     """
     seed = random.randrange(1, 2**31) if seed is None else seed
+    seeds = range(seed, seed + 1)
     parts = []
     if mcar:
-        parts.append(run_mcar(responses, subjects, [seed], mcar, study))
+        parts.append(run_mcar(responses, subjects, seeds, mcar, study))
     if mar:
-        ratios = run_mar(responses, subjects, [seed], mar, study)
+        ratios = run_mar(responses, subjects, seeds, mar, study)
         if interactive_locf:
             ratios = ratios.filter(F.col("strategy") != STRATEGIES[2]).unionByName(
-                mar_locf_all_visits(responses, subjects, [seed], mar, study)
+                mar_locf_all_visits(responses, subjects, seeds, mar, study)
             )
         parts.append(ratios)
     if not parts:

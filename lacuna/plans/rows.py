@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import sample_size, settle, settle_counting
+from lacuna.functions import sample_size, settle_counting, tasks_for
 from lacuna.operators.analysis import (
-    last_observed,
     parameter_rows,
+    response_history,
     response_lag,
+    unique_subjects,
     with_sex,
 )
 from lacuna.operators.mechanisms import (
@@ -38,13 +39,18 @@ def scenario_label(labels: Sequence[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, labels)), at + 1)
 
 
+def _universe(subjects: DataFrame, seeds: Sequence[int]) -> tuple[DataFrame, int]:
+    """The ids that can be drawn, spread for the expanded scans, and their number."""
+    universe, size = settle_counting(subject_universe(subjects), n=F.count(F.lit(1)))
+    return spread(universe, size["n"], len(seeds)), size["n"]
+
+
 def mcar_sample(
     subjects: DataFrame, seeds: Sequence[int], rates: Sequence[float]
 ) -> DataFrame:
     """Drawn subjects with the smallest rate that draws them."""
     rates = sorted(map(float, rates))
-    n = subjects.count()
-    universe = settle(spread(subject_universe(subjects), n, len(seeds)))
+    universe, n = _universe(subjects, seeds)
     draws = mcar_draws(universe, n, seeds, rates)
     level = F.col("level")
     return (
@@ -66,15 +72,16 @@ def mcar_rows(
     study: Study = DEFAULT_STUDY,
 ) -> DataFrame:
     """Analysis-visit rows of every replicate with lag and the flag ``missing``."""
-    n = subjects.count()
-    universe = settle(spread(subject_universe(subjects), n, len(seeds)))
+    universe, n = _universe(subjects, seeds)
     draws = mcar_draws(universe, n, seeds, [rate])
-    rows = response_lag(spread(parameter_rows(responses, study), n, len(seeds)))
+    rows = response_lag(parameter_rows(responses, study), study)
     rows = rows.filter(F.col("AVISITN") == study.analysis_visit)
-    listed = subjects.select("SUBJID", "SEX", F.lit(True).alias("in_universe"))
-    rows = rows.join(listed, "SUBJID", "left").withColumn(
+    listed = unique_subjects(subjects.select("SUBJID", "SEX"))
+    rows = rows.join(listed.withColumn("in_universe", F.lit(True)), "SUBJID", "left").withColumn(
         "in_universe", F.coalesce("in_universe", F.lit(False))
     )
+    rows, size = settle_counting(rows, n=F.count(F.lit(1)))
+    rows = rows.repartition(tasks_for(rows.sparkSession, size["n"] * len(seeds)))
     return (
         mark_level(rows, draws, [rate])
         .withColumn("missing", F.col("level") == 1)
@@ -96,9 +103,8 @@ def mar_setup(
         "SUBJID", "in_universe", *map(poor_before, study.dropout_visits)
     )
     n_replicates = len(seeds) * len(rates)
-    pools, counts = settle_counting(
-        spread(pools, subjects.count(), n_replicates), **pool_counts(study)
-    )
+    pools, counts = settle_counting(pools, **pool_counts(study))
+    pools = spread(pools, counts["in_universe"], n_replicates)
     return pools, mar_draws(pools, counts, seeds, rates, study)
 
 
@@ -136,14 +142,12 @@ def mar_rows(
     Lags are taken over all visits and before masking.
     """
     pools, draws = mar_setup(responses, subjects, seeds, rates, study)
-    n_rows = subjects.count() * study.analysis_visit
-    rows = spread(
-        parameter_rows(responses, study, skip_visit=False), n_rows, draws.n_replicates
-    )
-    rows = last_observed(response_lag(rows), study)
+    rows = response_history(parameter_rows(responses, study, skip_visit=False), study)
     if skip_visit and study.skipped_visit is not None:
         rows = rows.filter(F.col("AVISITN") != study.skipped_visit)
     rows = with_sex(rows, subjects).join(pools, "SUBJID")
+    rows, size = settle_counting(rows, n=F.count(F.lit(1)))
+    rows = rows.repartition(tasks_for(rows.sparkSession, size["n"] * draws.n_replicates))
     marked = mark_dropout(rows, draws, study)
     return (
         mask_from(marked)
@@ -178,7 +182,8 @@ def scenario_sizes(
         F.count_if(F.col("in_universe") & ~poor).alias("n_low"),
     )
     scenarios = [
-        F.struct(*[F.lit(row[c]).cast(t).alias(c) for c, t in grid.dtypes]) for row in grid.collect()
+        F.struct(*[F.lit(row[c]).cast(t).alias(c) for c, t in grid.dtypes])
+        for row in grid.collect()
     ]
     return sizes.select("*", F.inline(F.array(*scenarios))).select(
         *grid.columns,

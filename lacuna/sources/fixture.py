@@ -1,7 +1,7 @@
 """Trial-shaped tables derived from the order and customer test tables.
 
-A customer is a subject; the customer's first six orders are visits 1..6 and
-visit 1 is the baseline. Parameter 10 follows the order price, parameter 20 the
+A customer is a subject; the customer's orders are visits 1, 2, ... by date and
+key, and visit 1 is the baseline. Parameter 10 follows the order price, parameter 20 the
 order key. Every 37th order key after baseline is a missing value.
 """
 
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from lacuna.study import DEFAULT_DESIGN
 
-N_VISITS = 6
 RESPONSE_CUT = 25
 
 
@@ -27,35 +26,51 @@ def fixture_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fixture_responses(
-    spark: SparkSession, sf_dir: str, subjects: DataFrame
-) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    # Running frames keep the top-six filter below the shuffle, so a customer
-    # with a large share of all orders still sends six rows per input task.
-    so_far = (
-        Window.partitionBy("o_custkey")
-        .orderBy("o_orderdate", "o_orderkey")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def fixture_responses(spark: SparkSession, sf_dir: str, subjects: DataFrame) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_custkey").alias("SUBJID"), "o_orderkey", "o_orderdate", "o_totalprice"
+    )
+    # Visits are numbered within a day, after all orders of the days before, so
+    # that no task gets all orders of a customer.
+    day, by_day = ["SUBJID", "o_orderdate"], Window.partitionBy("SUBJID").orderBy("o_orderdate")
+    days = orders.groupBy(*day).agg(
+        F.count("*").alias("n"),
+        F.min("o_orderkey").alias("first_key"),
+        F.min_by("o_totalprice", "o_orderkey").alias("first_price"),
+    )
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    days = days.select(
+        *day,
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.first("first_key").over(so_far).alias("base_key"),
+        F.first("first_price").over(so_far).alias("base_price"),
+    )
+    place = F.row_number().over(Window.partitionBy(*day).orderBy("o_orderkey"))
+    numbered = (
+        orders.withColumn("place", place)
+        .join(days, day)
+        .withColumn("visit", (F.col("before") + F.col("place")).cast("int"))
     )
 
-    def parameter(number, value):
-        return (
-            orders.withColumn("value", value)
-            .withColumn("visit", F.row_number().over(so_far))
-            .withColumn("base", F.first("value").over(so_far))
-            .filter(F.col("visit") <= N_VISITS)
-            .withColumn("PARAMN", F.lit(number))
+    def parameter(number, value, base):
+        return F.struct(
+            F.lit(number).alias("PARAMN"), value.alias("value"), base.alias("base")
         )
 
-    rows = parameter(10, F.col("o_totalprice")).unionByName(
-        parameter(20, (F.col("o_orderkey") % 100 + 1).cast("double"))
+    def share(key):
+        return (F.col(key) % 100 + 1).cast("double")
+
+    both = F.array(
+        parameter(10, F.col("o_totalprice"), F.col("base_price")),
+        parameter(20, share("o_orderkey"), share("base_key")),
     )
+    rows = numbered.select("SUBJID", "o_orderkey", "visit", F.inline(both))
     aval = F.when(
         ~((F.col("visit") > 1) & (F.col("o_orderkey") % 37 == 0)), F.col("value")
     )
     rows = rows.select(
-        F.col("o_custkey").alias("SUBJID"),
+        "SUBJID",
         "PARAMN",
         F.col("visit").alias("AVISITN"),
         F.concat(F.lit("Visit "), F.col("visit").cast("string")).alias("AVISIT"),

@@ -138,6 +138,8 @@ class Study:
     dropout_visits: tuple[int, ...] = (4, 5, 6)
     poor_cut: float = 10.0
     poor_below: bool = True
+    #: Column that orders several rows of a subject at one visit.
+    tie: str | None = None
     design: Design = field(default=DEFAULT_DESIGN)
 
     def with_visits(self, *visits: int) -> Study:

@@ -29,8 +29,8 @@ adpa as (
   with v as (select o_custkey SUBJID, o_orderkey k,
                cast(row_number() over(partition by o_custkey order by o_orderdate,o_orderkey) as int) AVISITN,
                o_totalprice A10, cast(o_orderkey%100+1 as double) A20 from orders),
-  l as (select SUBJID,k,AVISITN,10 PARAMN,A10 A from v where AVISITN<=6
-        union all select SUBJID,k,AVISITN,20 PARAMN,A20 A from v where AVISITN<=6),
+  l as (select SUBJID,k,AVISITN,10 PARAMN,A10 A from v
+        union all select SUBJID,k,AVISITN,20 PARAMN,A20 A from v),
   b as (select SUBJID,PARAMN,A BASE from l where AVISITN=1),
   c as (select l.SUBJID,l.PARAMN,l.AVISITN,
                case when l.AVISITN>1 and l.k%37=0 then null else l.A end AVAL, b.BASE
@@ -113,11 +113,14 @@ HASHED = "hashed as (select * from {})".format(
 def _key(src: str, draw: int) -> str:
     """src plus the signed key ``k`` of a draw; src has seed and the subject's hash."""
     stepped = _hash_step(
-        f"(select *, (seed*100+{draw})::UBIGINT _stream from {src})", "_stream", "_h1", "_h2"
+        _hash_step(f"(select *, seed::UBIGINT _seed, {draw}::UBIGINT _draw from {src})", "_seed", "_h1", "_h0"),
+        "_draw",
+        "_h0",
+        "_h2",
     )
     top = _lit(1 << 63)
     return (
-        f"(select * exclude(_h2, _stream), case when _h2 >= {top} then (_h2 - {top})::BIGINT"
+        f"(select * exclude(_h2, _h0, _seed, _draw), case when _h2 >= {top} then (_h2 - {top})::BIGINT"
         f" - 9223372036854775807 - 1 else _h2::BIGINT end k from {stepped})"
     )
 
@@ -295,6 +298,15 @@ GROUPS = """case {} when 'completers' then 'Completers Data' when 'imputed' then
 NEWLINE = "\n"
 
 
+def _per_visit(*values: str) -> str:
+    """Exact totals of a table of rows, weighted by the subject."""
+    weight = "(SUBJID % 1009 + 1)"
+    seen = [f"cast(sum({weight}) filter ({c} is not null) as bigint) {c}_seen" for c in ("AVAL", "PCHG", *values)]
+    sums = [f"cast(sum({c} * {weight}) as bigint) {c}_sum" for c in values]
+    cents = "cast(sum(cast(round(AVAL * 100) as bigint)) as bigint) cents"
+    return ", ".join(["count(*) n", *seen, *sums, cents])
+
+
 def _with(*parts: str, out: str) -> str:
     return "with recursive " + "".join(parts) + NEWLINE + out
 
@@ -433,13 +445,20 @@ select seed, b.SUBJID, SEX, TRTP, case when {missing} then LAGPCHGCA1N else PCHG
         "mcar_cells": _with(mcar_full, out="select * from cells"),
         "mcar_replicates": _with(mcar_full, FIT, out=RATIOS_OUT),
         "mcar_summary": _with(mcar_full, FIT, SUMMARY, out=SUMMARY_OUT),
+        "mcar_summary_median": _with(
+            mcar_full,
+            FIT,
+            out="""
+select scenario, strategy, contrast, count(or_value) n, round(median(or_value), 8) median,
+       round(min(or_value), 8) lowest from ratios group by all""",
+        ),
         "mcar_forest_frame": _with(mcar_full, FIT, SUMMARY, _truth(), out=forest_out),
         "mcar_variance_frame": _with(mcar_full, FIT, SUMMARY, out=variance_out),
         "mar_pools": f"with {_mar(*allseeds)} select distinct * from ({pool_rows})",
         "mar_dropout": f"""with {mar20}
 select scenario, seed, SUBJID, dropout_visit from dropout where dropout_visit is not null""",
         "mar_masked_long": f"""with {mar20}
-select seed, SUBJID, AVISITN, AVAL, PCHG, PCHGCA1N, LAGPCHGCA1N from masked where AVISITN<>2""",
+select seed, AVISITN, {_per_visit('PCHGCA1N', 'LAGPCHGCA1N')} from masked where AVISITN<>2 group by all""",
         "mar_completers": f"""with {mar20}
 select seed, SUBJID, SEX, TRTP, PCHGCA1N from masked where AVISITN=6 and PCHGCA1N is not null""",
         "mar_composite": f"""with {mar20}
@@ -447,7 +466,8 @@ select seed, SUBJID, SEX, TRTP, coalesce(PCHGCA1N,0) PCHGCA1N from masked where
         "mar_locf": f"""with {mar20}
 select seed, SUBJID, SEX, TRTP, coalesce(PCHGCA1N,LAGPCHGCA1N) PCHGCA1N from masked where AVISITN=6""",
         "mar_locf_last_observed": f"""with {mar20} {LAST_OBSERVED}
-select seed, SUBJID, AVISITN, coalesce(PCHGCA1N,seen) PCHGCA1N from carried where AVISITN<>2""",
+select seed, AVISITN, {_per_visit('PCHGCA1N')}
+from (select * replace (coalesce(PCHGCA1N,seen) as PCHGCA1N) from carried where AVISITN<>2) group by all""",
         "mar_locf_all_visits": _with(
             _mar(*first20, visits=(4, 5)), all_visits, CELLS, FIT, out=RATIOS_OUT
         ),

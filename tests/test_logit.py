@@ -87,15 +87,35 @@ def test_many_groups_and_cell_order(spark):
             assert fitted == pytest.approx(sum(r[4] for r in inside), abs=1e-6)
 
 
-def test_separated_arm_has_no_estimate(spark):
-    rows = full(1, [(10, 10), (10, 5), (10, 4), (10, 6)] + [(10, 10), (10, 5), (10, 4), (10, 6)])
-    rows += full(2, [(10, 3), (10, 5), (10, 4), (10, 6)] * 2)
+def test_separated_arm_loses_only_its_contrast(spark):
+    """The other estimates are those without the rows of that arm."""
+    rest = [(10, 5), (10, 4), (10, 6)]
+    rows = full(1, [(10, 10), *rest] * 2) + full(2, [(0, 0), *rest] * 2)
+    rows += full(3, [(10, 3), *rest] * 2)
     out = odds_ratios(cells(spark, rows), ["g"])
-    bad, good = by_contrast(out, 1), by_contrast(out, 2)
-    assert all(r.or_raw is None and r.or_value is None and not r.converged for r in bad.values())
+    bad, without, good = by_contrast(out, 1), by_contrast(out, 2), by_contrast(out, 3)
+    assert bad["AvsP"].or_raw is None and bad["AvsP"].or_value is None
+    assert not bad["AvsP"].converged
+    for name in ("SexM2F", "T140vsP", "T210vsP"):
+        assert bad[name].converged
+        assert bad[name].or_raw == pytest.approx(without[name].or_raw, rel=1e-9)
     assert all(r.or_raw is not None and r.converged for r in good.values())
 
 
+def test_separated_reference_loses_every_contrast_with_it(spark):
+    rows = full(1, [(10, 5), (10, 0), (10, 4), (10, 6)] * 2)
+    got = by_contrast(odds_ratios(cells(spark, rows), ["g"]), 1)
+    assert {name for name, r in got.items() if r.converged} == {"SexM2F"}
+
+
+def test_very_rare_responses_have_an_estimate(spark):
+    n = 10**14
+    rows = full(1, [(n, 1), (n, 2), (n, 3), (n, 4), (n, 3), (n, 4), (n, 5), (n, 6)])
+    got = by_contrast(odds_ratios(cells(spark, rows), ["g"]), 1)
+    assert all(r.converged for r in got.values())
+    assert got["AvsP"].or_raw == pytest.approx(4 / 6, rel=1e-6)
+
+
 def test_separation_inside_the_margins(spark):
     """No margin is one-sided in group 1, yet its likelihood has no maximum."""
     design = Design(

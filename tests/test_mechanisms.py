@@ -1,3 +1,6 @@
+import random
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from lacuna.operators import (
     impute_composite,
     impute_locf,
     mask_from,
+    model_cells,
     parameter_rows,
     response_lag,
     subject_profile,
@@ -176,20 +180,130 @@ def test_lag_is_the_preceding_row(make_trial):
     assert lag_at_6(False) == {1: 0, 2: 0, 3: None}
 
 
-def test_profile_agrees_with_the_windows(trial):
-    responses, subjects = trial
+def folded(rows, name, value, where="true"):
+    """Count and total of a value over the rows of each subject."""
+    kept = F.when(F.expr(where), F.col(value))
+    return rows.groupBy("SUBJID").agg(
+        F.count(kept).alias(f"{name}_n"),
+        F.coalesce(F.sum(kept.cast("long")), F.lit(0)).cast("long").alias(f"{name}_r"),
+    )
+
+
+def assert_profile_agrees(responses, subjects, study=DEFAULT_STUDY):
+    from lacuna.operators.analysis import response_history
+
+    null = "PCHGCA1N IS NULL"
     for skip in (True, False):
-        lagged = response_lag(parameter_rows(responses, skip_visit=skip)).filter("AVISITN = 6")
-        a = lagged.select("SUBJID", F.col("LAGPCHGCA1N").alias("lag"), F.col("PCHGCA1N").alias("y"))
-        b = subject_profile(responses, subjects, lag_skips_visit=skip).filter("has_row")
-        b = b.select("SUBJID", F.col("lag").cast("int"), F.col("y").cast("int"))
-        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
-    seen = last_observed(parameter_rows(responses, skip_visit=False)).filter("AVISITN = 6")
-    seen = seen.select("SUBJID", "SEEN", "SEEN_4", "SEEN_5", "SEEN_6")
-    b = subject_profile(responses, subjects).filter("has_row").select(
-        "SUBJID", *[F.col(c).cast("int") for c in ("seen", "seen_4", "seen_5", "seen_6")]
+        profile = subject_profile(responses, subjects, study, lag_skips_visit=skip)
+        profile = profile.filter("n_rows > 0")
+        rows = response_history(parameter_rows(responses, study, skip_visit=skip), study)
+        rows = rows.filter("AVISITN = 6")
+        expected = {
+            "y": folded(rows, "y", "PCHGCA1N"),
+            "lag": folded(rows, "lag", "LAGPCHGCA1N"),
+            "null_lag": folded(rows, "null_lag", "LAGPCHGCA1N", null),
+        }
+        if not skip:
+            expected["null_seen"] = folded(rows, "null_seen", "SEEN", null)
+            for v in study.dropout_visits:
+                expected[f"gone_{v}"] = folded(rows, f"gone_{v}", f"SEEN_{v}")
+        for name, want in expected.items():
+            got = profile.select("SUBJID", f"{name}_n", f"{name}_r")
+            assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0, name
+
+
+def test_profile_agrees_with_the_windows(trial):
+    assert_profile_agrees(*trial)
+
+
+def repeated(spark, responses):
+    """Some visits hold several rows: visits are numbered by pairs of rows."""
+    return responses.withColumn("LINE", F.col("AVISITN")).withColumn(
+        "AVISITN", F.when(F.col("AVISITN") > 4, F.col("AVISITN").cast("int") / 2 + 3).otherwise(F.col("AVISITN")).cast("int")
     )
-    assert seen.exceptAll(b).count() == b.exceptAll(seen).count() == 0
+
+
+def test_repeated_rows_count_one_by_one(spark, trial):
+    """Both paths take all rows of a visit, in the order of the tie column."""
+    from lacuna.plans import mar_cells, mar_rows, mcar_cells, mcar_rows
+
+    responses, subjects = trial
+    rows = repeated(spark, responses)
+    study = replace(DEFAULT_STUDY, tie="LINE")
+    at = rows.filter("PARAMN = 10 AND AVISITN = 6")
+    assert at.count() > at.select("SUBJID").distinct().count()
+    assert_profile_agrees(rows, subjects, study)
+    columns = ["seed", "SEX", "TRTP", "n", "r"]
+    seeds = range(1, 3)
+
+    def same(fast, handled, strategy):
+        got = fast.filter(F.col("strategy") == strategy).select(*columns)
+        want = model_cells(handled, ["seed"]).select(*columns)
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0, strategy
+
+    fast = mcar_cells(rows, subjects, seeds, [0.3], study)
+    slow = mcar_rows(rows, subjects, seeds, 0.3, study)
+    same(fast, completers(slow, missing="missing"), "completers")
+    same(fast, impute_composite(slow, missing="missing"), "imputed")
+    same(fast, impute_locf(slow, missing="missing"), "locf")
+    for mode in ("lag1_original", "last_observed"):
+        fast = mar_cells(rows, subjects, seeds, MAR_SCRIPT, study, mode)
+        slow = mar_rows(rows, subjects, seeds, MAR_SCRIPT, study).filter("AVISITN = 6")
+        same(fast, completers(slow), "completers")
+        same(fast, impute_composite(slow), "imputed")
+        same(fast, impute_locf(slow, mode=mode), "locf")
+
+
+def test_unordered_repeats_stop_both_paths(spark, trial):
+    from lacuna.plans import mcar_cells
+
+    responses, subjects = trial
+    rows = repeated(spark, responses)
+    with pytest.raises(Exception, match="several rows of a subject at one visit"):
+        mcar_cells(rows, subjects, range(1, 2), [0.3]).collect()
+    with pytest.raises(Exception, match="several rows of a subject at one visit"):
+        response_lag(parameter_rows(rows)).collect()
+
+
+def test_subject_listed_twice_stops_both_paths(spark, trial):
+    from lacuna.operators import analysis_set
+    from lacuna.plans import mcar_cells
+
+    responses, subjects = trial
+    twice = subjects.unionByName(subjects.limit(1))
+    with pytest.raises(Exception, match="listed twice"):
+        mcar_cells(responses, twice, range(1, 2), [0.3]).collect()
+    with pytest.raises(Exception, match="listed twice"):
+        analysis_set(responses, twice).collect()
+
+
+def test_history_over_blocks_of_visits(spark, monkeypatch):
+    """A subject with very many visits: windows hold one block each."""
+    from lacuna.operators import analysis
+
+    rng = random.Random(3)
+    values = [rng.choice([0, 1, None]) for _ in range(500)]
+    rows = [(1, v, y) for v, y in enumerate(values, 1) if v % 7]
+    rows += [(2, 3, 1), (2, 400, None), (3, 6, 0)]
+    table = spark.createDataFrame(rows, "SUBJID long, AVISITN int, PCHGCA1N int")
+    expected = {}
+    for subject in (1, 2, 3):
+        own = sorted((v, y) for s, v, y in rows if s == subject)
+        for i, (v, _) in enumerate(own):
+            before = own[:i]
+            seen = [y for w, y in before if y is not None and w != 2]
+            early = [y for w, y in before if y is not None and w != 2 and w < 5]
+            expected[subject, v] = (
+                before[-1][1] if before else None,
+                seen[-1] if seen else None,
+                early[-1] if early else None,
+            )
+    for block in (1, 16, 64):
+        monkeypatch.setattr(analysis, "VISITS_PER_BLOCK", block)
+        got = analysis.response_history(table).collect()
+        assert {(r.SUBJID, r.AVISITN): (r.LAGPCHGCA1N, r.SEEN, r.SEEN_5) for r in got} == expected
+    plan = analysis.response_history(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan
 
 
 def test_natural_nulls_differ_between_mechanisms(spark):

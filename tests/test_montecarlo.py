@@ -209,7 +209,7 @@ def test_folding_survives_wrong_size_hints(trial, hint):
 
     responses, subjects = trial
     universe = subject_profile(responses, subjects).filter("in_universe")
-    fold = Fold(("cell",), (F.count("y").alias("seen"),))
+    fold = Fold(("cell",), (F.sum("y_n").alias("seen"),))
     columns = ("replicate", "cell", "level", "n")
 
     def totals(n):
@@ -243,3 +243,38 @@ def test_unlisted_subject_is_never_missing_under_mcar(make_trial):
         for seed in (1, 2)
         for strategy, n, r in (("completers", 11, 11), ("imputed", 20, 11), ("locf", 11, 11))
     }
+
+
+def test_listed_seeds_equal_a_range(trial):
+    """Explicit seeds, a step and blocks of seeds give the same replicates."""
+    from lacuna.operators import mechanisms
+
+    responses, subjects = trial
+    whole = as_set(mar_cells(responses, subjects, range(1, 8)), "strategy", *CELL)
+    odd = {row for row in whole if row[1] % 2}
+    assert as_set(mar_cells(responses, subjects, range(1, 8, 2)), "strategy", *CELL) == odd
+    assert as_set(mar_cells(responses, subjects, [7, 1, 5, 3]), "strategy", *CELL) == odd
+    blocks = mechanisms.seed_blocks
+    try:
+        mechanisms.seed_blocks = lambda seeds, scenarios=1: [seeds[:3], seeds[3:]]
+        assert as_set(mar_cells(responses, subjects, range(1, 8)), "strategy", *CELL) == whole
+    finally:
+        mechanisms.seed_blocks = blocks
+
+
+def test_many_listed_seeds_start_quickly(spark):
+    from lacuna.operators.mechanisms import expand
+
+    seeds = list(range(1, 18_001, 2))
+    rows = expand(spark.range(2).withColumnRenamed("id", "SUBJID"), seeds, 2)
+    assert rows.agg(F.count("*"), F.min("replicate"), F.max("replicate")).first()[:] == (
+        36_000, 2, 35_999,
+    )
+
+
+def test_one_fit_and_one_aggregate_in_a_forest_frame(trial):
+    responses, subjects = trial
+    summary = mc_summary(run_mcar(responses, subjects, range(1, 4), [0.3]))
+    frame = forest_frame(summary, complete_odds_ratios(responses, subjects))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2

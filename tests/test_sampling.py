@@ -35,7 +35,7 @@ def brute_force(rows, by, size_of):
 @pytest.mark.parametrize("rate", [0.0, 0.001, 0.1, 0.3, 0.5, 0.999, 1.0])
 def test_exact_size_and_members(spark, rate):
     rows = pool(spark, 1831)
-    got = sample_exact(rows, ["seed"], key(), rate, 1831, 3)
+    got = sample_exact(rows, ["seed"], key(), rate, 1831)
     found = {(r.seed, r.SUBJID) for r in got.collect()}
     assert found == brute_force(rows, ["seed"], lambda g, n: int(rate * n))
 
@@ -43,7 +43,7 @@ def test_exact_size_and_members(spark, rate):
 @pytest.mark.parametrize("rate, size", [(0.1, 183), (0.2, 366), (0.3, 549)])
 def test_size_is_truncated(spark, rate, size):
     rows = pool(spark, 1831, (5,))
-    assert sample_exact(rows, ["seed"], key(), rate, 1831, 1).count() == size
+    assert sample_exact(rows, ["seed"], key(), rate, 1831).count() == size
 
 
 @pytest.mark.parametrize("hint", [1, 10**6, 10**12])
@@ -52,7 +52,7 @@ def test_wrong_size_hints_stay_exact(spark, hint):
     rows = pool(spark, 500)
     found = {
         (r.seed, r.SUBJID)
-        for r in sample_exact(rows, ["seed"], key(), 0.3, hint, 3).collect()
+        for r in sample_exact(rows, ["seed"], key(), 0.3, hint).collect()
     }
     assert found == brute_force(rows, ["seed"], lambda g, n: int(0.3 * n))
 
@@ -64,7 +64,7 @@ def test_groups_of_very_different_size(spark):
     by = ["seed", "part"]
     rates = {"a": 0.3, "b": 0.3, "c": 0.05}
     rate = F.when(F.col("part") == "c", 0.05).otherwise(0.3)
-    cuts = draw_cuts(rows, by, key(), [rate], [PoolClass((0.3, 0.05), 5000)], 9)
+    cuts = draw_cuts(rows, by, key(), [rate], [PoolClass((0.3, 0.05), 5000)])
     assert {(r.part, r["pool"], r.taken) for r in cuts.collect()} == {
         ("a", 3, 0),
         ("b", 17, 5),
@@ -79,7 +79,7 @@ def test_groups_of_very_different_size(spark):
 
 def test_equal_keys_are_split_by_id(spark):
     rows = pool(spark, 100, (1,))
-    got = sample_exact(rows, ["seed"], F.lit(12345).cast("long"), 0.25, 100, 1)
+    got = sample_exact(rows, ["seed"], F.lit(12345).cast("long"), 0.25, 100)
     assert sorted(r.SUBJID for r in got.collect()) == list(range(1, 26))
 
 
@@ -89,7 +89,7 @@ def test_smaller_samples_lie_inside_larger(spark):
     for rate in (0.1, 0.2, 0.3):
         found = {
             (r.seed, r.SUBJID)
-            for r in sample_exact(rows, ["seed"], key(), rate, 1000, 3).collect()
+            for r in sample_exact(rows, ["seed"], key(), rate, 1000).collect()
         }
         assert last < found
         last = found
@@ -100,7 +100,7 @@ def test_partitioning_does_not_matter(spark):
     results = [
         {
             (r.seed, r.SUBJID)
-            for r in sample_exact(df, ["seed"], key(), 0.3, 700, 3).collect()
+            for r in sample_exact(df, ["seed"], key(), 0.3, 700).collect()
         }
         for df in (rows.coalesce(1), rows.repartition(13, "SUBJID"), rows.orderBy(F.desc("SUBJID")))
     ]
@@ -112,7 +112,7 @@ def test_draws_are_even(spark):
     rows = pool(spark, 50, range(1, 401))
     counts = [
         r["count"]
-        for r in sample_exact(rows, ["seed"], key(), 0.3, 50, 400).groupBy("SUBJID").count().collect()
+        for r in sample_exact(rows, ["seed"], key(), 0.3, 50).groupBy("SUBJID").count().collect()
     ]
     assert len(counts) == 50 and sum(counts) == 400 * 15
     assert max(abs(c - 120) for c in counts) < 5 * (400 * 0.3 * 0.7) ** 0.5
@@ -123,3 +123,8 @@ def test_bands_shrink_with_size_and_merge():
     assert wide[0][1] - wide[0][0] > 100 * (narrow[0][1] - narrow[0][0])
     assert len(_bands([0.1, 0.2, 0.3], 10**6, 5.0)) == 3
     assert _bands([0.1, 0.2, 0.3], 1, 5.0) == [(KEY_MIN, KEY_MIN + KEY_SPAN)]
+
+
+def test_rates_beyond_one_are_an_error(spark):
+    with pytest.raises(ValueError, match="between 0 and 1"):
+        sample_exact(pool(spark, 10), ["seed"], key(), 1.5, 10)
