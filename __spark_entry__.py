@@ -6,6 +6,7 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from lacuna.operators import (  # noqa: E402
     analysis_set,
     complete_case,
     completers,
+    design_of,
     impute_composite,
     impute_locf,
     model_cells,
@@ -53,10 +55,12 @@ from lacuna.functions.staging import shared_folder  # noqa: E402
 from lacuna.sources import (  # noqa: E402
     load_responses,
     load_subjects,
+    nation_arms,
     subject_universe,
     trial_tables,
 )
 from lacuna.study import (  # noqa: E402
+    DEFAULT_STUDY,
     LAGGED,
     MAR_MENU,
     MAR_SCRIPT,
@@ -77,6 +81,8 @@ SINGLE_SEED = 7
 Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 RATE = 0.3
 VISIT = 6
+REPEATED = replace(DEFAULT_STUDY, tie="LINE")
+SEPARATED_ARM = "TEST 210MG"
 FITTED = ["seed", "SUBJID", "SEX", "TRTP", "PCHGCA1N"]
 
 
@@ -124,6 +130,20 @@ def _through_csv(table: DataFrame, load) -> DataFrame:
     return load(table.sparkSession, path)
 
 
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odds ratios with the factor levels that the data hold."""
+    responses, subjects = nation_arms(spark, sf_dir)
+    design = design_of(analysis_set(responses, subjects), ["SEX", "TRTP"])
+    study = replace(DEFAULT_STUDY, design=design)
+    return _rounded(complete_odds_ratios(responses, subjects, study), 6, "or_raw")
+
+
+def _without_responders(responses: DataFrame) -> DataFrame:
+    """One arm has no responder, so its odds ratio has no finite estimate."""
+    none = (F.col("TRTP") == SEPARATED_ARM) & F.col(RESPONSE).isNotNull()
+    return responses.withColumn(RESPONSE, F.when(none, 0).otherwise(F.col(RESPONSE)))
+
+
 def source_queries() -> Queries:
     lagged = ["SUBJID", "AVISITN", "PCHGCA1N", "LAGPCHGCA1N"]
     return {
@@ -144,6 +164,10 @@ def source_queries() -> Queries:
         ),
         "complete_cells": _trial(lambda r, s: model_cells(complete_case(r, s))),
         "complete_odds_ratios": _ratios(complete_odds_ratios),
+        "odds_ratios_of_nations": _nations,
+        "odds_ratios_separated": _ratios(
+            lambda r, s: complete_odds_ratios(_without_responders(r), s)
+        ),
         "truth_frame": _trial(lambda r, s: truth_frame(complete_odds_ratios(r, s))),
     }
 
@@ -221,6 +245,9 @@ def simulation_queries(seeds) -> Queries:
 
     return {
         "mcar_cells": _trial(lambda r, s: mcar_cells(r, s, seeds)),
+        "mcar_cells_repeated": lambda spark, sf_dir: mcar_cells(
+            *trial_tables(spark, sf_dir, by_month=True), seeds, study=REPEATED
+        ),
         "mcar_replicates": _ratios(mcar),
         "mcar_summary": _trial(lambda r, s: _summary(mcar(r, s))),
         "mcar_summary_median": _trial(

@@ -4,7 +4,7 @@ from lacuna.operators.analysis import (
     response_lag,
     three_way_table,
 )
-from lacuna.operators.cells import model_cells
+from lacuna.operators.cells import design_of, model_cells
 from lacuna.operators.logit import odds_ratios
 from lacuna.operators.mechanisms import (
     Draws,
@@ -28,6 +28,7 @@ __all__ = [
     "analysis_set",
     "complete_case",
     "completers",
+    "design_of",
     "draw_cuts",
     "impute_composite",
     "impute_locf",

@@ -7,7 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.study import DEFAULT_DESIGN, RESPONSE, Design
+from lacuna.study import DEFAULT_DESIGN, RESPONSE, Contrast, Design, Factor
+
+MOST_LEVELS = 200
+
+
+def design_of(rows: DataFrame, names: Sequence[str]) -> Design:
+    """The main-effects design of the factor levels in the data.
+
+    The first level in alphabetical order is a factor's base, and every other
+    level's odds ratio against it is reported. Nulls are no level. A factor's
+    levels come to the driver; more than ``MOST_LEVELS`` stop the job.
+    """
+    factors, contrasts = [], []
+    for name in names:
+        found = rows.select(name).filter(F.col(name).isNotNull()).distinct()
+        levels = sorted(str(r[0]) for r in found.limit(MOST_LEVELS + 1).collect())
+        if not 0 < len(levels) <= MOST_LEVELS:
+            raise ValueError(f"{name} has no level or more than {MOST_LEVELS}")
+        factors.append(Factor(name, tuple(levels)))
+        contrasts += [Contrast(f"{v} vs {levels[0]}", name, v, levels[0]) for v in levels[1:]]
+    return Design(tuple(factors), tuple(contrasts))
 
 
 def model_cells(

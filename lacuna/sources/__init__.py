@@ -1,4 +1,4 @@
-from lacuna.sources.fixture import trial_tables
+from lacuna.sources.fixture import nation_arms, trial_tables
 from lacuna.sources.tables import (
     load_responses,
     load_subjects,
@@ -9,6 +9,7 @@ from lacuna.sources.tables import (
 
 __all__ = [
     "load_responses",
+    "nation_arms",
     "load_subjects",
     "scenario_grid",
     "seed_frame",

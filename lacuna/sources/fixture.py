@@ -26,12 +26,17 @@ def fixture_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fixture_responses(spark: SparkSession, sf_dir: str, subjects: DataFrame) -> DataFrame:
+def fixture_responses(
+    spark: SparkSession, sf_dir: str, subjects: DataFrame, by_month: bool = False
+) -> DataFrame:
+    """``by_month``: all orders of a month are one visit, ordered by ``LINE``."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_custkey").alias("SUBJID"), "o_orderkey", "o_orderdate", "o_totalprice"
     )
     # Visits are numbered within a day, after all orders of the days before, so
     # that no task gets all orders of a customer.
+    if by_month:
+        orders = orders.withColumn("o_orderdate", F.trunc("o_orderdate", "month"))
     day, by_day = ["SUBJID", "o_orderdate"], Window.partitionBy("SUBJID").orderBy("o_orderdate")
     days = orders.groupBy(*day).agg(
         F.count("*").alias("n"),
@@ -43,15 +48,14 @@ def fixture_responses(spark: SparkSession, sf_dir: str, subjects: DataFrame) ->
     days = days.select(
         *day,
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.row_number().over(by_day).alias("day"),
         F.first("first_key").over(so_far).alias("base_key"),
         F.first("first_price").over(so_far).alias("base_price"),
     )
     place = F.row_number().over(Window.partitionBy(*day).orderBy("o_orderkey"))
-    numbered = (
-        orders.withColumn("place", place)
-        .join(days, day)
-        .withColumn("visit", (F.col("before") + F.col("place")).cast("int"))
-    )
+    visit = F.col("day") if by_month else F.col("before") + F.col("place")
+    numbered = orders.withColumn("place", place).join(days, day)
+    numbered = numbered.withColumn("visit", visit.cast("int"))
 
     def parameter(number, value, base):
         return F.struct(
@@ -76,6 +80,7 @@ def fixture_responses(spark: SparkSession, sf_dir: str, subjects: DataFrame) ->
         F.concat(F.lit("Visit "), F.col("visit").cast("string")).alias("AVISIT"),
         aval.alias("AVAL"),
         (100 * (F.col("base") - aval) / F.col("base")).alias("PCHG"),
+        *([F.col("o_orderkey").alias("LINE")] if by_month else []),
     ).withColumn(
         "PCHGCA1N",
         F.when(F.col("PCHG").isNotNull(), (F.col("PCHG") >= RESPONSE_CUT).cast("int")),
@@ -83,7 +88,20 @@ def fixture_responses(spark: SparkSession, sf_dir: str, subjects: DataFrame) ->
     return rows.join(subjects.select("SUBJID", "TRTP", "TRTPN"), "SUBJID")
 
 
-def trial_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def trial_tables(
+    spark: SparkSession, sf_dir: str, by_month: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(responses, subjects) shaped like the trial's two input tables."""
     subjects = fixture_subjects(spark, sf_dir)
-    return fixture_responses(spark, sf_dir, subjects), subjects
+    return fixture_responses(spark, sf_dir, subjects, by_month), subjects
+
+
+def nation_arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same tables with the customer's nation as the arm."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    arms = customers.join(nations, customers["c_nationkey"] == nations["n_nationkey"]).select(
+        F.col("c_custkey").alias("SUBJID"), F.col("n_name").alias("TRTP")
+    )
+    responses, subjects = trial_tables(spark, sf_dir)
+    return responses.drop("TRTP").join(arms, "SUBJID"), subjects.drop("TRTP", "TRTPN")

@@ -59,6 +59,37 @@ pools as (
   group by s.SUBJID)"""
 
 
+def _replaced(text: str, *pairs: tuple[str, str]) -> str:
+    for old, new in pairs:
+        if old not in text:
+            raise ValueError(old)
+        text = text.replace(old, new)
+    return text
+
+
+# All orders of a month are one visit; its rows follow the order key.
+REPEATED = _replaced(
+    TRIAL,
+    (
+        "row_number() over(partition by o_custkey order by o_orderdate,o_orderkey)",
+        "dense_rank() over(partition by o_custkey order by date_trunc('month', o_orderdate))",
+    ),
+    ("select SUBJID,PARAMN,A BASE from l where AVISITN=1", "select SUBJID,PARAMN,arg_min(A,k) BASE from l where AVISITN=1 group by all"),
+    ("c as (select l.SUBJID,", "c as (select l.k LINE, l.SUBJID,"),
+    ("select c.SUBJID,", "select c.LINE, c.SUBJID,"),
+    ("order by AVISITN) LAG", "order by AVISITN, LINE) LAG"),
+)
+NATIONS = _replaced(
+    TRIAL,
+    (
+        """case c_nationkey%4 when 0 then 'ACTIVE' when 1 then 'PLACEBO'
+              when 2 then 'TEST 140MG' else 'TEST 210MG' end TRTP
+  from customer""",
+        "n_name TRTP from customer join nation on n_nationkey = c_nationkey",
+    ),
+)
+
+
 def _lit(n: int) -> str:
     return f"{n}::UBIGINT"
 
@@ -125,9 +156,9 @@ def _key(src: str, draw: int) -> str:
     )
 
 
-def _mcar(first: int, last: int) -> str:
+def _mcar(first: int, last: int, trial: str = TRIAL) -> str:
     """CTEs up to ``ranked``: seed, SUBJID, rank, pool size."""
-    return f"""{TRIAL}, {_seeds(first, last)}, {HASHED},
+    return f"""{trial}, {_seeds(first, last)}, {HASHED},
 subj as (select seed, h.* from hashed h, seeds),
 ranked as (
   select seed, SUBJID, row_number() over (partition by seed order by k, SUBJID) rn,
@@ -425,6 +456,24 @@ select SUBJID, AVISITN, PCHGCA1N, LAGPCHGCA1N from allv""",
             FIT,
             out="select contrast, round(or_raw,6) or_raw, or_value, converged from ratios",
         ),
+        "odds_ratios_of_nations": _with(
+            NATIONS,
+            TRUE_ROWS,
+            CELLS,
+            FIT,
+            out="""
+select TRTP || ' vs ' || base contrast, round(z/zb,6) or_raw, round(z/zb,4) or_value, true converged
+from odds, (select TRTP base, z zb from odds order by TRTP limit 1) where TRTP <> base
+union all select 'M vs F', round(k,6), round(k,4), true from (select distinct k from odds)""",
+        ),
+        "odds_ratios_separated": _with(
+            TRIAL,
+            TRUE_ROWS,
+            CELLS,
+            _replaced(FIT, ("from cells group by all)", "from cells where TRTP <> 'TEST 210MG' group by all)")),
+            out="""
+select contrast, round(or_raw,6) or_raw, or_value, or_raw is not null converged from ratios""",
+        ),
         "truth_frame": _with(
             TRIAL,
             TRUE_ROWS,
@@ -443,6 +492,12 @@ select seed, b.SUBJID, SEX, TRTP, case when {missing} then 0 else PCHGCA1N end P
         "mcar_locf": f"""with {mcar20}
 select seed, b.SUBJID, SEX, TRTP, case when {missing} then LAGPCHGCA1N else PCHGCA1N end PCHGCA1N {flag20}""",
         "mcar_cells": _with(mcar_full, out="select * from cells"),
+        "mcar_cells_repeated": _with(
+            _mcar(*allseeds, trial=REPEATED),
+            _rows_by_strategy_mcar(),
+            CELLS,
+            out="select * from cells",
+        ),
         "mcar_replicates": _with(mcar_full, FIT, out=RATIOS_OUT),
         "mcar_summary": _with(mcar_full, FIT, SUMMARY, out=SUMMARY_OUT),
         "mcar_summary_median": _with(

@@ -19,7 +19,7 @@ SQL = oracle_queries.build(REPLICATES, ROWS, registered.SINGLE_SEED)
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for table in ("customer", "orders"):
+    for table in ("customer", "nation", "orders"):
         con.execute(f"create view {table} as select * from '{MEDIUM}/{table}.parquet'")
     return con
 
