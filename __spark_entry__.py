@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 import uuid
@@ -70,9 +71,9 @@ from lacuna.study import (  # noqa: E402
 )
 
 try:
-    from lacuna.llm import registry as training_data
+    training_data = importlib.import_module("lacuna.llm.registry")
 except ModuleNotFoundError as missing:
-    if missing.name not in ("lacuna.llm", "corpus_pipeline"):
+    if missing.name not in ("lacuna.llm", "lacuna.llm.registry", "corpus_pipeline"):
         raise
     training_data = None
 

@@ -310,11 +310,12 @@ def mar_folded(
     rates: Sequence[MarRates],
     fold: Fold,
     study: Study = DEFAULT_STUDY,
-) -> DataFrame:
+) -> tuple[DataFrame, Draws]:
     """Totals per replicate, ``fold.by`` and whether the last visit draws the subject (``leaves``).
 
     They are taken in the pass that finds the cuts of the last dropout visit, in
-    which ``fold`` can use ``dropout_visit``, the visit of an earlier dropout.
+    which ``fold`` can use ``dropout_visit``, the visit of an earlier dropout. The
+    samples of the earlier visits come with them.
     """
     *earlier, last = study.dropout_visits
     hints = _pool_hints(counts, rates, study)
@@ -323,7 +324,8 @@ def mar_folded(
     own = cuts.select("replicate", "is_high", "cut_key", "cut_id")
     leaves = is_drawn(F.col("at_key"), F.col("at_id"), F.col("cut_key"), F.col("cut_id"))
     placed = folded.join(own, ["replicate", "is_high"], "left")
-    return placed.withColumn("leaves", leaves).drop("cut_key", "cut_id", "at_key", "at_id")
+    placed = placed.withColumn("leaves", leaves)
+    return placed.drop("cut_key", "cut_id", "at_key", "at_id"), draws
 
 
 def mark_dropout(

@@ -20,6 +20,7 @@ from lacuna.functions.columns import cell_label
 from lacuna.operators.cells import model_cells
 from lacuna.operators.logit import contrast_rows, fit_coded, odds_ratios
 from lacuna.operators.mechanisms import (
+    Draws,
     expand,
     mar_folded,
     mcar_folded,
@@ -113,6 +114,11 @@ def _mcar_coded(responses, subjects, seeds, rates, study) -> DataFrame:
 
 
 def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
+    return _mar_coded_and_draws(responses, subjects, seeds, rates, study, locf)[0]
+
+
+def _mar_coded_and_draws(responses, subjects, seeds, rates, study, locf):
+    """The coded cells, the subjects' pools and the draws before the last visit (by block)."""
     s = len(rates)
     *earlier, last = study.dropout_visits
     if locf == "lag1_original":
@@ -148,8 +154,8 @@ def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
     folded = [
         mar_folded(profile, sizes, block, rates, fold, study) for block in seed_blocks(seeds, s)
     ]
-    counts = reduce(DataFrame.unionByName, folded).filter(F.col("cell").isNotNull())
-    counts = counts.withColumns(
+    counts = reduce(DataFrame.unionByName, [part for part, _ in folded])
+    counts = counts.filter(F.col("cell").isNotNull()).withColumns(
         {
             "scenario": scenario_label([r.label for r in rates], scenario_of(s)),
             "seed": seed_of(s),
@@ -165,7 +171,8 @@ def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
             _if(left, "gone_r", F.col("y_r") + F.col("null_r")),
         ),
     ]
-    return _by_strategy(counts, cases, KEYS[:2])
+    pools = profile.select("SUBJID", "in_universe", *map(poor_before, earlier))
+    return _by_strategy(counts, cases, KEYS[:2]), pools, [draws for _, draws in folded]
 
 
 def _labelled(coded: DataFrame, study: Study) -> DataFrame:
@@ -235,11 +242,15 @@ def mar_locf_all_visits(
     seeds: Sequence[int],
     rates: Sequence[MarRates] = MAR_SCRIPT,
     study: Study = DEFAULT_STUDY,
+    setup: tuple[DataFrame, Draws] | None = None,
 ) -> DataFrame:
     """The interactive LOCF variant: no dropout step at the last visit, a null at
-    the first treated visit set to no response, and one fit over all visits."""
+    the first treated visit set to no response, and one fit over all visits.
+
+    ``setup`` are pools and draws of these seeds, if they are known already.
+    """
     study = study.with_visits(*study.dropout_visits[:-1])
-    rows = mar_rows(responses, subjects, seeds, rates, study, skip_visit=False)
+    rows = mar_rows(responses, subjects, seeds, rates, study, skip_visit=False, setup=setup)
     filled = impute_locf(rows, first_visit=study.dropout_visits[0] - 1, study=study)
     by = ["scenario", "seed"]
     cells = model_cells(filled, by, study.design)
@@ -293,10 +304,15 @@ def compare_once(
     if mcar:
         parts.append(run_mcar(responses, subjects, seeds, mcar, study))
     if mar:
-        ratios = run_mar(responses, subjects, seeds, mar, study)
+        coded, pools, draws = _mar_coded_and_draws(
+            responses, subjects, seeds, mar, study, "lag1_original"
+        )
+        if interactive_locf:
+            coded = coded.filter(F.col("strategy") != STRATEGIES[2])
+        ratios = _ratios(coded, study)
         if interactive_locf:
-            ratios = ratios.filter(F.col("strategy") != STRATEGIES[2]).unionByName(
-                mar_locf_all_visits(responses, subjects, seeds, mar, study)
+            ratios = ratios.unionByName(
+                mar_locf_all_visits(responses, subjects, seeds, mar, study, (pools, draws[0]))
             )
         parts.append(ratios)
     if not parts:

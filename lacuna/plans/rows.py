@@ -136,12 +136,14 @@ def mar_rows(
     rates: Sequence[MarRates],
     study: Study = DEFAULT_STUDY,
     skip_visit: bool = True,
+    setup: tuple[DataFrame, Draws] | None = None,
 ) -> DataFrame:
     """Masked response rows of every replicate, with lag and last observed values.
 
-    Lags are taken over all visits and before masking.
+    Lags are taken over all visits and before masking. ``setup`` is what
+    ``mar_setup`` gives, if it is known already.
     """
-    pools, draws = mar_setup(responses, subjects, seeds, rates, study)
+    pools, draws = setup or mar_setup(responses, subjects, seeds, rates, study)
     rows = response_history(parameter_rows(responses, study, skip_visit=False), study)
     if skip_visit and study.skipped_visit is not None:
         rows = rows.filter(F.col("AVISITN") != study.skipped_visit)

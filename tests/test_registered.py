@@ -1,5 +1,8 @@
 """Every registered query against its SQL, with fewer seeds than registered."""
 
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -46,3 +49,12 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert registered.entry(spark).count() == 4
+
+
+@pytest.mark.parametrize("gone", ["lacuna.llm", "corpus_pipeline"])
+def test_entry_without_the_training_data_operators(gone):
+    code = f"import sys; sys.modules['{gone}'] = None; import __spark_entry__ as e; print(*e.queries())"
+    out = subprocess.run(
+        [sys.executable, "-c", code], capture_output=True, text=True, check=True
+    ).stdout.split()
+    assert set(out) == set(QUERIES)
