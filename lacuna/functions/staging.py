@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(warehouse)
     scheme = path.getFileSystem(sc._jsc.hadoopConfiguration()).getScheme()
-    if scheme == "file" and not sc.master.startswith("local["):
+    if scheme == "file" and sc.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{warehouse}/lacuna-kept"
 

@@ -74,7 +74,10 @@ REPEATED = _replaced(
         "row_number() over(partition by o_custkey order by o_orderdate,o_orderkey)",
         "dense_rank() over(partition by o_custkey order by date_trunc('month', o_orderdate))",
     ),
-    ("select SUBJID,PARAMN,A BASE from l where AVISITN=1", "select SUBJID,PARAMN,arg_min(A,k) BASE from l where AVISITN=1 group by all"),
+    (
+        "select SUBJID,PARAMN,A BASE from l where AVISITN=1",
+        "select SUBJID,PARAMN,arg_min(A,k) BASE from l where AVISITN=1 group by all",
+    ),
     ("c as (select l.SUBJID,", "c as (select l.k LINE, l.SUBJID,"),
     ("select c.SUBJID,", "select c.LINE, c.SUBJID,"),
     ("order by AVISITN) LAG", "order by AVISITN, LINE) LAG"),

@@ -217,10 +217,10 @@ def test_profile_agrees_with_the_windows(trial):
 
 
 def repeated(spark, responses):
-    """Some visits hold several rows: visits are numbered by pairs of rows."""
-    return responses.withColumn("LINE", F.col("AVISITN")).withColumn(
-        "AVISITN", F.when(F.col("AVISITN") > 4, F.col("AVISITN").cast("int") / 2 + 3).otherwise(F.col("AVISITN")).cast("int")
-    )
+    """Some visits hold several rows: from visit 5 on, pairs of visits are one."""
+    visit = F.col("AVISITN")
+    paired = F.when(visit > 4, (visit / 2 + 3).cast("int")).otherwise(visit)
+    return responses.withColumn("LINE", visit).withColumn("AVISITN", paired)
 
 
 def test_repeated_rows_count_one_by_one(spark, trial):
