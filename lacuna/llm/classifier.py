@@ -22,7 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lacuna.llm.words import SpanHash, flat, lower_ascii, map_batches, mix, owner, runs, text_rows
+from lacuna.llm.words import (
+    SpanHash,
+    flat,
+    lower_ascii,
+    map_batches,
+    mix,
+    owner,
+    runs,
+    split_batch,
+    text_rows,
+)
 
 HASH_BITS = 18
 #: Most labelled texts used for fitting.
@@ -78,8 +88,15 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _learn(rows: pd.DataFrame) -> pd.DataFrame:
     """FTRL-proximal over the texts in the order of their hashes."""
     rows = rows.sort_values(["order", "doc_id"], kind="stable")
-    at, place, value = features(pa.array(rows["text"], pa.string()))
-    bounds = np.searchsorted(at, np.arange(len(rows) + 1))
+    sizes, places, values = [], [], []
+    # A part of the texts at a time: only their features are kept.
+    for part in split_batch(pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.string())], ["text"])):
+        at, place, value = features(part.column("text"))
+        sizes.append(np.bincount(at, minlength=part.num_rows))
+        places.append(place.astype(np.int32))
+        values.append(value.astype(np.float32))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    place, value = np.concatenate(places), np.concatenate(values)
     labels = rows["label"].to_numpy(np.float64)
     z, n = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
     for _ in range(EPOCHS):
