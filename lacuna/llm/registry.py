@@ -11,7 +11,7 @@ from lacuna.llm.packing import packing_query
 from lacuna.llm.rules import rules_query
 from lacuna.llm.sentencepieces import sentencepiece_query
 from lacuna.llm.simhash import simhash_query
-from lacuna.llm.suffixes import suffix_query
+from lacuna.llm.suffixes import SUFFIX_SQL, suffix_query
 from lacuna.llm.urls import URL_SQL, url_query
 
 QUERIES = {
@@ -29,6 +29,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_suffix_dedup": SUFFIX_SQL,
     "op4_url_filters": URL_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:

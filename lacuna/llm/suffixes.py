@@ -13,9 +13,9 @@ only windows whose anchor's core is the same can be equal.
    each new batch gets its suffix array (the order of its windows' bytes), is
    merge-scanned against the suffix arrays of all levels for equal windows, and
    becomes a level; levels of equal rank merge, so their sizes grow
-   geometrically. Cores with more than ``CORE_ROWS`` runs, as the edges of a very
-   common passage have, are not left to one shard: their windows are counted
-   by 128 bits of hash.
+   geometrically. Cores with more than ``CORE_WINDOWS`` windows, as the edges of a
+   very common passage have, are not left to one shard: their windows are
+   counted by 128 bits of hash.
 3. The found spans go back to their texts, which are read a third time.
 
 A text is known by its doc_id and a hash, so that repeated rows share their spans.
@@ -37,7 +37,8 @@ from lacuna.llm.words import MULTIPLIER, flat, mix, powers, split_batch
 
 LENGTH = 200
 CORE = 64
-CORE_ROWS = 50_000
+#: Windows of one core up to which a shard takes them.
+CORE_WINDOWS = 100_000
 #: Windows of a shard, about, and of one batch of it.
 SHARD_WINDOWS = 400_000
 BATCH_WINDOWS = 100_000
@@ -341,8 +342,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, core: int = CORE)
     )
     found = settle(recurring(runs))
     compared = found.filter("compare")
-    sizes = compared.groupBy("core").agg(F.count("*").alias("n_runs"))
-    common = settle(sizes.filter(F.col("n_runs") > CORE_ROWS))
+    sizes = compared.groupBy("core").agg(F.sum("windows").alias("of_core"))
+    common = settle(sizes.filter(F.col("of_core") > CORE_WINDOWS).select("core"))
     n_windows = compared.agg(F.sum("windows")).first()[0] or 0
     shards = max(int(conf.get("spark.sql.shuffle.partitions")), -(-n_windows // SHARD_WINDOWS))
     wanted = compared.groupBy("doc", "text_key").agg(
@@ -475,3 +476,32 @@ def clean(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def suffix_query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return digests(documents.select("doc_id", "text"))
+
+
+#: Equivalent SQL: every window by its hash, found in slices of the text as hexadecimal digits.
+SUFFIX_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (
+  SELECT r, f, length(x) // 2 - 199 - f AS n, substr(x, 2 * f + 1, 2 * (256 + 199)) AS y
+  FROM (SELECT r, x, unnest(range(0, greatest(length(x) // 2 - 199, 0), 256)) AS f FROM d)),
+w AS (
+  SELECT r, f + q AS p, md5(substr(y, 2 * q + 1, 400)) AS k
+  FROM (SELECT r, f, y, unnest(range(0, least(n, 256))) AS q FROM blocks)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+found AS (SELECT r, p FROM w SEMI JOIN twice USING (k)),
+marked AS (
+  SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 200, true) AS new FROM found),
+numbered AS (SELECT r, p, sum(new::INT) OVER (PARTITION BY r ORDER BY p) AS s FROM marked),
+spans AS (SELECT r, s, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY r, s),
+removed AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+gaps AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT r, max(b), NULL FROM spans GROUP BY r),
+kept AS (
+  SELECT r, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, length(x) // 2) - a)), '' ORDER BY a) AS x
+  FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(d.x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""

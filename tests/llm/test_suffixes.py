@@ -1,10 +1,12 @@
 from collections import Counter
 from hashlib import sha256
 
+import duckdb
 import numpy as np
 import pytest
 
 from lacuna.llm import suffixes
+from tests.llm.conftest import SMALL
 
 LENGTH = 200
 
@@ -33,7 +35,7 @@ def expected(documents):
 
 @pytest.mark.parametrize(
     "limits",
-    [{}, {"CORE_ROWS": 2}, {"BATCH_WINDOWS": 500}, {"CHUNK": 700}],
+    [{}, {"CORE_WINDOWS": 200}, {"BATCH_WINDOWS": 500}, {"CHUNK": 700}],
     ids=["plain", "very common cores", "many levels", "chunks of long texts"],
 )
 def test_by_brute_force(documents, expected, monkeypatch, limits):
@@ -43,6 +45,13 @@ def test_by_brute_force(documents, expected, monkeypatch, limits):
     assert sorted(found, key=repr) == expected
 
 
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    found = map(tuple, suffixes.suffix_query(spark, SMALL).collect())
+    assert sorted(found) == sorted(con.execute(suffixes.SUFFIX_SQL).fetchall())
+
+
 def test_index_family():
     rng = np.random.default_rng(9)
     words = rng.integers(97, 99, (40, 50, 12)).astype(np.uint8)
