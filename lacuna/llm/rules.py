@@ -169,26 +169,24 @@ def boilerplate(measured: DataFrame) -> DataFrame:
     # (host, line) as one hash; a document counts a line once.
     keyed = F.transform(F.array_distinct(hashes), lambda x: F.xxhash64("host", x))
     shared = (
-        signed.select("copy", F.explode(keyed).alias("key"))
+        signed.select("host", "copy", F.explode(keyed).alias("key"))
         .distinct()
         .groupBy("key")
-        .agg(F.count("*").alias("n_docs"))
+        .agg(F.count("*").alias("n_docs"), F.first("host").alias("host"))
         .filter(F.col("n_docs") >= LIMIT_DOCS)
     )
-    shared = settle(shared)
     hosts = signed.select("host", "copy").distinct().groupBy("host").agg(
         F.count("*").alias("host_docs")
     )
+    # The share is judged on the few common lines, before they meet the documents.
+    over = F.col("n_docs") > LIMIT_SHARE * F.col("host_docs")
+    shared = settle(shared.join(hosts, "host").filter(over).select("key"))
     few = shared.count() <= BROADCAST_LINES
     lines = measured.select("row", "host", F.inline("lines")).withColumn(
         "key", F.xxhash64("host", "line")
     )
     found = lines.join(F.broadcast(shared) if few else shared, "key")
-    return (
-        found.join(hosts, "host")
-        .filter(F.col("n_docs") > LIMIT_SHARE * F.col("host_docs"))
-        .select("row", "at", "words")
-    )
+    return found.select("row", "at", "words")
 
 
 def judge(
