@@ -317,8 +317,10 @@ def _hash_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 def _common_spans(segments: DataFrame, length: int) -> DataFrame:
     """Spans under windows of very common cores that occur more than once."""
     windows = segments.mapInArrow(lambda batches: _hash_windows(batches, length), _HASHED)
-    twice = windows.groupBy("low", "high").agg(F.count("*").alias("n")).filter("n > 1")
-    found = windows.join(twice, ["low", "high"])
+    counts = windows.groupBy("low", "high").agg(F.count("*").alias("n")).filter("n > 1")
+    # A table, so that Spark can split the join where a window is very common.
+    twice = settle(counts.select("low", "high"))
+    found = settle(windows.join(twice, ["low", "high"]))
     return found.select("doc", "text_key", "start", (F.col("start") + length).alias("end"))
 
 
