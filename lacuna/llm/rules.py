@@ -3,8 +3,9 @@
 A line is normalised to its sequence of words with A-Z in lower case, and hashed.
 A line is boilerplate on a host when at least ``LIMIT_DOCS`` distinct documents of
 that host and more than ``LIMIT_SHARE`` of them hold it. Copies of one document
-must not make its own lines boilerplate: documents of a host with the same
-smallest line hash, as exact and most near copies have it, count as one.
+must not make its own lines boilerplate: documents of a host that agree in all
+their normalised lines, in order, count as one. No single line decides that, so
+documents that share many lines, or hold no others, still count one by one.
 Boilerplate lines are removed; a document that loses more than
 ``DEPLETED_SHARE`` of its words with them is depleted and rejected.
 
@@ -165,7 +166,7 @@ def boilerplate(measured: DataFrame) -> DataFrame:
     """(row, at, words) of every boilerplate line of the measured rows."""
     spark = measured.sparkSession
     hashes = F.transform("lines", lambda x: x["line"])
-    signed = measured.filter(F.size("lines") > 0).withColumn("copy", F.array_min(hashes))
+    signed = measured.filter(F.size("lines") > 0).withColumn("copy", F.xxhash64(hashes))
     # (host, line) as one hash; a document counts a line once.
     keyed = F.transform(F.array_distinct(hashes), lambda x: F.xxhash64("host", x))
     shared = (

@@ -1,5 +1,6 @@
+import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -58,6 +59,27 @@ def test_boilerplate_and_depletion(spark, monkeypatch, broadcast_lines):
     assert 100 not in kept
 
 
+def test_documents_of_shared_lines_count_one_by_one(spark):
+    """Documents with no line or one line of their own are not copies of each other."""
+    template = [" ".join(f"line{i}x{k}" for k in range(10)) for i in range(15)]
+    some = [list(c) for c in itertools.combinations(template, 12)][:400]
+    own = " ".join(f"own{k}" for k in range(60))
+    rows = [(i, "\n".join(c), "only") for i, c in enumerate(some)]
+    rows += [(1000 + i, "\n".join([*c[:6], f"{own} {i}"]), "own") for i, c in enumerate(some)]
+    assert not any(counts(text)[4] for _, text, _ in rows)
+    rows += [(2000 + i, "\n".join(template), "copies") for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = {r["doc_id"]: r for r in rules.judge(table).collect()}
+    assert [len(found[i]["removed_lines"]) for i in range(400)] == [12] * 400
+    assert not any(found[i]["kept"] for i in range(400))
+    # The lines that at least 20 of the documents hold.
+    held = Counter(line for c in some for line in c[:6])
+    for i, c in enumerate(some):
+        gone = [k for k, line in enumerate(c[:6]) if held[line] >= 20]
+        assert found[1000 + i]["removed_lines"] == gone and found[1000 + i]["kept"]
+    assert all(found[2000 + i]["kept"] for i in range(50))
+
+
 def test_other_columns_and_empty_table(documents, clashing, no_documents):
     found = rules.judge(clashing, columns=("doc_id", "row", "lines"))
     assert found.count() == len(documents[0])
