@@ -74,8 +74,8 @@ def features(line: str) -> int:
 N_FEATURES = LENGTH_CLASSES * 4
 
 
-def observe(role: str | None, text: str) -> tuple[list[int], list[str]]:
-    """What is seen of every line, as one number, and the line without its marker.
+def observe(role: str | None, text: str) -> tuple[list[int], list[tuple[str, str]]]:
+    """What is seen of every line, as one number, and the line without its marker and whole.
 
     The number holds the marker's role (or ``_LEVELS``), whether the line begins
     a row or has a marker, and the feature class.
@@ -85,11 +85,10 @@ def observe(role: str | None, text: str) -> tuple[list[int], list[str]]:
     for i, line in enumerate(text.split("\n")):
         found = _MARKER.match(line)
         marker = NAMES[found[1].lower()] if found else given if i == 0 else _LEVELS
-        if found:
-            line = line[found.end() :]
+        bare = line[found.end() :] if found else line
         begins = i == 0 or found is not None
-        seen.append((marker * 2 + begins) * N_FEATURES + features(line))
-        lines.append(line)
+        seen.append((marker * 2 + begins) * N_FEATURES + features(bare))
+        lines.append((bare, line))
     return seen, lines
 
 
@@ -309,10 +308,12 @@ def parse(conversations: DataFrame, keep: tuple[str, ...] = ("conv_id", "turn"))
             roles = iter(model.decode(_lines(block), int(entry), int(leave)))
             at, part, said, texts = [], [], [], []
             for i, (role, text) in enumerate(zip(block["role"], block["text"])):
-                _, own = observe(role, text)
+                own_seen, own = observe(role, text)
                 turns: list[tuple[int, list[str]]] = []
-                for line in own:
+                for what, (bare, line) in zip(own_seen, own):
                     now = next(roles)
+                    # A marker that the decoded role rejects is text.
+                    line = bare if _parts(what)[0] == now else line
                     if not turns or turns[-1][0] != now:
                         turns.append((now, []))
                     turns[-1][1].append(line)

@@ -56,6 +56,18 @@ def test_markers_in_the_text(spark):
     assert rendered == "<|user|>\nok?\n<|end|>\n"
 
 
+def test_rejected_marker_stays_text(spark):
+    """A label in a user's turn that alternates with the assistant's is no marker."""
+    rows = [(1, i, ("user", "assistant")[i % 2], f"line {i}") for i in range(1000)]
+    rows[500] = (1, 500, "user", "Model: X200 does not start")
+    rows[600] = (1, 600, None, "User: what now?")
+    found = chat.parse(spark.createDataFrame(rows, SCHEMA)).filter("turn IN (500, 600)")
+    got = {r["turn"]: (r["role"], r["text"], r["rendered"]) for r in found.collect()}
+    assert got[500][:2] == ("user", "Model: X200 does not start")
+    assert got[500][2] == "<|user|>\nModel: X200 does not start\n<|end|>\n"
+    assert got[600][:2] == ("user", "what now?")
+
+
 def test_blocks_join_to_one_best_path(spark, monkeypatch):
     """One conversation over many blocks, with few markers, against Viterbi over all of it."""
     rng = np.random.default_rng(5)
