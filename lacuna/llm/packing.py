@@ -8,14 +8,17 @@ Packing: every partition packs its pieces by best fit, largest first. A bin is
 final when no bin anywhere fits into what it has left, that is when its rest is
 below the least fill of all bins. The other bins go on as items, with their
 pieces inside, to a round over ``FAN_IN`` times fewer partitions, of about
-``ITEMS_PER_TASK`` bins each at most. Each round's bins are kept as a table in the
-shared folder. The rounds end when one partition has packed all that was left,
-or when so many bins are left that the partitions cannot become fewer and a
-round merges next to none of them.
+``ITEMS_PER_TASK`` bins each at most; every round deals them anew. Bins at most half
+full always fit together, so a round leaves one in a partition at most. Where
+too many bins are left for fewer partitions, only these go on and, of the others,
+those with the most room: ``ITEMS_PER_TASK`` bins together, or twice as many as
+there are half empty ones. The rounds end when one partition has packed all that
+was left. Each round's bins are kept as a table in the shared folder.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from array import array
@@ -25,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import settle
@@ -194,7 +197,27 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _BIN = f"fill long, pieces array<struct<{_PIECE}>>"
 
 
-def _round(bins: DataFrame, capacity: int, tasks: int) -> DataFrame:
+def _dealt(number: int) -> Column:
+    """A hash of a bin, another one in each round."""
+    first = F.col("pieces")[0]
+    return F.xxhash64(F.lit(number), first["doc_id"], first["piece"], first["ids_crc32"])
+
+
+def _roomiest(bins: DataFrame, capacity: int, number: int) -> Column:
+    """Which bins go on when all are too many: the half empty ones and those with the most room."""
+    by_fill = sorted(map(tuple, bins.groupBy("fill").count().collect()))
+    half_empty = sum(n for fill, n in by_fill if 2 * fill <= capacity)
+    wanted = max(ITEMS_PER_TASK, 2 * half_empty)
+    for fill, n in by_fill:
+        if n > wanted:
+            # Of the bins of this fill, as many as are wanted by a hash.
+            some = F.pmod(_dealt(-number), F.lit(1 << 20)) < int(wanted / n * (1 << 20))
+            return (F.col("fill") < fill) | ((F.col("fill") == fill) & some)
+        wanted -= n
+    return F.lit(True)
+
+
+def _round(bins: DataFrame, capacity: int, tasks: int, number: int) -> DataFrame:
     """Merge bins that fit together within each of ``tasks`` partitions."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +244,7 @@ def _round(bins: DataFrame, capacity: int, tasks: int) -> DataFrame:
         out = pa.table([pa.array(totals), merged], ["fill", "pieces"])
         yield from out.to_batches(max_chunksize=1000)
 
-    first = F.col("pieces")[0]
-    spread = bins.repartition(1) if tasks == 1 else bins.repartition(
-        tasks, F.xxhash64(first["doc_id"], first["piece"], first["ids_crc32"])
-    )
+    spread = bins.repartition(1) if tasks == 1 else bins.repartition(tasks, _dealt(number))
     return spread.mapInArrow(merge, _BIN)
 
 
@@ -257,8 +277,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
     count = bins.count()
     tasks = max(1, -(-count // ITEMS_PER_TASK))
-    while True:
-        merged = settle(_round(bins, capacity, tasks))
+    for number in itertools.count(1):
+        merged = settle(_round(bins, capacity, tasks, number))
         after, least = merged.agg(F.count("*"), F.min("fill")).first()
         if tasks == 1 or not after:
             final.append(merged)
@@ -267,11 +287,15 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         final.append(merged.filter(full))
         bins = merged.filter(~full)
         left = bins.count()
-        fewer = max(-(-tasks // FAN_IN), -(-left // ITEMS_PER_TASK))
-        if not left or (fewer >= tasks and after > 0.999 * count):
-            final.append(bins)
+        if not left:
             break
-        tasks, count = max(1, min(fewer, tasks)), left
+        if -(-left // ITEMS_PER_TASK) >= tasks:
+            going = _roomiest(bins, capacity, number)
+            final.append(bins.filter(~going))
+            bins = bins.filter(going)
+            left = bins.count()
+        fewer = max(-(-tasks // FAN_IN), -(-left // ITEMS_PER_TASK))
+        tasks = max(1, min(fewer, tasks - 1))
     packed = reduce(DataFrame.unionByName, final)
     packed = packed.withColumn("sequence_id", F.monotonically_increasing_id())
     return packed.mapInArrow(

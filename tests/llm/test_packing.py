@@ -55,6 +55,18 @@ def test_rounds_over_partitions(spark, monkeypatch, sizes):
     assert rows.sequence_id.nunique() <= 1.05 * alone + 1
 
 
+@pytest.mark.parametrize("first", [0, 10, 20])
+def test_bins_of_all_partitions_meet(spark, monkeypatch, first):
+    """However many bins a task takes, underfull ones of different partitions merge."""
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 1)
+    table = spark.createDataFrame(
+        [(first + i, 0, 0, 600, i) for i in range(6)], packing._PIECE
+    )
+    rows = packing.pack(table).toPandas()
+    check_packed(rows, table.toPandas(), 4096)
+    assert rows.sequence_id.nunique() == 1
+
+
 def test_best_fit_takes_the_fullest_bin():
     # 7 opens a bin with room 3, 6 one with room 4: 3 and 4 fill them.
     assert packing.best_fit(np.array([7, 6, 3, 4]), 10).tolist() == [0, 1, 0, 1]
