@@ -5,11 +5,14 @@ from __future__ import annotations
 import corpus_pipeline
 from lacuna.llm.chat import chat_query
 from lacuna.llm.classifier import quality_query
+from lacuna.llm.lexical import LEXICAL_SQL, lexical_query
 from lacuna.llm.lm import lm_query
+from lacuna.llm.middles import MIDDLE_SQL, middle_query
 from lacuna.llm.neighbours import neighbour_query
 from lacuna.llm.packing import packing_query
 from lacuna.llm.rules import rules_query
 from lacuna.llm.sentencepieces import sentencepiece_query
+from lacuna.llm.sharding import SHARDING_SQL, sharding_query
 from lacuna.llm.simhash import simhash_query
 from lacuna.llm.suffixes import SUFFIX_SQL, suffix_query
 from lacuna.llm.urls import URL_SQL, url_query
@@ -25,12 +28,18 @@ QUERIES = {
     "op8_pitman_yor": lm_query,
     "op9_sentencepiece": sentencepiece_query,
     "op10_quality_classifier": quality_query,
+    "op11_fill_in_middle": middle_query,
+    "op12_lexical_search": lexical_query,
+    "op13_sharding": sharding_query,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op1_suffix_dedup": SUFFIX_SQL,
     "op4_url_filters": URL_SQL,
+    "op11_fill_in_middle": MIDDLE_SQL,
+    "op12_lexical_search": LEXICAL_SQL,
+    "op13_sharding": SHARDING_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

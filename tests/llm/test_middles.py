@@ -1,0 +1,96 @@
+import re
+from collections import Counter
+from hashlib import sha256
+
+import duckdb
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lacuna.llm import middles
+
+MIDDLE = "/root/testdata/sf0.01"
+UNIT = re.compile(r"[^\n]*\n|[^\n]+")
+ODD = ["\n", "\n\n\n", "a\n\nb", "no feed", "é\n日本\n😀", "x <P> y\n", "<S>", "<M>\n" * 3, "<P\n>", "<<\nS>\n", "a\r\nb\x0bc\n"]
+
+
+def brute(doc_id, text, rearranged=100, spm=50):
+    """(n, form, prefix, middle, output) from the definition."""
+    text = text or ""
+    units = UNIT.findall(text)
+    n = len(units)
+    digest = sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[i : i + 8], 16) for i in (0, 8, 16, 24))
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or re.search("<[PSM]>", text) or h3 % 100 >= rearranged:
+        return n, "plain", None, None, text
+    if h4 % 100 < spm:
+        return n, "spm", prefix, middle, f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return n, "psm", prefix, middle, f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, documents):
+    rows = [(i, t) for i, t, _ in documents[0]]
+    rows += [(7_000_000 + i, t) for i, t in enumerate(ODD * 3)] + [(-5, "line\n" * 500_000 + "é")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_by_brute_force(odd):
+    rows, table = odd
+    expected = Counter()
+    for doc_id, text in rows:
+        n, form, prefix, middle, output = brute(doc_id, text)
+        lengths = (None, None) if form == "plain" else (len(prefix), len(middle))
+        hashes = (sha256(t.encode()).hexdigest() for t in (output, text or ""))
+        expected[doc_id, n, form, *lengths, *hashes] += 1
+    assert Counter(map(tuple, middles.digests(table).collect())) == expected
+
+
+@pytest.mark.parametrize("rates", [middles.Rates(), middles.Rates(7, 40, 20)])
+def test_texts_there_and_back(odd, rates):
+    rows, table = odd
+    table = table.withColumns({"form": F.lit("own"), "beside_0": F.lit(1), "a b.c": F.lit(2)})
+    made = middles.transform(table, rates)
+    assert made.columns == ["doc_id", "text", "beside_0", "a b.c", "form"]
+    expected = Counter()
+    for doc_id, text in rows:
+        _, form, _, _, output = brute(doc_id, text, rates.rearranged, rates.spm)
+        expected[doc_id, output, 1, 2, form] += 1
+    assert Counter(map(tuple, made.collect())) == expected
+    back = middles.restore(made).select("doc_id", "text")
+    assert Counter(map(tuple, back.collect())) == Counter((i, t or "") for i, t in rows)
+
+
+@given(st.text("<PSM>\nab é", max_size=40), st.integers(0, 30), st.integers(0, 30), st.sampled_from(["psm", "spm"]))
+def test_piece_tables(text, a, b, form):
+    if re.search("<[PSM]>", text):
+        return
+    data = text.encode()
+    a, b = sorted((min(a, len(data)), min(b, len(data))))
+    cut = middles.PieceTable(data).cut(a, b)
+    assert [bytes(p) for p in cut.stream()] == [data[:a], data[a:b], data[b:]]
+    made = cut.arranged(form)
+    assert made.sha256() == sha256(made.render()).hexdigest()
+    assert middles.restored(made.render(), form).render() == data
+    again = middles.PieceTable.of_output(made.render(), form)
+    assert [bytes(p) for p in again.stream()] == [data[:a], data[a:b], data[b:]]
+
+
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{MIDDLE}/documents.parquet'")
+    found = middles.middle_query(spark, MIDDLE)
+    cursor = con.execute(middles.MIDDLE_SQL)
+    assert [d[0] for d in cursor.description] == found.columns
+    rows = found.collect()
+    assert sorted(map(tuple, rows)) == sorted(cursor.fetchall())
+    assert {r["form"] for r in rows} >= {"psm", "spm"}
+
+
+def test_empty_table_and_clashing_columns(no_documents, clashing):
+    assert middles.digests(no_documents).count() == 0
+    assert middles.restore(middles.transform(no_documents)).count() == 0
+    assert middles.digests(clashing).count() == clashing.count()
