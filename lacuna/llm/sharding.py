@@ -166,7 +166,8 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> Cuts:
         starts = [cell.start for cell in wide]
         inside = groups.filter(F.substring("key", 1, digits).isin(starts))
         digits += MORE_DIGITS
-        known = [cell for cell in walk.cells if cell not in set(wide)]
+        split = set(wide)
+        known = [cell for cell in walk.cells if cell not in split]
         cells = sorted(known + cells_of(inside, digits), key=lambda cell: cell.low)
         walk = Walk(cells, walk.shards)
     return Cuts(tuple(alone), tuple(walk.last_keys() if walk.total else ()))
