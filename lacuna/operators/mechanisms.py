@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import attach_small, draw_key, tasks_for
 from lacuna.functions.staging import BROADCAST_ROWS
+from lacuna.operators.dropout import (
+    Dropout,
+    dropout_cuts,
+    dropout_folded,
+    scenario_of,
+    seed_of,
+)
 from lacuna.operators.profile import poor_before
 from lacuna.operators.sampling import Fold, PoolClass, draw_cuts, draw_folded, is_drawn
 from lacuna.study import DEFAULT_STUDY, MarRates, Study
@@ -83,16 +90,6 @@ def expand(rows: DataFrame, seeds: Sequence[int], scenarios: int = 1) -> DataFra
     )
 
 
-def seed_of(scenarios: int) -> Column:
-    if scenarios == 1:
-        return F.col("replicate")
-    return F.expr(f"replicate div {scenarios}")
-
-
-def scenario_of(scenarios: int) -> Column:
-    return F.pmod(F.col("replicate"), F.lit(scenarios)).cast("int")
-
-
 def spread(rows: DataFrame, n_rows: int, n_replicates: int) -> DataFrame:
     """Partition rows by subject into as many tasks as expanding them needs."""
     return rows.repartition(tasks_for(rows.sparkSession, n_rows * n_replicates), "SUBJID")
@@ -223,23 +220,6 @@ def _dropout(rows: DataFrame, draws: Draws, visits: Sequence[int]) -> DataFrame:
     return out.withColumn("dropout_visit", F.coalesce(*steps))
 
 
-def _pool(visit: int) -> Column:
-    """True: poor responder, false: everybody else, null: in neither pool.
-
-    The previous visit of a subject that has already left is masked, so such a
-    subject counts as everybody else.
-    """
-    poor = F.col(poor_before(visit)) & F.col("dropout_visit").isNull()
-    return F.when(poor, True).when(F.col("in_universe"), False)
-
-
-def _by_scenario(values: Sequence[float], scenarios: int) -> Column:
-    if scenarios == 1:
-        return F.lit(float(values[0]))
-    rates = F.array(*[F.lit(float(v)) for v in values])
-    return F.element_at(rates, scenario_of(scenarios) + 1)
-
-
 def pool_counts(study: Study = DEFAULT_STUDY) -> dict[str, Column]:
     """Aggregates over a profile from which first pool sizes are guessed."""
     poor = [poor_before(v) for v in study.dropout_visits]
@@ -256,25 +236,6 @@ def _pool_hints(counts, rates, study) -> dict[int, tuple[int, int]]:
     return hints
 
 
-def _step(
-    subjects: DataFrame,
-    draws: Draws,
-    done: Sequence[int],
-    visit: int,
-    hint: tuple[int, int],
-    rates: Sequence[MarRates],
-) -> tuple:
-    """What a search for the cuts of one visit needs, once the visits ``done`` are drawn."""
-    s, high, low = len(rates), [r.high for r in rates], [r.low for r in rates]
-    return (
-        _dropout(subjects, draws, done).withColumn("is_high", _pool(visit)),
-        ["replicate", "is_high"],
-        draw_key(F.col("SUBJID"), seed_of(s), visit),
-        [F.when(F.col("is_high"), _by_scenario(high, s)).otherwise(_by_scenario(low, s))],
-        [PoolClass(tuple(high), hint[0], F.col("is_high")), PoolClass(tuple(low), hint[1])],
-    )
-
-
 def mar_draws(
     profile: DataFrame,
     counts: dict[str, int],
@@ -284,23 +245,12 @@ def mar_draws(
 ) -> Draws:
     """Samples of both pools at every dropout visit, each step knowing the last.
 
-    ``counts`` are the values of ``pool_counts`` for the profile. Steps depend on
-    each other within a replicate, so visits are worked through in turn, all
-    replicates at once.
+    ``counts`` are the values of ``pool_counts`` for the profile. All visits of all
+    replicates are found in one scan.
     """
-    draws, hints = Draws(None, seeds, len(rates)), _pool_hints(counts, rates, study)
-    return _draw_visits(profile, draws, study.dropout_visits, hints, rates)
-
-
-def _draw_visits(profile, draws, visits, hints, rates) -> Draws:
-    subjects = profile.select("SUBJID", "in_universe", *map(poor_before, hints))
-    for i, visit in enumerate(visits):
-        rows, *search = _step(subjects, draws, visits[:i], visit, hints[visit], rates)
-        found = draw_cuts(rows.select("SUBJID", "replicate", "is_high"), *search)
-        found = found.filter(F.col("is_high").isNotNull()).withColumn("visit", F.lit(visit))
-        cuts = found if draws.cuts is None else draws.cuts.unionByName(found)
-        draws = Draws(cuts, draws.seeds, draws.scenarios)
-    return draws
+    subjects = profile.select("SUBJID", "in_universe", *map(poor_before, study.dropout_visits))
+    cuts = dropout_cuts(expand(subjects, seeds, len(rates)), _dropout_of(counts, rates, study))
+    return Draws(cuts, seeds, len(rates))
 
 
 def mar_folded(
@@ -310,22 +260,14 @@ def mar_folded(
     rates: Sequence[MarRates],
     fold: Fold,
     study: Study = DEFAULT_STUDY,
-) -> tuple[DataFrame, Draws]:
-    """Totals per replicate, ``fold.by`` and whether the last visit draws the subject (``leaves``).
+) -> DataFrame:
+    """Totals per replicate, ``fold.by`` and ``dropout_visit``, in one scan as well."""
+    rows = expand(profile, seeds, len(rates))
+    return dropout_folded(rows, _dropout_of(counts, rates, study), fold)
 
-    They are taken in the pass that finds the cuts of the last dropout visit, in
-    which ``fold`` can use ``dropout_visit``, the visit of an earlier dropout. The
-    samples of the earlier visits come with them.
-    """
-    *earlier, last = study.dropout_visits
-    hints = _pool_hints(counts, rates, study)
-    draws = _draw_visits(profile, Draws(None, seeds, len(rates)), earlier, hints, rates)
-    cuts, folded = draw_folded(*_step(profile, draws, earlier, last, hints[last], rates), fold)
-    own = cuts.select("replicate", "is_high", "cut_key", "cut_id")
-    leaves = is_drawn(F.col("at_key"), F.col("at_id"), F.col("cut_key"), F.col("cut_id"))
-    placed = folded.join(own, ["replicate", "is_high"], "left")
-    placed = placed.withColumn("leaves", leaves)
-    return placed.drop("cut_key", "cut_id", "at_key", "at_id"), draws
+
+def _dropout_of(counts, rates, study) -> Dropout:
+    return Dropout(study.dropout_visits, rates, _pool_hints(counts, rates, study))
 
 
 def mark_dropout(

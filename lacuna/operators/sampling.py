@@ -40,24 +40,32 @@ class PoolClass:
     where: Column | None = None
 
 
-def _bands(rates, size_hint: int, width: float) -> list[tuple[int, int]]:
+def key_bands(rates, size_hint: int, width: float) -> list[tuple[int, int]]:
     """Key intervals [low, high) around the quantiles, merged where they meet."""
     if not all(0 <= p <= 1 for p in rates):
         raise ValueError(f"rates must lie between 0 and 1: {sorted(set(rates))}")
     n = max(size_hint, 1)
-    bands: list[tuple[int, int]] = []
+    bands = []
     for p in sorted(set(rates)):
         half = width * math.sqrt(p * (1 - p) / n) + width / n
         low = KEY_MIN + int(max(p - half, 0.0) * KEY_SPAN)
         high = KEY_MIN + int(min(p + half, 1.0) * KEY_SPAN)
-        if bands and low <= bands[-1][1]:
-            bands[-1] = (bands[-1][0], max(high, bands[-1][1]))
+        bands.append((low, high))
+    return merged_bands(bands)
+
+
+def merged_bands(bands: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals in order, merged where they meet."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(bands):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
         else:
-            bands.append((low, high))
-    return bands
+            out.append((low, high))
+    return out
 
 
-def _slot(key: Column, bands: list[tuple[int, int]]) -> tuple[Column, Column]:
+def slot(key: Column, bands: list[tuple[int, int]]) -> tuple[Column, Column]:
     """(position, exact): the key itself inside a band, else where its gap starts."""
     position, exact = F.when(F.lit(False), F.lit(KEY_MIN)), F.when(F.lit(False), F.lit(False))
     gap = KEY_MIN
@@ -79,13 +87,15 @@ class Fold:
 
     by: tuple[str, ...] = ()
     totals: tuple[Column, ...] = ()
+    #: The names of the totals, for those who total them again.
+    names: tuple[str, ...] = ()
 
 
 NOTHING = Fold()
 
 
 def _slots(key: Column, classes: Sequence[PoolClass], width: float) -> tuple[Column, Column]:
-    parts = [(c.where, *_slot(key, _bands(c.rates, c.size_hint, width))) for c in classes]
+    parts = [(c.where, *slot(key, key_bands(c.rates, c.size_hint, width))) for c in classes]
     _, position, exact = parts[-1]
     for where, p, e in reversed(parts[:-1]):
         position = F.when(where, p).otherwise(position)
@@ -189,10 +199,10 @@ def _draw(rows, by, key, rates, classes, id_col, fold):
         if not seen["missed"]:
             return _also(found, cuts).drop("_found"), _also(folded, counted).drop("_n")
         again = settle(cuts.filter(~F.col("_found")).select(*by).distinct())
-        found = _also(found, _without(cuts, again, by))
+        found = _also(found, without_groups(cuts, again, by))
         if fold is not NOTHING:
-            folded = _also(folded, _without(counted, again, by))
-        todo = _only(rows, again, by)
+            folded = _also(folded, without_groups(counted, again, by))
+        todo = only_groups(rows, again, by)
         width *= WIDEN
 
 
@@ -200,12 +210,12 @@ def _also(before: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if before is None else before.unionByName(more)
 
 
-def _without(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+def without_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     same = [F.col(f"here.{c}").eqNullSafe(F.col(f"there.{c}")) for c in by]
     return rows.alias("here").join(groups.alias("there"), reduce(and_, same), "left_anti")
 
 
-def _only(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+def only_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     """The rows of the given groups; a group's key can be null."""
     small = groups.select(*[F.col(c).alias(f"_{c}") for c in by], F.lit(True).alias("_again"))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])

@@ -22,6 +22,7 @@ from lacuna.operators.logit import contrast_rows, fit_coded, odds_ratios
 from lacuna.operators.mechanisms import (
     Draws,
     expand,
+    mar_draws,
     mar_folded,
     mcar_folded,
     pool_counts,
@@ -114,11 +115,11 @@ def _mcar_coded(responses, subjects, seeds, rates, study) -> DataFrame:
 
 
 def _mar_coded(responses, subjects, seeds, rates, study, locf) -> DataFrame:
-    return _mar_coded_and_draws(responses, subjects, seeds, rates, study, locf)[0]
+    return _mar_coded_and_pools(responses, subjects, seeds, rates, study, locf)[0]
 
 
-def _mar_coded_and_draws(responses, subjects, seeds, rates, study, locf):
-    """The coded cells, the subjects' pools and the draws before the last visit (by block)."""
+def _mar_coded_and_pools(responses, subjects, seeds, rates, study, locf):
+    """The coded cells, the subjects' pools and the pools' sizes."""
     s = len(rates)
     *earlier, last = study.dropout_visits
     if locf == "lag1_original":
@@ -141,20 +142,8 @@ def _mar_coded_and_draws(responses, subjects, seeds, rates, study, locf):
         profile.select("SUBJID", "in_universe", *poor, *columns, "cell"), **pool_counts(study)
     )
     profile = spread(profile, sizes["in_universe"], len(seeds) * s)
-    totals = _sums(
-        rows="n_rows",
-        y_n="y_n",
-        y_r="y_r",
-        null_n=f"{null}_n",
-        null_r=f"{null}_r",
-        gone_n=gone["n"],
-        gone_r=gone["r"],
-    )
-    fold = Fold(("cell", "dropout_visit"), totals)
-    folded = [
-        mar_folded(profile, sizes, block, rates, fold, study) for block in seed_blocks(seeds, s)
-    ]
-    counts = reduce(DataFrame.unionByName, [part for part, _ in folded])
+    fold = Fold(("cell",), _sums(**{c: c for c in columns}), tuple(columns))
+    counts = mar_folded(profile, sizes, seeds, rates, fold, study)
     counts = counts.filter(F.col("cell").isNotNull()).withColumns(
         {
             "scenario": scenario_label([r.label for r in rates], scenario_of(s)),
@@ -162,17 +151,16 @@ def _mar_coded_and_draws(responses, subjects, seeds, rates, study, locf):
         }
     )
     # A response that was null all along is handled like one masked by dropout.
-    left, zero = F.col("dropout_visit").isNotNull() | F.col("leaves"), F.lit(0).cast("long")
+    left, zero = F.col("dropout_visit").isNotNull(), F.lit(0).cast("long")
     cases = [
         (_if(left, zero, "y_n"), _if(left, zero, "y_r")),
-        (F.col("rows"), _if(left, zero, "y_r")),
+        (F.col("n_rows"), _if(left, zero, "y_r")),
         (
-            _if(left, "gone_n", F.col("y_n") + F.col("null_n")),
-            _if(left, "gone_r", F.col("y_r") + F.col("null_r")),
+            _if(left, gone["n"], F.col("y_n") + F.col(f"{null}_n")),
+            _if(left, gone["r"], F.col("y_r") + F.col(f"{null}_r")),
         ),
     ]
-    pools = profile.select("SUBJID", "in_universe", *map(poor_before, earlier))
-    return _by_strategy(counts, cases, KEYS[:2]), pools, [draws for _, draws in folded]
+    return _by_strategy(counts, cases, KEYS[:2]), profile, sizes
 
 
 def _labelled(coded: DataFrame, study: Study) -> DataFrame:
@@ -304,15 +292,18 @@ def compare_once(
     if mcar:
         parts.append(run_mcar(responses, subjects, seeds, mcar, study))
     if mar:
-        coded, pools, draws = _mar_coded_and_draws(
+        coded, pools, sizes = _mar_coded_and_pools(
             responses, subjects, seeds, mar, study, "lag1_original"
         )
         if interactive_locf:
             coded = coded.filter(F.col("strategy") != STRATEGIES[2])
         ratios = _ratios(coded, study)
         if interactive_locf:
+            early = study.with_visits(*study.dropout_visits[:-1])
+            pools = pools.select("SUBJID", "in_universe", *map(poor_before, early.dropout_visits))
+            draws = mar_draws(pools, sizes, seeds, mar, early)
             ratios = ratios.unionByName(
-                mar_locf_all_visits(responses, subjects, seeds, mar, study, (pools, draws[0]))
+                mar_locf_all_visits(responses, subjects, seeds, mar, study, (pools, draws))
             )
         parts.append(ratios)
     if not parts:

@@ -369,3 +369,26 @@ def test_counts_taken_while_settling(spark):
 def test_script_rates():
     assert MAR_SCRIPT[0].label == "MAR"
     assert MarRates(0.25, 0.075).label == "MAR 25/7.5%"
+
+
+@pytest.mark.parametrize("hint", [3, 10**13])
+def test_dropout_survives_wrong_size_hints(trial, hint):
+    """A far too large hint makes the first scan miss in many replicates."""
+    from lacuna.operators.dropout import Dropout, dropout_cuts, dropout_folded
+    from lacuna.operators.mechanisms import expand
+    from lacuna.operators.sampling import Fold
+
+    profile, _ = settle_counting(subject_profile(*trial))
+    rates = [MarRates(0.3, 0.05, "a"), MarRates(0.5, 0.1, "b")]
+    rows = expand(profile, range(1, 4), 2)
+    fold = Fold(("cell",), (F.sum("y_r").alias("y_r"),), ("y_r",))
+
+    def found(size):
+        dropout = Dropout((4, 5, 6), rates, {v: (size, size) for v in (4, 5, 6)})
+        cuts = dropout_cuts(rows, dropout).collect()
+        folded = dropout_folded(rows, dropout, fold).collect()
+        return {tuple(r) for r in cuts}, {tuple(r) for r in folded}
+
+    cuts, folded = found(500)
+    assert found(hint) == (cuts, folded)
+    assert len(cuts) == 6 * 6 and {v for *_, v, _ in folded} >= {None, 4, 5, 6}

@@ -68,7 +68,7 @@ def test_only_tables_of_a_checked_size_are_broadcast(spark, monkeypatch, most, e
 
 def test_simulation_scan_shuffles_only_counts(spark, trial, monkeypatch):
     """Between expanding the replicates and counting them there is no exchange."""
-    from lacuna.operators import sampling
+    from lacuna.operators import dropout
     from lacuna.plans import mar_cells
 
     plans = []
@@ -77,11 +77,12 @@ def test_simulation_scan_shuffles_only_counts(spark, trial, monkeypatch):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return staging.settle_counting(df, **counts)
 
-    monkeypatch.setattr(sampling, "settle_counting", settle_counting)
-    monkeypatch.setattr(sampling, "settle", lambda df: settle_counting(df)[0])
+    monkeypatch.setattr(dropout, "settle_counting", settle_counting)
+    monkeypatch.setattr(dropout, "settle", lambda df: settle_counting(df)[0])
     mar_cells(*trial, seeds=range(1, 6))
     expanded = [plan for plan in plans if "REPARTITION_BY_NUM" in plan]
-    assert len(expanded) >= 3
+    # One scan of subjects x replicates for all dropout visits and the counts.
+    assert len(expanded) == 1
     for plan in expanded:
         lines = plan.splitlines()
         scan = max(i for i, line in enumerate(lines) if "Generate explode" in line)
