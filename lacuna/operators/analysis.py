@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import settle
+from lacuna.operators.ordered import with_preceding
 from lacuna.study import DEFAULT_STUDY, LAGGED, RESPONSE, Study
 
-VISITS_PER_BLOCK = 64
-
-
+#: Parts of the second factor's levels, each of which meets all levels of the first.
+LEVEL_PARTS = 32
 TIED = "several rows of a subject at one visit: name a column that orders them"
 LISTED_TWICE = "a subject is listed twice"
 
@@ -55,39 +54,19 @@ def analysis_set(
 def _with_history(
     rows: DataFrame, study: Study, previous: dict[str, Column], seen: dict[str, Column]
 ) -> DataFrame:
-    """Add values of the preceding row, and values last seen (not null) before the row.
-
-    A subject's rows are worked on in blocks of visits, so one with very many is
-    not left to one task; a row that a block does not answer takes what the
-    blocks before it leave over, one row for each of them.
-    """
+    """Add values of the preceding row, and values last seen (not null) before the row."""
     order = ["AVISITN", *([study.tie] if study.tie else [])]
-    rows = rows.withColumn("_block", F.floor(F.col("AVISITN") / VISITS_PER_BLOCK))
-    place = F.struct(*order)
-    edges = {f"_{c}": F.max_by(v, place) for c, v in previous.items()}
-    edges |= {f"_{c}": F.max_by(v, F.when(v.isNotNull(), place)) for c, v in seen.items()}
-    blocks = rows.groupBy("SUBJID", "_block").agg(*[v.alias(c) for c, v in edges.items()])
-    by_block = Window.partitionBy("SUBJID").orderBy("_block")
-    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    left_over = {f"_{c}": F.lag(f"_{c}").over(by_block) for c in previous}
-    left_over |= {f"_{c}": F.last(f"_{c}", ignorenulls=True).over(before) for c in seen}
-    blocks = blocks.select("SUBJID", "_block", *[v.alias(c) for c, v in left_over.items()])
-
-    own = Window.partitionBy("SUBJID", "_block").orderBy(*order)
-    so_far = own.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.row_number().over(own) == 1
-    out = {}
-    for c, v in previous.items():
-        value = F.when(first, F.col(f"_{c}")).otherwise(F.lag(v).over(own))
-        if study.tie is None:
-            tied = F.lag("AVISITN").over(own) == F.col("AVISITN")
-            value = F.when(tied, F.raise_error(F.lit(TIED)).cast("int")).otherwise(value)
-        out[c] = value
-    for c, v in seen.items():
-        out[c] = F.coalesce(F.last(v, ignorenulls=True).over(so_far), F.col(f"_{c}"))
-    joined = rows.join(blocks, ["SUBJID", "_block"], "left").withColumns(out)
-    names = [c for c in rows.columns if c != "_block" and c not in out]
-    return joined.select(*names, *out)
+    before = dict(previous)
+    if study.tie is None:
+        before["_visit_before"] = F.col("AVISITN")
+    out = with_preceding(rows, ["SUBJID"], order, before, seen)
+    if study.tie is None:
+        tied = F.col("_visit_before") == F.col("AVISITN")
+        stop = F.when(tied, F.raise_error(F.lit(TIED)).cast("int"))
+        # ``stop`` is null; using it keeps the check in the plan.
+        checked = {c: F.coalesce(stop, F.col(c)) for c in (*previous, *seen)}
+        out = out.withColumns(checked).drop("_visit_before")
+    return out
 
 
 def response_lag(rows: DataFrame, study: Study = DEFAULT_STUDY) -> DataFrame:
@@ -143,10 +122,11 @@ def three_way_table(
             F.count(F.when(F.col(response) == 1, 1)).alias("n_1"),
         )
     )
-    counts = settle(counts)
-    seconds = counts.select(second).distinct()
-    seconds = seconds.withColumn("_at", F.row_number().over(Window.orderBy(second)))
-    numbers = F.explode(F.sequence(F.lit(1), F.lit(seconds.count())))
-    firsts = counts.select(first).distinct().withColumn("_at", numbers)
-    grid = firsts.join(seconds, "_at").select(first, second)
+    # Using the counts, all three readers of the aggregate share its exchange.
+    seen = counts.filter(F.col("n_0") + F.col("n_1") >= 0)
+    part = F.pmod(F.xxhash64(second), F.lit(LEVEL_PARTS)).alias("_part")
+    seconds = seen.select(second).distinct().select(second, part)
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEVEL_PARTS - 1).cast("long")))
+    firsts = seen.select(first).distinct().select(first, parts.alias("_part"))
+    grid = firsts.join(seconds, "_part").select(first, second)
     return grid.join(counts, [first, second], "left").na.fill(0, ["n_0", "n_1"])

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,18 +76,25 @@ def expand(rows: DataFrame, seeds: Sequence[int], scenarios: int = 1) -> DataFra
         return rows.select("*", F.lit(None).cast("long").alias("replicate")).limit(0)
     if isinstance(seeds, range) and seeds.step == 1:
         return rows.select("*", numbers(seeds.start * s, seeds.stop * s - 1).alias("replicate"))
-    counted = rows.select("*", numbers(0, len(seeds) * s - 1).alias("_at"))
-    place, scenario = F.expr(f"_at div {s}"), F.col("_at") % s
     if isinstance(seeds, range):
-        seed = F.lit(seeds.start) + place * F.lit(seeds.step)
-        return counted.withColumn("replicate", seed * s + scenario).drop("_at")
+        counted = rows.select("*", numbers(0, len(seeds) * s - 1).alias("_at"))
+        seed = F.lit(seeds.start) + F.expr(f"_at div {s}") * F.lit(seeds.step)
+        return counted.withColumn("replicate", seed * s + F.col("_at") % s).drop("_at")
+    parts = [_expand_listed(rows, block, s) for block in seed_blocks(seeds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _expand_listed(rows: DataFrame, seeds: Sequence[int], scenarios: int) -> DataFrame:
+    """As ``expand`` for at most BROADCAST_ROWS listed seeds, which every task gets."""
     listed = rows.sparkSession.createDataFrame(
-        [(i, int(seed)) for i, seed in enumerate(seeds)], "_place long, _seed long"
+        pd.DataFrame({"_place": np.arange(len(seeds)), "_seed": np.asarray(seeds, np.int64)})
     )
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(seeds) * scenarios - 1).cast("long")))
     return (
-        counted.withColumn("_place", place)
+        rows.select("*", places.alias("_at"))
+        .withColumn("_place", F.expr(f"_at div {scenarios}"))
         .join(F.broadcast(listed), "_place")
-        .withColumn("replicate", F.col("_seed") * s + scenario)
+        .withColumn("replicate", F.col("_seed") * scenarios + F.col("_at") % scenarios)
         .drop("_at", "_place", "_seed")
     )
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import poor_response
 from lacuna.functions.columns import level_code
 from lacuna.operators.analysis import TIED, parameter_rows, unique_subjects
+from lacuna.operators.ordered import with_preceding
 from lacuna.study import DEFAULT_STUDY, RESPONSE, Study
 
 
@@ -41,16 +42,16 @@ def _fold(rows: DataFrame, study: Study, lag_skips_visit: bool) -> DataFrame:
         before = carried = F.lit(None).cast("long")
     else:
         order = F.struct(visit, F.col(study.tie))
-        tied = Window.partitionBy("SUBJID", "AVISITN").orderBy(study.tie)
-        so_far = tied.rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumns(
-            {
-                "_after_first": F.row_number().over(tied) > 1,
-                "_before": F.lag(RESPONSE).over(tied).cast("long"),
-                "_carried": F.last(RESPONSE, ignorenulls=True).over(so_far).cast("long"),
-            }
+        response = F.col(RESPONSE).cast("long")
+        rows = with_preceding(
+            rows,
+            ["SUBJID", "AVISITN"],
+            [study.tie],
+            previous={"_before": response},
+            seen={"_carried": response},
+            first="_first",
         )
-        after_first, before, carried = F.col("_after_first"), F.col("_before"), F.col("_carried")
+        after_first, before, carried = ~F.col("_first"), F.col("_before"), F.col("_carried")
         alone = F.lit(None).cast("boolean")
     null = here & y.isNull()
     last = counted if lag_skips_visit else earlier

@@ -277,33 +277,74 @@ def test_subject_listed_twice_stops_both_paths(spark, trial):
         analysis_set(responses, twice).collect()
 
 
-def test_history_over_blocks_of_visits(spark, monkeypatch):
-    """A subject with very many visits: windows hold one block each."""
-    from lacuna.operators import analysis
-
-    rng = random.Random(3)
-    values = [rng.choice([0, 1, None]) for _ in range(500)]
-    rows = [(1, v, y) for v, y in enumerate(values, 1) if v % 7]
-    rows += [(2, 3, 1), (2, 400, None), (3, 6, 0)]
-    table = spark.createDataFrame(rows, "SUBJID long, AVISITN int, PCHGCA1N int")
+def histories(rows, tie=False):
+    """(lag, last seen, last seen before visit 5) of each (subject, visit[, line]) row, row by row."""
     expected = {}
-    for subject in (1, 2, 3):
-        own = sorted((v, y) for s, v, y in rows if s == subject)
-        for i, (v, _) in enumerate(own):
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[3]) if tie else r[1])
+        for i, row in enumerate(own):
             before = own[:i]
-            seen = [y for w, y in before if y is not None and w != 2]
-            early = [y for w, y in before if y is not None and w != 2 and w < 5]
-            expected[subject, v] = (
-                before[-1][1] if before else None,
+            seen = [r[2] for r in before if r[2] is not None and r[1] != 2]
+            early = [r[2] for r in before if r[2] is not None and r[1] != 2 and r[1] < 5]
+            expected[(*row[:2], *row[3:])] = (
+                before[-1][2] if before else None,
                 seen[-1] if seen else None,
                 early[-1] if early else None,
             )
-    for block in (1, 16, 64):
-        monkeypatch.setattr(analysis, "VISITS_PER_BLOCK", block)
-        got = analysis.response_history(table).collect()
-        assert {(r.SUBJID, r.AVISITN): (r.LAGPCHGCA1N, r.SEEN, r.SEEN_5) for r in got} == expected
-    plan = analysis.response_history(table)._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan
+    return expected
+
+
+def test_history_of_a_subject_with_very_many_visits(spark):
+    """Its rows lie in several ranges, and what one leaves over goes to the next."""
+    from lacuna.operators import analysis
+
+    rng = random.Random(3)
+    rows = [(1, v, rng.choice([0, 1, None])) for v in range(1, 501) if v % 7]
+    rows += [(2, v, None) for v in range(1, 301)] + [(2, 400, 1), (3, 6, 0), (0, 3, 1)]
+    table = spark.createDataFrame(rows, "SUBJID long, AVISITN int, PCHGCA1N int").repartition(3)
+    table = analysis.response_history(table)
+    got = {(r.SUBJID, r.AVISITN): (r.LAGPCHGCA1N, r.SEEN, r.SEEN_5) for r in table.collect()}
+    assert got == histories(rows)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_history_with_most_rows_in_one_visit(spark, monkeypatch):
+    """90 % of all rows are one subject's at one visit; no range has most of them."""
+    from lacuna.operators import analysis, ordered
+
+    rng = random.Random(5)
+    rows = [(7, 4, rng.choice([0, 1, None, None]), line) for line in range(1800)]
+    rows += [(s, v, rng.choice([0, 1, None]), 0) for s in range(40) for v in (3, 4, 5, 6, 7) if s != 7]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "SUBJID long, AVISITN int, PCHGCA1N int, LINE int")
+    kept = []
+    settle = ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    study = replace(DEFAULT_STUDY, tie="LINE")
+    got = {
+        (r.SUBJID, r.AVISITN, r.LINE): (r.LAGPCHGCA1N, r.SEEN, r.SEEN_5)
+        for r in analysis.response_history(table.repartition(5), study).collect()
+    }
+    assert got == histories(rows, tie=True)
+    sizes = [r["count"] for r in kept[0].groupBy(F.expr("at >> 33")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < len(rows) / 3
+
+
+def test_preceding_in_groups_with_nulls(spark):
+    from lacuna.operators.ordered import with_preceding
+
+    rows = [("a", None, i, i % 3 or None) for i in range(9)] + [(None, 1, i, None) for i in range(4)]
+    rows += [(None, None, 5, 2), ("b", 1, 0, None)]
+    table = spark.createDataFrame(rows, "`k.1` string, k2 int, n int, v int").withColumn("old", F.lit(0))
+    found = with_preceding(table, ["k.1", "k2"], ["n"], {"old": F.col("v")}, {"s": F.col("v")}, "first")
+    got = {tuple(r)[:3]: tuple(r)[4:] for r in found.collect()}
+    for key in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == key), key=lambda r: r[2])
+        for i, row in enumerate(own):
+            seen = [r[3] for r in own[:i] if r[3] is not None]
+            assert got[row[:3]] == (own[i - 1][3] if i else None, seen[-1] if seen else None, not i)
+    assert with_preceding(table.limit(0), ["k2"], ["n"], {"p": F.col("v")}, {}).count() == 0
 
 
 def test_natural_nulls_differ_between_mechanisms(spark):
@@ -361,6 +402,25 @@ def test_three_way_table_keeps_empty_cells(spark):
     assert got == {(1, "F", 1, 1), (1, "M", 0, 0), (2, "F", 0, 0), (2, "M", 0, 1)}
 
 
+def test_three_way_table_of_many_levels_is_lazy(spark, monkeypatch):
+    from lacuna.functions import staging
+
+    rows = [(i % 40, f"s{i % 70}", i % 2) for i in range(300)]
+    table = spark.createDataFrame(rows, "TRTPN int, SEX string, PCHGCA1N int")
+    monkeypatch.setattr(staging, "settle_counting", None)
+    found = three_way_table(table)
+    got = {tuple(r) for r in found.collect()}
+    expected = {
+        (a, f"s{b}", *(sum(r == (a, f"s{b}", y) for r in rows) for y in (0, 1)))
+        for a in range(40)
+        for b in range(70)
+    }
+    assert got == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan and "Cartesian" not in plan
+    assert "ReusedExchange" in plan
+
+
 def test_counts_taken_while_settling(spark):
     df, seen = settle_counting(spark.range(10), n=F.count(F.lit(1)), even=F.count_if(F.expr("id % 2 = 0")))
     assert seen == {"n": 10, "even": 5} and df.count() == 10

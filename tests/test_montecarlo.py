@@ -272,6 +272,19 @@ def test_many_listed_seeds_start_quickly(spark):
     )
 
 
+def test_two_million_listed_seeds_come_in_blocks(spark):
+    """No task gets more of them than the bound, also for rows that are never drawn."""
+    from lacuna.functions.staging import BROADCAST_ROWS
+    from lacuna.operators.mechanisms import expand
+
+    seeds = list(range(1, 4_000_001, 2))
+    rows = expand(spark.range(1).withColumnRenamed("id", "SUBJID"), seeds)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 4 == len(seeds) / BROADCAST_ROWS
+    assert rows.agg(F.count("*"), F.min("replicate"), F.max("replicate")).first()[:] == (
+        2_000_000, 1, 3_999_999,
+    )
+
+
 def test_one_fit_and_one_aggregate_in_a_forest_frame(trial):
     responses, subjects = trial
     summary = mc_summary(run_mcar(responses, subjects, range(1, 4), [0.3]))
