@@ -31,6 +31,8 @@ from lacuna.operators import (  # noqa: E402
 )
 from lacuna.operators.mechanisms import MCAR_DRAW, expand, pool_table, spread  # noqa: E402
 from lacuna.plans import (  # noqa: E402
+    Flagged,
+    Sampled,
     compare_once,
     complete_odds_ratios,
     forest_frame,
@@ -40,8 +42,10 @@ from lacuna.plans import (  # noqa: E402
     mc_summary,
     mcar_cells,
     mcar_rows,
+    own_cells,
     run_mar,
     run_mcar,
+    run_own,
     single_draw_frame,
     truth_frame,
     variance_frame,
@@ -52,6 +56,7 @@ from lacuna.plans.rows import (  # noqa: E402
     mcar_sample,
     scenario_sizes,
 )
+from lacuna.operators.analysis import with_sex  # noqa: E402
 from lacuna.functions.staging import shared_folder  # noqa: E402
 from lacuna.sources import (  # noqa: E402
     load_responses,
@@ -72,9 +77,8 @@ from lacuna.study import (  # noqa: E402
 
 try:
     training_data = importlib.import_module("lacuna.llm.registry")
-except ModuleNotFoundError as missing:
-    if missing.name not in ("lacuna.llm", "lacuna.llm.registry", "corpus_pipeline"):
-        raise
+except ModuleNotFoundError:
+    # The training-data folders, or a library that only they need, are not there.
     training_data = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -84,6 +88,8 @@ RATE = 0.3
 VISIT = 6
 REPEATED = replace(DEFAULT_STUDY, tie="LINE")
 SEPARATED_ARM = "TEST 210MG"
+#: Seeds whose masked rows are returned one by one; digests and totals take all.
+ROW_SEEDS = range(1, 21)
 FITTED = ["seed", "SUBJID", "SEX", "TRTP", "PCHGCA1N"]
 
 
@@ -189,6 +195,49 @@ def _per_visit(rows: DataFrame, *more: str) -> DataFrame:
     return rows.groupBy("seed", "AVISITN").agg(*totals)
 
 
+def _digest(rows: DataFrame, *more: str) -> DataFrame:
+    """Per seed, the number of rows and a sum of hashes, of every row and column in any order."""
+    values = ["SUBJID", "AVISITN", RESPONSE, *more]
+    exact = [F.floor(F.col(c) * 1_000_000) for c in ("AVAL", "PCHG")]
+    texts = [F.coalesce(c.cast("string"), F.lit("-")) for c in (*map(F.col, values), *exact)]
+    first = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("long")
+    return rows.groupBy("scenario", "seed").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(first).alias("digest")
+    )
+
+
+def _own_rows(r: DataFrame, s: DataFrame) -> DataFrame:
+    rows = response_lag(parameter_rows(r)).filter(F.col("AVISITN") == VISIT)
+    return with_sex(rows, s)
+
+
+#: What a user may write: the missing count against the tested arms, or carry what is known.
+OWN_STRATEGIES = {
+    "worst": lambda missing: F.when(
+        missing, (F.col("TRTP") == "PLACEBO").cast("int")
+    ).otherwise(F.col(RESPONSE)),
+    "carried": lambda missing: F.when(missing, F.coalesce(LAGGED, F.lit(0))).otherwise(
+        F.col(RESPONSE)
+    ),
+}
+OWN_SAMPLE = Sampled(
+    {"PLACEBO": 0.4, "ACTIVE": 0.2, "TEST 140MG": 0.2, "TEST 210MG": 0.1}, "TRTP", draw=21
+)
+OWN_FLAG = Flagged(lambda draw: draw(22) < F.when(F.col(LAGGED) == 1, 0.1).otherwise(0.35))
+
+
+def _chosen_seed(r: DataFrame, s: DataFrame) -> DataFrame:
+    """A draw whose seed was chosen, beside the draw that this seed gives when named."""
+    free, seed = compare_once(r, s, mcar=MCAR_RATES)
+    named, _ = compare_once(r, s, mcar=MCAR_RATES, seed=seed)
+    keys = ["scenario", "strategy", "contrast"]
+    both = free.select(*keys, "seed", "or_raw").join(
+        named.select(*keys, F.col("seed").alias("named"), F.col("or_raw").alias("again")), keys
+    )
+    same = F.col("or_raw").eqNullSafe(F.col("again")) & (F.col("seed") == F.col("named"))
+    return both.select(*keys, (same & (F.col("seed") == seed)).alias("same"))
+
+
 def row_queries(seeds) -> Queries:
     """Queries that return rows per subject and seed."""
 
@@ -208,6 +257,11 @@ def row_queries(seeds) -> Queries:
     def masked(r, s):
         return mar_rows(r, s, seeds, MAR_SCRIPT)
 
+    def few(r, s):
+        return mar_rows(r, s, [x for x in seeds if x in ROW_SEEDS], MAR_SCRIPT)
+
+    listed = ["scenario", "seed", "SUBJID", "AVISITN", "AVAL", RESPONSE]
+
     def mar(strategy):
         return _trial(
             lambda r, s: strategy(masked(r, s).filter(F.col("AVISITN") == VISIT)).select(*FITTED)
@@ -221,12 +275,20 @@ def row_queries(seeds) -> Queries:
         "mcar_locf": mcar(impute_locf),
         "mar_dropout": _trial(lambda r, s: mar_dropout(r, s, seeds, MAR_SCRIPT)),
         "mar_masked_long": _trial(lambda r, s: _per_visit(masked(r, s), LAGGED)),
+        "mar_masked_rows": _trial(lambda r, s: few(r, s).select(*listed, LAGGED)),
+        "mar_masked_digest": _trial(lambda r, s: _digest(masked(r, s), LAGGED)),
         "mar_completers": mar(completers),
         "mar_composite": mar(impute_composite),
         "mar_locf": mar(impute_locf),
         "mar_locf_last_observed": _trial(
             lambda r, s: _per_visit(impute_locf(masked(r, s), mode="last_observed"))
         ),
+        "mar_last_observed_rows": _trial(
+            lambda r, s: impute_locf(few(r, s), mode="last_observed").select(*listed)
+        ),
+        "mar_last_observed_digest": _trial(
+            lambda r, s: _digest(impute_locf(masked(r, s), mode="last_observed"))
+        ),
         "mar_locf_all_visits": _ratios(lambda r, s: mar_locf_all_visits(r, s, seeds)),
     }
 
@@ -272,6 +334,16 @@ def simulation_queries(seeds) -> Queries:
         ),
         "mar_forest_frame": _forest(mar),
         "mar_variance_frame": _trial(lambda r, s: variance_frame(mc_summary(mar(r, s)))),
+        "own_sampled_replicates": _ratios(
+            lambda r, s: run_own(_own_rows(r, s), OWN_SAMPLE, OWN_STRATEGIES, seeds)
+        ),
+        "own_flagged_cells": _trial(
+            lambda r, s: own_cells(_own_rows(r, s), OWN_FLAG, OWN_STRATEGIES, seeds)
+        ),
+        "own_flagged_summary": _trial(
+            lambda r, s: _summary(run_own(_own_rows(r, s), OWN_FLAG, OWN_STRATEGIES, seeds))
+        ),
+        "single_draw_chosen_seed": _trial(_chosen_seed),
         "single_draw_mcar": _single(mcar=MCAR_RATES),
         "single_draw_mar": _single(mar=MAR_MENU),
         "single_draw_mar_interactive": _single(mar=MAR_MENU, interactive_locf=True),

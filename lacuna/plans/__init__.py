@@ -1,3 +1,4 @@
+from lacuna.plans.custom import Flagged, Sampled, own_cells, run_own
 from lacuna.plans.frames import (
     forest_frame,
     single_draw_frame,
@@ -17,6 +18,8 @@ from lacuna.plans.montecarlo import (
 from lacuna.plans.rows import mar_rows, mcar_rows
 
 __all__ = [
+    "Flagged",
+    "Sampled",
     "compare_once",
     "complete_odds_ratios",
     "forest_frame",
@@ -26,8 +29,10 @@ __all__ = [
     "mc_summary",
     "mcar_cells",
     "mcar_rows",
+    "own_cells",
     "run_mar",
     "run_mcar",
+    "run_own",
     "single_draw_frame",
     "truth_frame",
     "variance_frame",

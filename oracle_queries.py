@@ -341,6 +341,36 @@ def _per_visit(*values: str) -> str:
     return ", ".join(["count(*) n", *seen, *sums, cents])
 
 
+def _digest(*values: str) -> str:
+    """Per seed, rows and the sum of a part of each row's MD5."""
+    columns = ["SUBJID", "AVISITN", *values]
+    texts = [f"coalesce({c}::varchar, '-')" for c in columns]
+    texts += [f"coalesce(floor({c} * 1000000)::bigint::varchar, '-')" for c in ("AVAL", "PCHG")]
+    text = " || '|' || ".join(texts)
+    return f"count(*) n, cast(sum(('0x' || substr(md5({text}), 1, 8))::bigint) as bigint) digest"
+
+
+# Replicates written by the user: rows of visit 6 with each seed and draw.
+OWN_RATES = "case TRTP when 'PLACEBO' then 0.4::double when 'TEST 210MG' then 0.1::double else 0.2::double end"
+OWN_ROWS = """,
+fitrows as (
+  select 'own' scenario, seed, 'worst' strategy, SEX, TRTP,
+         case when missing then (TRTP='PLACEBO')::int else PCHGCA1N end y from own
+  union all
+  select 'own', seed, 'carried', SEX, TRTP,
+         case when missing then coalesce(LAGPCHGCA1N, 0) else PCHGCA1N end from own)"""
+
+
+def _own(first: int, last: int, draw: int, missing: str) -> str:
+    return f"""{TRIAL}, {_seeds(first, last)}, {HASHED},
+subj as (select seed, h.* from hashed h, seeds),
+keyed as (
+  select s.seed, s.k, b.*, row_number() over (partition by seed, TRTP order by k, b.SUBJID) rn,
+         count(*) over (partition by seed, TRTP) n_pool
+  from {_key('subj', draw)} s join base6 b on b.SUBJID = s.SUBJID),
+own as (select *, {missing} missing from keyed){OWN_ROWS}"""
+
+
 def _with(*parts: str, out: str) -> str:
     return "with recursive " + "".join(parts) + NEWLINE + out
 
@@ -381,6 +411,14 @@ from base6 b join ranked r on r.SUBJID=b.SUBJID"""
     mar_full = _mar(*allseeds) + _rows_by_strategy_mar() + CELLS
     mar_seen = _mar(*allseeds) + _rows_by_strategy_mar(True) + CELLS
     one = (single_seed, single_seed)
+    own_sampled = _own(*allseeds, 21, f"rn <= floor({OWN_RATES} * n_pool)")
+    own_flagged = _own(
+        *allseeds,
+        22,
+        "k::double / 18446744073709551616.0::double + 0.5::double"
+        " < case when LAGPCHGCA1N = 1 then 0.1::double else 0.35::double end",
+    )
+    row_seeds = _mar(1, min(sample_seeds, 20))
     forest_out = f"""
 select scenario, {AXIS} "yAxis", round(mean,8) "boxOdds", round(low,8) "boxCILow",
        round(high,8) "boxCIHigh", {GROUPS.format('strategy')} "group", round(mean,3) "VAL"
@@ -517,6 +555,23 @@ select scenario, strategy, contrast, count(or_value) n, round(median(or_value),
 select scenario, seed, SUBJID, dropout_visit from dropout where dropout_visit is not null""",
         "mar_masked_long": f"""with {mar20}
 select seed, AVISITN, {_per_visit('PCHGCA1N', 'LAGPCHGCA1N')} from masked where AVISITN<>2 group by all""",
+        "mar_masked_rows": f"""with {row_seeds}
+select scenario, seed, SUBJID, AVISITN, AVAL, PCHGCA1N, LAGPCHGCA1N from masked where AVISITN<>2""",
+        "mar_masked_digest": f"""with {mar20}
+select scenario, seed, {_digest('PCHGCA1N', 'LAGPCHGCA1N')} from masked where AVISITN<>2 group by all""",
+        "mar_last_observed_rows": f"""with {row_seeds} {LAST_OBSERVED}
+select scenario, seed, SUBJID, AVISITN, AVAL, coalesce(PCHGCA1N,seen) PCHGCA1N
+from carried where AVISITN<>2""",
+        "mar_last_observed_digest": f"""with {mar20} {LAST_OBSERVED}
+select scenario, seed, {_digest('PCHGCA1N')}
+from (select * replace (coalesce(PCHGCA1N,seen) as PCHGCA1N) from carried where AVISITN<>2) group by all""",
+        "own_sampled_replicates": _with(own_sampled, CELLS, FIT, out=RATIOS_OUT),
+        "own_flagged_cells": _with(own_flagged, CELLS, out="select * from cells"),
+        "own_flagged_summary": _with(own_flagged, CELLS, FIT, SUMMARY, out=SUMMARY_OUT),
+        "single_draw_chosen_seed": """select scenario, strategy, contrast, true same
+from (values ('MCAR 10%'), ('MCAR 20%'), ('MCAR 30%')) a(scenario),
+     (values ('completers'), ('imputed'), ('locf')) b(strategy),
+     (values ('AvsP'), ('SexM2F'), ('T140vsP'), ('T210vsP')) c(contrast)""",
         "mar_completers": f"""with {mar20}
 select seed, SUBJID, SEX, TRTP, PCHGCA1N from masked where AVISITN=6 and PCHGCA1N is not null""",
         "mar_composite": f"""with {mar20}
