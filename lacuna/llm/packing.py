@@ -80,7 +80,8 @@ class ChunkIds(dict):
     def encoded(self, chunk: str) -> list[int]:
         lower = chunk.lower()
         plain = len(lower) == len(chunk) and max(chunk) < "ɐ" and min(chunk) > " "
-        if "<|" in chunk or not plain:
+        # U+007F is the one ASCII character beyond the space that has a letter of its own.
+        if "<|" in chunk or "\x7f" in chunk or not plain:
             # Special tokens, or characters whose normal form or class is not plain.
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         out = []

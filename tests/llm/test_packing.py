@@ -23,6 +23,18 @@ def test_pieces_equal_the_library(documents):
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_every_low_character_as_the_library():
+    """All code points below U+0250, alone, in words and in random strings."""
+    rng = np.random.default_rng(1)
+    chars = [chr(c) for c in range(0x250)]
+    texts = [t for c in chars for t in (c, f"abc{c}", f"{c}x", f"a{c}b{c}{c}")] + ["abc\x7f", "\x7f\x7f a\x7f"]
+    texts += ["".join(rng.choice(chars, 12)) for _ in range(5000)]
+    tokenizer = Tokenizer.from_file(FILE)
+    ids, offsets = packing.ChunkIds(FILE).tokens(texts)
+    for i, encoded in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == [*encoded.ids, 1], texts[i]
+
+
 def check_packed(rows, parts, capacity):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(repr, rows[key].itertuples(index=False))) == sorted(
