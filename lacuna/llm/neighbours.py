@@ -11,6 +11,11 @@ no kept one is closer to it, ``ALPHA`` times, than the point is; links are added
 back and pruned again where a node has more than ``DEGREE``. A search runs a beam
 in every shard and merges the shards' best, with distances taken anew from the
 original vectors in double precision.
+
+Graphs work on vectors moved to the shard's median and scaled to its usual spread,
+so offsets and units do not matter, and one vector far off does not shrink the
+others. A query whose beam finds too few nodes, as far off the shard as numbers
+go, is compared with every node of the shard.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ SEARCH_BEAM = 128
 EXPANDED = 4
 BATCH = 256
 STARTS = 8
+#: Scaled components beyond this are cut, so that squares stay finite.
+FAR = 1e120
 
 
 def takes_part(vector: Column) -> Column:
@@ -53,6 +60,43 @@ def _squares(points: np.ndarray, near: np.ndarray, to: np.ndarray) -> np.ndarray
     )
 
 
+class Frame:
+    """The middle and usual spread of a shard's vectors."""
+
+    def __init__(self, points: np.ndarray):
+        sizes = np.abs(points).max(axis=1)
+        self.unit = np.median(sizes) or sizes.max() or 1.0
+        with np.errstate(over="ignore"):
+            scaled = points / self.unit
+        self.middle = np.median(scaled, axis=0)
+        spread = np.abs(scaled - self.middle).max(axis=1)
+        self.spread = np.median(spread) or min(spread.max(), FAR) or 1.0
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            moved = (vectors / self.unit - self.middle) / self.spread
+        return np.clip(moved, -FAR, FAR)
+
+
+def distances(points: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, also where squares leave its range."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = points - vector
+        squares = (apart**2).sum(axis=1)
+        odd = ~np.isfinite(squares) | (squares < 1e-280)
+        out = np.sqrt(squares)
+        if odd.any():
+            some, own = points[odd], np.zeros(int(odd.sum()))
+            unit = np.maximum(np.abs(some).max(axis=1), np.abs(vector).max())
+            parts = some / unit[:, None] - vector / unit[:, None]
+            most = np.abs(parts).max(axis=1)
+            far = most > 0
+            scaled = parts[far] / most[far][:, None]
+            own[far] = np.sqrt((scaled**2).sum(axis=1)) * most[far] * unit[far]
+            out[odd] = own
+    return out
+
+
 def _numbers(n: int) -> Column:
     """One row for each of 0 .. n - 1."""
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -62,7 +106,7 @@ class Graph:
     """Points and, by rows, the numbers of their out-neighbours (-1: none)."""
 
     def __init__(self, points: np.ndarray, links: np.ndarray | None = None):
-        self.points = np.ascontiguousarray(points, np.float32)
+        self.points = np.ascontiguousarray(points, np.float64)
         n = len(points)
         rng = np.random.default_rng(n)
         self.starts = np.sort(rng.permutation(n)[:STARTS])
@@ -70,12 +114,12 @@ class Graph:
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all queries in step: point numbers (-1: none) by distance, squares."""
-        queries = np.ascontiguousarray(queries, np.float32)
+        queries = np.ascontiguousarray(queries, np.float64)
         n_queries, rows = len(queries), np.arange(len(queries))[:, None]
         seen = np.zeros((n_queries, len(self.points) + 1), bool)
         seen[:, -1] = True  # number -1
         ids = np.full((n_queries, beam), -1, np.int64)
-        squares = np.full((n_queries, beam), np.inf, np.float32)
+        squares = np.full((n_queries, beam), np.inf)
         done = np.ones((n_queries, beam), bool)
         new = np.broadcast_to(self.starts, (n_queries, len(self.starts))).astype(np.int64)
         while True:
@@ -196,7 +240,7 @@ def index(vectors: DataFrame, k: int = K) -> DataFrame:
         points = np.stack(rows["embedding"].to_list())
         order = np.lexsort(points.T[::-1])
         rows, points = rows.iloc[order].reset_index(drop=True), points[order]
-        return rows.assign(place=np.arange(len(rows)), links=list(build_graph(points).links))
+        return rows.assign(place=np.arange(len(rows)), links=list(build_graph(Frame(points)(points)).links))
 
     schema = "shard long, dims int, place int, embedding array<double>, ids array<long>, links array<int>"
     columns = [part.split()[0] for part in schema.split(", ")]
@@ -227,8 +271,11 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             return out
         nodes = nodes.sort_values("place")
         points = np.stack(nodes["embedding"].to_list())
-        graph = Graph(points, np.stack(nodes["links"].to_list()).astype(np.int32))
+        frame = Frame(points)
+        graph = Graph(frame(points), np.stack(nodes["links"].to_list()).astype(np.int32))
+        enough = min(k + 1, len(points))
         ids = nodes["ids"].to_list()
+        least = np.array([own[0] for own in ids])
         frames = []
         for start in range(0, len(wanted), BATCH):
             part = wanted.iloc[start : start + BATCH]
@@ -236,11 +283,14 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             if len(points) <= SEARCH_BEAM:
                 found = np.broadcast_to(np.arange(len(points)), (len(part), len(points)))
             else:
-                found, _ = graph.search(vectors, SEARCH_BEAM)
+                found, _ = graph.search(frame(vectors), SEARCH_BEAM)
             for query, vector, near in zip(part["query_id"], vectors, found):
                 near = near[near >= 0]
-                score = np.sqrt(((points[near] - vector) ** 2).sum(axis=1))
-                best = np.argsort(score, kind="stable")[: k + 1]
+                if len(near) < enough or np.abs(frame(vector)).max() >= FAR:
+                    near = np.arange(len(points))
+                score = distances(points[near], vector)
+                # The nodes of the smallest ids among equal scores hold the smallest ids.
+                best = np.lexsort((least[near], score))[: k + 1]
                 counts = [len(ids[i]) for i in near[best]]
                 frames.append(
                     pd.DataFrame(

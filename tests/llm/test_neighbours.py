@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -51,3 +53,27 @@ def test_copies_ties_and_odd_vectors(spark):
 
 def test_empty_table(spark):
     assert ask(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("scale, offset", [(1, 1e4), (1e20, 0), (1e-25, 0), (1e200, 0), (1e-200, 0)])
+def test_offsets_and_units_do_not_matter(spark, scale, offset):
+    rng = np.random.default_rng(8)
+    near = (rng.normal(size=(1200, 16)) + offset) * scale
+    rows = [(i, v.tolist()) for i, v in enumerate(near)]
+    # One query is far off all others, and two lie on the edge of what numbers hold.
+    rows += [(1300, (near[0] + 1e12 * scale).tolist()), (1400, [1e300] * 16), (1401, [-1e300] * 16)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = table.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    found = {}
+    for r in neighbours.search(neighbours.index(table), queries).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    hits = 0
+    for query, vector in rows:
+        if query % 100:
+            continue
+        own = found[query]
+        assert sorted(own) == list(range(1, 11))
+        assert all(np.isfinite(own[k][1]) and own[k][1] <= own[k + 1][1] for k in range(1, 10))
+        exact = sorted((math.dist(vector, v), i) for i, v in rows if i != query)[:10]
+        hits += len({i for _, i in exact} & {i for i, _ in own.values()})
+    assert hits >= 0.95 * 10 * len(found)
