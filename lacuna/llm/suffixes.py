@@ -28,22 +28,22 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lacuna.functions import settle
-from lacuna.llm.words import MULTIPLIER, flat, mix, powers, split_batch
+from lacuna.llm.words import MULTIPLIER, flat, map_batches, mix, powers, split_batch
 
 LENGTH = 200
 CORE = 64
 #: Windows of one core up to which a shard takes them.
-CORE_WINDOWS = 100_000
+CORE_WINDOWS = 50_000
 #: Windows of a shard, about, and of one batch of it.
-SHARD_WINDOWS = 400_000
-BATCH_WINDOWS = 100_000
+SHARD_WINDOWS = 200_000
+BATCH_WINDOWS = 50_000
 #: Bytes of a longer text that are looked at together.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _RUN = "core long, whole long, again boolean, doc long, text_key long, start long, windows long"
 _RUN_COLUMNS = [c.split()[0] for c in _RUN.split(", ")]
@@ -148,21 +148,26 @@ def _runs(batch: pa.RecordBatch, length: int, core: int) -> Iterator[pa.RecordBa
 def recurring(runs: DataFrame) -> DataFrame:
     """Runs that matter: ``repeated`` as a whole elsewhere, or to be compared with others (``compare``).
 
-    Of equal runs the first one is compared, if its core has other surroundings
-    somewhere or stands in the run more than once.
+    Of equal runs (by core and whole, two hashes of 64 bits) the first one is
+    compared, if its core has other surroundings somewhere or stands in the run
+    more than once. Runs are counted before they meet, so a passage that very many
+    documents share is one row of each task.
     """
-    same_core = Window.partitionBy("core")
-    ordered = same_core.orderBy("whole", "doc", "text_key", "start")
-    before = F.coalesce(F.lag("whole").over(ordered) == F.col("whole"), F.lit(False))
-    after = F.coalesce(F.lead("whole").over(ordered) == F.col("whole"), F.lit(False))
-    others = F.min("whole").over(same_core) != F.max("whole").over(same_core)
-    return (
-        runs.withColumns({"before": before, "after": after, "others": others})
-        .withColumn("repeated", F.col("before") | F.col("after"))
-        .withColumn("compare", ~F.col("before") & (F.col("others") | F.col("again")))
-        .filter("repeated OR compare")
-        .drop("whole", "again", "before", "after", "others")
+    first = F.min(F.struct("doc", "text_key", "start", "windows")).alias("first")
+    wholes = settle(
+        runs.groupBy("core", "whole").agg(F.count("*").alias("n"), F.bool_or("again").alias("again"), first)
     )
+    more = wholes.groupBy("core").agg(F.count("*").alias("wholes")).filter("wholes > 1")
+    # Tables, so that Spark can split the joins where a core or run is very common.
+    cores = settle(more.select("core").unionByName(wholes.filter("again").select("core")).distinct())
+    compared = wholes.join(cores, "core", "left_semi").select("core", "first.*")
+    twice = settle(wholes.filter("n > 1").select("core", "whole"))
+    repeated = runs.join(twice, ["core", "whole"], "left_semi").select("core", "doc", "text_key", "start", "windows")
+
+    def flagged(rows: DataFrame, repeated: bool) -> DataFrame:
+        return rows.withColumns({"repeated": F.lit(repeated), "compare": F.lit(not repeated)})
+
+    return flagged(repeated, True).unionByName(flagged(compared, False))
 
 
 def _windows(data: np.ndarray, length: int) -> np.ndarray:
@@ -342,7 +347,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, core: int = CORE)
     runs = texts.mapInArrow(
         lambda batches: (out for batch in batches for out in _runs(batch, length, core)), _RUN
     )
-    found = settle(recurring(runs))
+    found = settle(recurring(settle(runs)))
     compared = found.filter("compare")
     sizes = compared.groupBy("core").agg(F.sum("windows").alias("of_core"))
     common = settle(sizes.filter(F.col("of_core") > CORE_WINDOWS).select("core"))
@@ -352,21 +357,30 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, core: int = CORE)
         F.collect_set(F.struct("core", "start", "windows")).alias("wanted")
     )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _SEGMENT.split(", ")]
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc, key, text, runs = (batch.column(i)[row].as_py() for i in range(4))
-                data = text.encode()
-                rows = []
-                for run in runs:
-                    start, end = run["start"], run["start"] + run["windows"] + length - 1
-                    rows.append((run["core"], doc, key, start, data[start:end]))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows))), names)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        docs, keys, texts, lists = (batch.column(c) for c in ("doc", "text_key", "text", "wanted"))
+        data, offsets = flat(texts)
+        whole = data.data
+        runs, count = lists.flatten(), lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(count)), count)
+        start = runs.field("start").to_numpy()
+        ends = start + runs.field("windows").to_numpy() + length - 1
+        bounds = zip((offsets[row] + start).tolist(), (offsets[row] + ends).tolist())
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [
+                runs.field("core"),
+                docs.take(at),
+                keys.take(at),
+                runs.field("start"),
+                pa.array([bytes(whole[a:b]) for a, b in bounds], pa.binary()),
+            ],
+            [c.split()[0] for c in _SEGMENT.split(", ")],
+        )
 
     # Repeated rows give each segment again, which is right: their windows recur.
     chosen = texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "wanted")
-    segments = settle(chosen.mapInArrow(cut, _SEGMENT))
+    segments = settle(map_batches(chosen, cut, _SEGMENT))
     very_common = bool(common.take(1))
     plain = segments.join(common, "core", "left_anti") if very_common else segments
     plain = plain.repartition(shards, "core")
