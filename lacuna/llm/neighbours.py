@@ -14,8 +14,8 @@ original vectors in double precision.
 
 Graphs work on vectors moved to the shard's median and scaled to its usual spread,
 so offsets and units do not matter, and one vector far off does not shrink the
-others. A query whose beam finds too few nodes, as far off the shard as numbers
-go, is compared with every node of the shard.
+others. A query far off the shard, or whose beam finds too few nodes, is compared
+with every node of the shard.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ BATCH = 256
 STARTS = 8
 #: Scaled components beyond this are cut, so that squares stay finite.
 FAR = 1e120
+#: Scaled components of a query beyond which differences drown in its square.
+LOST = 1e5
 
 
 def takes_part(vector: Column) -> Column:
@@ -286,7 +288,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 found, _ = graph.search(frame(vectors), SEARCH_BEAM)
             for query, vector, near in zip(part["query_id"], vectors, found):
                 near = near[near >= 0]
-                if len(near) < enough or np.abs(frame(vector)).max() >= FAR:
+                if len(near) < enough or np.abs(frame(vector)).max() > LOST:
                     near = np.arange(len(points))
                 score = distances(points[near], vector)
                 # The nodes of the smallest ids among equal scores hold the smallest ids.
