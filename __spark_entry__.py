@@ -5,7 +5,6 @@ from __future__ import annotations
 import importlib
 import os
 import sys
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -23,6 +22,7 @@ from lacuna.operators import (  # noqa: E402
     design_of,
     impute_composite,
     impute_locf,
+    level_ratios,
     model_cells,
     parameter_rows,
     response_lag,
@@ -57,7 +57,7 @@ from lacuna.plans.rows import (  # noqa: E402
     scenario_sizes,
 )
 from lacuna.operators.analysis import with_sex  # noqa: E402
-from lacuna.functions.staging import shared_folder  # noqa: E402
+from lacuna.functions.staging import kept_path  # noqa: E402
 from lacuna.sources import (  # noqa: E402
     load_responses,
     load_subjects,
@@ -132,7 +132,7 @@ def _single(**scenarios):
 
 def _through_csv(table: DataFrame, load) -> DataFrame:
     """The table as the reader finds it in files with a header and NA for missing."""
-    path = f"{shared_folder(table.sparkSession)}/lacuna-csv-{uuid.uuid4().hex}"
+    path = kept_path(table.sparkSession, "lacuna-csv")
     table.write.csv(path, header=True, nullValue="NA")
     return load(table.sparkSession, path)
 
@@ -145,6 +145,17 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(complete_odds_ratios(responses, subjects, study), 6, "or_raw")
 
 
+def _sites(r: DataFrame, s: DataFrame) -> DataFrame:
+    """Odds ratios of very many levels: 251 sites, over all visits."""
+    site = F.concat(F.lit("S"), F.lpad((F.col("SUBJID") % 251).cast("string"), 3, "0"))
+    rows = with_sex(parameter_rows(r, skip_visit=False), s).withColumn("SITE", site)
+    rows = rows.filter(F.col(RESPONSE).isNotNull())
+    cells = rows.groupBy("SEX", "SITE").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(RESPONSE).cast("long")).alias("r")
+    )
+    return level_ratios(cells, ["SEX", "SITE"])
+
+
 def _without_responders(responses: DataFrame) -> DataFrame:
     """One arm has no responder, so its odds ratio has no finite estimate."""
     none = (F.col("TRTP") == SEPARATED_ARM) & F.col(RESPONSE).isNotNull()
@@ -172,6 +183,7 @@ def source_queries() -> Queries:
         "complete_cells": _trial(lambda r, s: model_cells(complete_case(r, s))),
         "complete_odds_ratios": _ratios(complete_odds_ratios),
         "odds_ratios_of_nations": _nations,
+        "odds_ratios_of_sites": _ratios(_sites),
         "odds_ratios_separated": _ratios(
             lambda r, s: complete_odds_ratios(_without_responders(r), s)
         ),

@@ -53,6 +53,15 @@ def kept_tables(spark: SparkSession) -> Iterator[list[str]]:
             path.getFileSystem(conf).delete(path, True)
 
 
+def kept_path(spark: SparkSession, kind: str = "lacuna") -> str:
+    """A new path in the shared folder, deleted with the tables of the run."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    run = _run.get()
+    if run is not None:
+        run.append(path)
+    return path
+
+
 def settle_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """Compute now, as a table in the shared folder, and continue from there.
 
@@ -60,14 +69,11 @@ def settle_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[st
     ``counts`` are aggregates taken along the way, without another pass.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lacuna-{uuid.uuid4().hex}"
+    path = kept_path(spark)
     schema, seen = df.schema, None
     if counts:
         seen = Observation()
         df = df.observe(seen, *[c.alias(name) for name, c in counts.items()])
-    run = _run.get()
-    if run is not None:
-        run.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), dict(seen.get) if counts else {}
 

@@ -5,7 +5,7 @@ from lacuna.operators.analysis import (
     three_way_table,
 )
 from lacuna.operators.cells import design_of, model_cells
-from lacuna.operators.logit import odds_ratios
+from lacuna.operators.logit import level_ratios, odds_ratios
 from lacuna.operators.mechanisms import (
     Draws,
     mar_draws,
@@ -33,6 +33,7 @@ __all__ = [
     "impute_composite",
     "impute_locf",
     "is_drawn",
+    "level_ratios",
     "mar_draws",
     "mark_dropout",
     "mark_level",

@@ -17,7 +17,8 @@ def design_of(rows: DataFrame, names: Sequence[str]) -> Design:
 
     The first level in alphabetical order is a factor's base, and every other
     level's odds ratio against it is reported. Nulls are no level. A factor's
-    levels come to the driver; more than ``MOST_LEVELS`` stop the job.
+    levels come to the driver; more than ``MOST_LEVELS`` stop the job, as they do
+    not suit a crossed design: ``level_ratios`` fits any number.
     """
     factors, contrasts = [], []
     for name in names:

@@ -70,7 +70,7 @@ def newton_fit(x: np.ndarray, groups: list[list[int]], n: np.ndarray, r: np.ndar
     diagonal = np.arange(x.shape[1])
 
     def curvature(weight, active):
-        h = np.einsum("bc,ci,cj->bij", weight, x, x)
+        h = np.matmul(x.T * weight[:, None, :], x)
         h *= active[:, :, None] & active[:, None, :]
         h[:, diagonal, diagonal] += ~active
         return h
@@ -203,6 +203,63 @@ def contrast_rows(
     )
 
 
+_RATIO = [
+    T.StructField("factor", T.StringType()),
+    T.StructField("level", T.StringType()),
+    T.StructField("base", T.StringType()),
+    T.StructField("or_raw", T.DoubleType()),
+    T.StructField("converged", T.BooleanType()),
+]
+
+
+def _levels_fit(factors: Sequence[str], cells: list) -> Iterator[tuple]:
+    """(factor, level, base, odds ratio, converged) of one group's cells."""
+    levels = [sorted({c["levels"][i] for c in cells}) for i in range(len(factors))]
+    place = [{v: k for k, v in enumerate(own)} for own in levels]
+    first = 1 + np.concatenate([[0], np.cumsum([len(own) for own in levels])])
+    x = np.zeros((len(cells), int(first[-1])))
+    x[:, 0] = 1
+    for row, c in enumerate(cells):
+        for i, v in enumerate(c["levels"]):
+            x[row, first[i] + place[i][v]] = 1
+    groups = [list(range(first[i], first[i + 1])) for i in range(len(factors))]
+    n, r = (np.array([[c[k] for c in cells]], float) for k in "nr")
+    theta, converged = newton_fit(x, groups, n, r)
+    for name, own, columns in zip(factors, levels, groups):
+        values = theta[0, columns]
+        for v, value in zip(own[1:], values[1:]):
+            finite = bool(np.isfinite(value) and np.isfinite(values[0]))
+            ratio = float(np.exp(value - values[0])) if finite else None
+            endless = bool(np.isinf(value) or np.isinf(values[0]))
+            yield name, v, own[0], ratio, bool(converged[0]) and not endless
+
+
+def level_ratios(cells: DataFrame, factors: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Odds ratio of every level of the factors against the first one, for every group of cells.
+
+    ``cells`` has the ``by`` and factor columns and the counts ``n`` and ``r``. Levels
+    are those of the group, as text in alphabetical order; there may be any number,
+    and none of them comes to the driver. A fit takes its group's own cells, so its
+    work is bounded by the cells that occur, not by a crossed design.
+    """
+    by, factors = list(by), list(factors)
+    levels = F.array(*[F.col(f).cast("string") for f in factors]).alias("levels")
+    known = cells.filter(" AND ".join(f"`{f}` IS NOT NULL" for f in factors)).filter("n > 0")
+    lists = known.groupBy(*by).agg(F.collect_list(F.struct(levels, "n", "r")).alias("_cells"))
+    schema = T.StructType([*[lists.schema[c] for c in by], *_RATIO])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for at, own in enumerate(batch["_cells"]):
+                if len(own):
+                    rows += [(*batch[by].iloc[at], *row) for row in _levels_fit(factors, own)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    found = lists.mapInPandas(fit, schema)
+    return found.withColumn("or_value", F.round("or_raw", 4))
+
+
 def odds_ratios(
     cells: DataFrame, by: Sequence[str] = (), design: Design = DEFAULT_DESIGN
 ) -> DataFrame:

@@ -506,6 +506,22 @@ select SUBJID, AVISITN, PCHGCA1N, LAGPCHGCA1N from allv""",
 select TRTP || ' vs ' || base contrast, round(z/zb,6) or_raw, round(z/zb,4) or_value, true converged
 from odds, (select TRTP base, z zb from odds order by TRTP limit 1) where TRTP <> base
 union all select 'M vs F', round(k,6), round(k,4), true from (select distinct k from odds)""",
+        ),
+        "odds_ratios_of_sites": _with(
+            TRIAL,
+            """,
+fitrows as (select 'true' scenario, 0 seed, 'complete' strategy, SEX,
+                   'S' || lpad((SUBJID % 251)::varchar, 3, '0') TRTP, PCHGCA1N y from allv)""",
+            CELLS,
+            _replaced(
+                FIT, ("from cells group by all)", "from cells group by all having sum(r) > 0 and sum(r) < sum(n))")
+            ),
+            out="""
+select 'SITE' factor, c.TRTP "level", base, round(z/zb,6) or_raw, round(z/zb,4) or_value, z/zb is not null converged
+from (select distinct TRTP from cells) c left join odds o on o.TRTP = c.TRTP,
+     (select min(TRTP) base from cells) m left join (select TRTP, z zb from odds) b on b.TRTP = m.base
+where c.TRTP <> base
+union all select 'SEX', 'M', 'F', round(k,6), round(k,4), true from (select distinct k from odds)""",
         ),
         "odds_ratios_separated": _with(
             TRIAL,

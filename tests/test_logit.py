@@ -184,3 +184,40 @@ def test_rare_response(spark):
     rows = full(1, [(10**9, 5), (10**9, 10), (10**9, 20), (10**9, 40)] * 2)
     got = by_contrast(odds_ratios(cells(spark, rows), ["g"]), 1)
     assert got["AvsP"].converged and got["AvsP"].or_raw == pytest.approx(0.5, rel=1e-6)
+
+
+def test_a_thousand_levels(spark):
+    """At the maximum every level's fitted responders agree with those observed."""
+    from lacuna.operators import level_ratios
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in (1, 2):
+        for site in range(1000):
+            for sex in "FM":
+                n = int(rng.integers(4, 40))
+                if rng.random() < 0.9:
+                    rows.append((g, sex, f"S{site:04}", n, int(rng.integers(1, n))))
+    rows += [(1, None, "S0000", 5, 1), (2, "F", "T9999", 7, 7)]
+    table = spark.createDataFrame(rows, "g int, SEX string, SITE string, n long, r long")
+    found = level_ratios(table, ["SEX", "SITE"], ["g"]).collect()
+    for g in (1, 2):
+        own = {(r.factor, r.level): r for r in found if r.g == g}
+        assert {r.base for r in own.values()} == {"F", "S0000"}
+        mine = [r for r in rows if r[0] == g and r[1] and r[2] != "T9999"]
+        effect = {k: np.log(r.or_raw) for k, r in own.items() if r.or_raw is not None}
+        effect |= {("SEX", "F"): 0.0, ("SITE", "S0000"): 0.0}
+        assert len(effect) == 2 + len({r[2] for r in mine})
+        # The intercept follows from the total; then all margins have to agree.
+        low, high = -30.0, 30.0
+        for _ in range(200):
+            at = (low + high) / 2
+            p = [1 / (1 + np.exp(-at - effect["SEX", s] - effect["SITE", t])) for _, s, t, _, _ in mine]
+            short = sum(n * q for (*_, n, _), q in zip(mine, p)) < sum(r[-1] for r in mine)
+            low, high = (at, high) if short else (low, at)
+        for factor, column in (("SEX", 1), ("SITE", 2)):
+            for level in {r[column] for r in mine}:
+                gap = sum(n * q - r for (*k, n, r), q in zip(mine, p) if k[column] == level)
+                assert abs(gap) < 1e-5, (factor, level)
+    assert own["SITE", "T9999"].or_raw is None and not own["SITE", "T9999"].converged
+    assert level_ratios(table.limit(0), ["SEX", "SITE"]).count() == 0
