@@ -92,8 +92,11 @@ def _sweep(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.Re
 
 
 def _bounds(urls: DataFrame, parts: int) -> list[tuple[str, int]]:
-    sample = urls.select("key", "salt").orderBy(F.xxhash64("salt"), "salt", "key").limit(BOUND_ROWS)
-    keys = sorted(map(tuple, sample.collect()))
+    """Ends of ranges of about equal numbers of rows, from about BOUND_ROWS rows in all."""
+    # Any row can be taken, also each of many that are equal in all columns.
+    place = F.xxhash64("salt", F.monotonically_increasing_id())
+    least = -(2**63) + int(min(1, BOUND_ROWS / max(1, urls.count())) * (2**64 - 1))
+    keys = sorted(map(tuple, urls.filter(place <= least).select("key", "salt").collect()))
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)} if keys else set())
 
 
