@@ -162,7 +162,7 @@ def pieces(documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY)
         )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return map_batches(text_rows(documents, "doc_id", "text"), work, schema)
+    return map_batches(text_rows(documents, "doc_id", "text"), work, schema, f"words:{tokenizer_file}")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:

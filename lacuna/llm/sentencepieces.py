@@ -98,7 +98,7 @@ def encode(documents: DataFrame, model_file: str) -> DataFrame:
             StructField("decoded", StringType()),
         ]
     )
-    return map_batches(documents, work, schema)
+    return map_batches(documents, work, schema, f"pieces:{model_file}")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -112,7 +112,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
         return batch.append_column("decoded", pa.array(texts, pa.string()))
 
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
-    return map_batches(encoded, work, schema)
+    return map_batches(encoded, work, schema, f"pieces:{model_file}")
 
 
 def digests(documents: DataFrame, model_file: str) -> DataFrame:
@@ -136,7 +136,7 @@ def digests(documents: DataFrame, model_file: str) -> DataFrame:
         )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(text_rows(documents, "doc_id", "text"), work, schema)
+    return map_batches(text_rows(documents, "doc_id", "text"), work, schema, f"pieces:{model_file}")
 
 
 def _whole(documents: DataFrame) -> DataFrame:

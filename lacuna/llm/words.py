@@ -30,11 +30,16 @@ def text_rows(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
+    df: DataFrame,
+    work: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str | StructType,
+    table: str = "",
 ) -> DataFrame:
     """``work`` on every Arrow batch, in parts of bounded rows and bytes.
 
-    Inside, columns whose names need quoting have plain ones.
+    Inside, columns whose names need quoting have plain ones. ``table`` names the
+    worker's table that ``work`` uses; other tables of the worker are dropped, so
+    that a stage does not hold what the stages before it needed.
     """
     plain = {c: f"column_{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
     if isinstance(schema, StructType):
@@ -44,6 +49,7 @@ def map_batches(
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables(table)
         for batch in batches:
             for part in split_batch(batch):
                 yield work(part)
@@ -139,6 +145,15 @@ class SpanHash:
 def worker_table(name: str, make: Callable[[], object]) -> object:
     """An object that lives as long as the Python worker and serves all tasks it runs."""
     kept = sys.modules.setdefault("lacuna_worker_tables", types.ModuleType("lacuna_worker_tables"))
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    kept.__dict__.setdefault("tables", {})
+    if name not in kept.tables:
+        kept.tables[name] = make()
+    return kept.tables[name]
+
+
+def drop_tables(but: str = "") -> None:
+    """Forget the worker's tables except the named one."""
+    kept = sys.modules.get("lacuna_worker_tables")
+    if kept is not None and set(kept.tables) - {but}:
+        kept.tables = {name: table for name, table in kept.tables.items() if name == but}
+        pa.default_memory_pool().release_unused()
