@@ -153,16 +153,22 @@ def recurring(runs: DataFrame) -> DataFrame:
     more than once. Runs are counted before they meet, so a passage that very many
     documents share is one row of each task.
     """
-    first = F.min(F.struct("doc", "text_key", "start", "windows")).alias("first")
     wholes = settle(
-        runs.groupBy("core", "whole").agg(F.count("*").alias("n"), F.bool_or("again").alias("again"), first)
+        runs.groupBy("core", "whole").agg(F.count("*").alias("n"), F.bool_or("again").alias("again"))
     )
     more = wholes.groupBy("core").agg(F.count("*").alias("wholes")).filter("wholes > 1")
     # Tables, so that Spark can split the joins where a core or run is very common.
     cores = settle(more.select("core").unionByName(wholes.filter("again").select("core")).distinct())
-    compared = wholes.join(cores, "core", "left_semi").select("core", "first.*")
-    twice = settle(wholes.filter("n > 1").select("core", "whole"))
-    repeated = runs.join(twice, ["core", "whole"], "left_semi").select("core", "doc", "text_key", "start", "windows")
+    marked = wholes.join(cores.withColumn("compare", F.lit(True)), "core", "left")
+    wanted = settle(
+        marked.select("core", "whole", (F.col("n") > 1).alias("repeated"), F.coalesce("compare", F.lit(False)).alias("compare"))
+        .filter("repeated OR compare")
+    )
+    place = ["doc", "text_key", "start", "windows"]
+    found = settle(runs.drop("again").join(wanted, ["core", "whole"]))
+    first = F.min(F.struct(*place)).alias("first")
+    compared = found.filter("compare").groupBy("core", "whole").agg(first).select("core", "first.*")
+    repeated = found.filter("repeated").select("core", *place)
 
     def flagged(rows: DataFrame, repeated: bool) -> DataFrame:
         return rows.withColumns({"repeated": F.lit(repeated), "compare": F.lit(not repeated)})
