@@ -1,3 +1,7 @@
+import itertools
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +100,81 @@ def test_blocks_join_to_one_best_path(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert chat.parse(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+NAMED = {"system": "system", "user": "user", "human": "user", "assistant": "assistant", "bot": "assistant"}
+
+
+def seen_lines(rows):
+    """(marker or None, begins, features) of every line of one conversation, told here anew."""
+    for _, _, role, text in sorted(rows, key=lambda r: r[1]):
+        for i, line in enumerate(text.split("\n")):
+            label, colon, rest = line.partition(": ")
+            own = NAMED.get(label.lower()) if colon else None
+            marker = own or (NAMED.get(role) if i == 0 else None)
+            bare = rest if own else line
+            size = min(math.floor(math.log2(len(bare))) + 1 if bare else 0, 11)
+            yield marker, bool(own) or i == 0, (size, bare.startswith("- "), bare.endswith("?"))
+
+
+def test_roles_against_all_paths(spark):
+    """Decoded roles against the best of all paths, with chances counted in plain Python."""
+    rng = np.random.default_rng(11)
+    said = {
+        "system": ["be brief"],
+        "user": ["what is it?", "why?", "Human: and then?", "tell me"],
+        "assistant": ["- one\n- two", "it is a long answer with many words in it", "Bot: yes\n- also"],
+    }
+    rows = []
+    for conv in range(40):
+        order = ["system"] * int(rng.random() < 0.3) + ["user", "assistant", "user", "assistant"]
+        for turn, role in enumerate(order):
+            text = str(rng.choice(said[role]))
+            rows.append((conv, turn, role if rng.random() < 0.6 else None, text))
+    talks = {c: list(seen_lines([r for r in rows if r[0] == c])) for c in range(40)}
+    changes, features = Counter(), Counter()
+    for lines in talks.values():
+        before, current = "start", None
+        for marker, begins, feature in lines:
+            if begins:
+                if before and marker:
+                    changes[before, marker] += 1
+                before = current = marker
+            if current:
+                features[current, feature] += 1
+    roles = chat.ROLES
+    n_features = 12 * 2 * 2
+
+    def change(a, b):
+        return math.log((changes[a, b] + 1) / (sum(changes[a, c] for c in roles) + 3))
+
+    def emitted(role, marker, feature):
+        of_role = sum(n for (r, _), n in features.items() if r == role)
+        out = math.log((features[role, feature] + 1) / (of_role + n_features))
+        if marker:
+            out += math.log(chat.MARKER_TRUST if marker == role else (1 - chat.MARKER_TRUST) / 2)
+        return out
+
+    def value(path, lines):
+        total, before = 0.0, "start"
+        for role, (marker, begins, feature) in zip(path, lines):
+            if begins:
+                total += change(before, role)
+            else:
+                within = chat.CHANGE_WITHIN
+                total += math.log(1 - 2 * within if role == before else within)
+            total += emitted(role, marker, feature)
+            before = role
+        return total
+
+    decoded = {}
+    for r in chat.parse(spark.createDataFrame(rows, SCHEMA)).orderBy("conv_id", "turn", "part").collect():
+        decoded.setdefault(r["conv_id"], []).extend([r["role"]] * len(r["text"].split("\n")))
+    hidden = 0
+    for conv, lines in talks.items():
+        if len(lines) > 8:
+            continue
+        best = max(value(path, lines) for path in itertools.product(roles, repeat=len(lines)))
+        assert value(decoded[conv], lines) == pytest.approx(best, rel=1e-12)
+        hidden += sum(marker is None for marker, _, _ in lines)
+    assert hidden > 40

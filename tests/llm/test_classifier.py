@@ -1,5 +1,10 @@
+import math
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lacuna.llm import classifier
@@ -47,3 +52,51 @@ def test_odd_rows(spark, documents, clashing, no_documents):
     assert classifier.classify(no_documents, labels).count() == 0
     untaught = classifier.classify(documents[1], labels.limit(0))
     assert {r[0] for r in untaught.select("score").distinct().collect()} == {0.5}
+
+
+def grams(text):
+    """Values of a text's n-grams by name, with the constant; plain Python."""
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall("[a-z\x80-\U0010ffff]+|[0-9]+|[^\x20\x09-\x0da-z0-9\x80-\U0010ffff]+", text)
+    counts = Counter(words)
+    counts.update("same twice" if a == b else f"{a} {b}" for a, b in zip(words, words[1:]))
+    values = {g: 1 + math.log(c) for g, c in counts.items()}
+    norm = math.sqrt(sum(v * v for v in values.values()))
+    return {"": 1.0} | {g: v / norm for g, v in values.items()}
+
+
+def test_scores_against_stepwise_learning(spark):
+    """Every score against one coordinate at a time, without hashing or arrays."""
+    texts = {
+        1: "The cat sat on the mat", 2: "buy buy buy now!!! 100% free", 3: "A quiet évening, 1 tea",
+        4: "free free $$$ click now", 5: "the mat sat quiet", 6: "click 100 buy", 7: "tea on the mat",
+        8: "now now now", 9: "", 10: None, 11: "cat tea\tmat\ncat tea", 12: "free tea now",
+        13: "unlabelled cat buy", 14: "never seen words",
+    }
+    labelled = {i: float(i % 2) for i in range(1, 13)}
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(labelled.items()), "doc_id long, label double")
+    order = [r[0] for r in labels.orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    z, n = defaultdict(float), defaultdict(float)
+    alpha, beta, l1, l2 = classifier.ALPHA, classifier.BETA, classifier.L1, classifier.L2
+
+    def weight(g):
+        if abs(z[g]) <= l1:
+            return 0.0
+        return -math.copysign(abs(z[g]) - l1, z[g]) / ((beta + math.sqrt(n[g])) / alpha + l2)
+
+    def chance(text):
+        return 1 / (1 + math.exp(-sum(weight(g) * v for g, v in grams(text).items())))
+
+    for _ in range(classifier.EPOCHS):
+        for i in order:
+            error = chance(texts[i]) - labelled[i]
+            for g, v in grams(texts[i]).items():
+                step, w = error * v, weight(g)
+                z[g] += step - (math.sqrt(n[g] + step**2) - math.sqrt(n[g])) / alpha * w
+                n[g] += step**2
+    found = {r["doc_id"]: r for r in classifier.classify(documents, labels).collect()}
+    assert found.keys() == texts.keys()
+    for i, text in texts.items():
+        assert found[i]["score"] == pytest.approx(chance(text), abs=1e-5)
+        assert found[i]["predicted"] == (found[i]["score"] >= classifier.THRESHOLD)
