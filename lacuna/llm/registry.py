@@ -10,7 +10,7 @@ from lacuna.llm.lm import lm_query
 from lacuna.llm.middles import MIDDLE_SQL, middle_query
 from lacuna.llm.neighbours import neighbour_query
 from lacuna.llm.packing import packing_query
-from lacuna.llm.rules import rules_query
+from lacuna.llm.rules import RULES_SQL, rules_query
 from lacuna.llm.sentencepieces import sentencepiece_query
 from lacuna.llm.sharding import SHARDING_SQL, sharding_query
 from lacuna.llm.simhash import simhash_query
@@ -37,6 +37,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_suffix_dedup": SUFFIX_SQL,
     "op4_url_filters": URL_SQL,
+    "op5_quality_rules": RULES_SQL,
     "op11_fill_in_middle": MIDDLE_SQL,
     "op12_lexical_search": LEXICAL_SQL,
     "op13_sharding": SHARDING_SQL,

@@ -232,3 +232,57 @@ def rules_query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     judged = judge(documents.select("doc_id", "text", "source"))
     return judged.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+#: Equivalent SQL: windows of words and lines as text or MD5, documents of a host by their line lists.
+RULES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text
+  FROM documents),
+words AS (
+  SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p
+  FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+windows AS (
+  SELECT r, p, w, CASE WHEN lead(w, 7) OVER x IS NOT NULL THEN md5(concat_ws(' ', w,
+    lead(w, 1) OVER x, lead(w, 2) OVER x, lead(w, 3) OVER x, lead(w, 4) OVER x,
+    lead(w, 5) OVER x, lead(w, 6) OVER x, lead(w, 7) OVER x)) END AS k
+  FROM words WINDOW x AS (PARTITION BY r ORDER BY p)),
+found AS (
+  SELECT r, p, w, (k IS NOT NULL AND count(*) OVER (PARTITION BY r, k) > 1)::INT AS twice FROM windows),
+covered AS (
+  SELECT r, w, max(twice) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c
+  FROM found),
+per_word AS (
+  SELECT r, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, sum(c)::BIGINT AS n_repeat_words
+  FROM covered GROUP BY r),
+split AS (
+  SELECT r, host, unnest(ls) AS line, unnest(range(len(ls))) AS i
+  FROM (SELECT r, host, string_split(text, chr(10)) AS ls FROM d)),
+lines AS (
+  SELECT r, host, i, line, len(ws) AS n, md5(array_to_string(ws, ' ')) AS norm
+  FROM (SELECT *, regexp_extract_all(
+          translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x20\x09-\x0D]+') AS ws FROM split)
+  WHERE len(ws) > 0),
+per_line AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, md5(string_agg(norm, '' ORDER BY i)) AS copy
+  FROM lines GROUP BY r),
+hosts AS (SELECT host, count(DISTINCT copy) AS host_docs FROM per_line JOIN d USING (r) GROUP BY host),
+shared AS (
+  SELECT host, norm FROM (
+    SELECT host, norm, count(DISTINCT copy) AS n_docs FROM lines JOIN per_line USING (r)
+    GROUP BY host, norm) JOIN hosts USING (host)
+  WHERE n_docs >= 20 AND n_docs > 0.01::DOUBLE * host_docs),
+lost AS (SELECT r, sum(n) AS lost FROM lines SEMI JOIN shared USING (host, norm) GROUP BY r),
+counted AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN per_word USING (r) LEFT JOIN per_line USING (r) LEFT JOIN lost USING (r)),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND lost <= 0.6::DOUBLE * n_words AS kept
+FROM judged
+"""

@@ -2,6 +2,8 @@ import itertools
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import pandas as pd
 import pytest
 
 from lacuna.llm import rules
@@ -85,3 +87,26 @@ def test_other_columns_and_empty_table(documents, clashing, no_documents):
     assert found.count() == len(documents[0])
     assert rules.judge(no_documents).count() == 0
     assert rules.clean(no_documents).count() == 0
+
+
+def test_equivalent_sql(spark, documents, tmp_path):
+    """Counts and verdicts of odd documents, copies and shared lines against the SQL."""
+    rows = [(i, t, s) for i, t, s in documents[0]]
+    menu = ["Home NEWS  sport and more", "all about us", "terms of use and the rest"]
+    for i in range(90):
+        own = " ".join(f"w{i % 60}x{k}" for k in range(5 + i % 20))
+        own_menu = [line.lower() if i % 2 else line for line in menu]
+        rows.append((2_000_000 + i, "\n".join([*own_menu, own]), "menu"))
+    rows += [(2_000_100 + i, "\n".join(menu * 3), "menu") for i in range(30)]
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
+    frame["doc_id"] = frame["doc_id"].astype("Int64")
+    frame.to_parquet(tmp_path / "documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+        expected = con.execute(rules.RULES_SQL)
+        names = [c[0] for c in expected.description]
+        expected = expected.fetchall()
+    found = rules.rules_query(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+    removed = [r for r in expected if not r[-1] and not r[-2]]
+    assert len(removed) > 10 and sum(r[-1] for r in expected) > 50
