@@ -1,6 +1,7 @@
 import re
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from lacuna.functions import settle
@@ -57,6 +58,29 @@ def test_near_dedup_stage(steps):
     }
 
 
+def fingerprint(text):
+    """Of three-word shingles, in plain Python."""
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, min(len(words), 1)))]
+    hashes = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in shingles]
+    return sum((2 * sum(h >> bit & 1 for h in hashes) > len(hashes)) << bit for bit in range(64))
+
+
+def test_near_dedup_stage_by_all_pairs(steps):
+    before, after = steps[2]
+    prints = [(r["doc_id"], fingerprint(r["text"])) for r in before.select("doc_id", "text").collect()]
+    groups = []
+    for value in {p for _, p in prints}:
+        near = [g for g in groups if any((value ^ other).bit_count() <= 3 for other in g)]
+        groups = [g for g in groups if g not in near] + [{value}.union(*near)]
+    ids = [[i for i, p in prints if p in g and i is not None] for g in groups]
+    expected = [min(own) if own else None for own in ids]
+    found = [r["doc_id"] for r in after.collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    assert len(found) < len(prints)
+
+
 def test_suffix_stage(steps):
     before, after = steps[3]
     rows = [(r["doc_id"], r["text"], None) for r in before.collect()]
