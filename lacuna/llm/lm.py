@@ -1,14 +1,16 @@
 """Language-model scores from a hierarchical Pitman-Yor model of words.
 
-A token's context is the class of the word before it (a word of up to four bytes
-itself, else its last three bytes, hashed; at most ``FINE`` contexts). Context
-restaurants share a parent for the last byte (``COARSE`` of them), and these share
-the root. Every word type has one table there; the root's base is uniform over
-the types and one unknown word, so that a word never seen in training has that
-share of the mass of a new table.
+A token's context is the word before it. Context restaurants share the parent of
+their class (the word's last byte and a hash of its last three; ``COARSE`` classes),
+and these share the root. Within its class a word has one of ``WORDS`` hashed places,
+so ``FINE`` restaurants at most; words of one class and place share a restaurant. Every
+word type has one table at the root; the root's base is uniform over the types and
+one unknown word, so that a word never seen in training has that share of the mass
+of a new table.
 
 Training tokens are dealt by word, with everything about a word in one part: its
-counts by context, and in which documents it stands. A Gibbs sweep seats all
+counts by context, and in which documents it stands. There are as many parts as
+the bytes of text ask for, so a part stays of one size as the input grows. A Gibbs sweep seats all
 customers of a part anew, given the restaurants' totals after the sweep before
 (bounded by the number of contexts, so they go to every task). The seating of a
 part is drawn from numbers fixed by part and sweep, so a later pass or a lost
@@ -36,8 +38,9 @@ from lacuna.functions import settle
 from lacuna.llm.classifier import in_fold
 from lacuna.llm.words import SpanHash, flat, lower_ascii, mix, owner, split_batch, word_spans
 
-COARSE = 64
-FINE = COARSE * 512
+COARSE = 1024
+WORDS = 1024
+FINE = COARSE * WORDS
 SWEEPS = 4
 BURN_IN = 1
 SINGLE = 32
@@ -48,6 +51,10 @@ STRENGTH = (1.0, 1.0, 1.0)
 BUCKET_TOKENS = 2_000_000
 BUCKET_DOCS = 60_000
 LEAST_PARTS = 64
+#: Bytes of text for each part of words.
+PART_BYTES = 32_000_000
+#: Totals that travel together.
+SLICE = 1 << 16
 END = np.uint64(0x2545F4914F6CDD1D)
 SEED = 20_000
 
@@ -67,16 +74,17 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = word_spans(data, offsets)
     text = owner(offsets, starts)
     hashes = SpanHash(data)
-    tail = np.where(ends - starts <= 4, starts, ends - 3)
-    kind = mix(hashes(tail, ends) + (ends - starts > 4).astype(np.uint64))
-    last = data[ends - 1].astype(np.int64) % COARSE if len(ends) else np.zeros(0, np.int64)
-    after = last * (FINE // COARSE) + (kind % np.uint64(FINE // COARSE)).astype(np.int64)
+    words = hashes(starts, ends)
+    kind = hashes(np.maximum(starts, ends - 3), ends) % np.uint64(COARSE // 64)
+    last = data[ends - 1].astype(np.int64) % 64 if len(ends) else np.zeros(0, np.int64)
+    group = last * (COARSE // 64) + kind.astype(np.int64)
+    after = group * WORDS + (mix(words) % np.uint64(WORDS)).astype(np.int64)
     n_words = np.bincount(text, minlength=len(texts))
     place = np.arange(len(starts)) + text
     size = len(starts) + len(texts)
     of_text = np.repeat(np.arange(len(texts)), n_words + 1)
     word = np.full(size, END, np.uint64)
-    word[place] = hashes(starts, ends)
+    word[place] = words
     context = np.zeros(size, np.int64)
     context[place + 1] = after
     return of_text, word, context
@@ -95,7 +103,7 @@ class _Bucket:
     def add(self, batch: pa.RecordBatch) -> None:
         text, word, context = tokens(batch.column("text"))
         self.words.append(word)
-        self.contexts.append(context.astype(np.uint16))
+        self.contexts.append(context.astype(np.uint32))
         self.docs.append(text.astype(np.uint32) + np.uint32(self.n_docs))
         self.ids.append(batch.column("doc_id"))
         self.held.append(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
@@ -204,8 +212,9 @@ def _merged(rows: list[dict]) -> pa.RecordBatch:
     rows.sort(key=lambda r: (r["doc"] is None, r["bucket"]))
     counted = [r for r in rows if r["doc"] is not None]
     words = [_unpacked(r["word"], "<u8") for r in counted]
-    contexts = [_unpacked(r["context"], "<u2") for r in counted]
-    word, context = np.concatenate([np.zeros(0, "<u8"), *words]), np.concatenate([np.zeros(0, "<u2"), *contexts])
+    contexts = [_unpacked(r["context"], "<u4") for r in counted]
+    word = np.concatenate([np.zeros(0, "<u8"), *words])
+    context = np.concatenate([np.zeros(0, "<u4"), *contexts])
     trained = np.concatenate([np.zeros(0, "<u4"), *(_unpacked(r["trained"], "<u4") for r in counted)])
     order = np.lexsort([context, word])
     word, context = word[order], context[order]
@@ -248,16 +257,6 @@ def _merged(rows: list[dict]) -> pa.RecordBatch:
     )
 
 
-def _nothing() -> SimpleNamespace:
-    """Customers and tables (rows) of all restaurants, and the training tokens and types.
-
-    A plain object, as a broadcast has to be read without this package.
-    """
-    return SimpleNamespace(
-        fine=np.zeros((2, FINE)), coarse=np.zeros((2, COARSE)), root=np.zeros(2), tokens=0, types=0
-    )
-
-
 def _seat(
     customers: np.ndarray, new_mass: np.ndarray, discount: float, rng: np.random.Generator
 ) -> np.ndarray:
@@ -291,7 +290,7 @@ class Part:
         new_word[1:] = word[1:] != word[:-1]
         self.word = np.cumsum(new_word) - 1
         self.n_words = int(new_word.sum())
-        own = self.fine // (FINE // COARSE)
+        own = self.fine // WORDS
         new = new_word.copy()
         new[1:] |= own[1:] != own[:-1]
         self.parent = np.cumsum(new) - 1  # of a pair, its word in the coarse restaurant
@@ -322,7 +321,7 @@ class Part:
 
     def chance(self, totals: SimpleNamespace) -> np.ndarray:
         """Of the word of each pair in its context."""
-        customers, tables = totals.fine[:, self.fine]
+        customers, tables = (of_all[self.fine] for of_all in totals.fine)
         new = STRENGTH[0] + DISCOUNT[0] * tables
         own = self.customers - DISCOUNT[0] * self.tables
         return (own + new * self.parent_chance(totals)[self.parent]) / (STRENGTH[0] + customers)
@@ -339,20 +338,72 @@ class Part:
         mass = (STRENGTH[1] + DISCOUNT[1] * tables) * self.root_chance(totals)[self.parent_word]
         self.parent_tables = _seat(self.parent_customers, mass, DISCOUNT[1], rng)
 
-    def summary(self) -> pa.RecordBatch:
-        rows = []
-        for level, context, customers, tables, n in (
-            (0, self.fine, self.customers, self.tables, FINE),
-            (1, self.coarse, self.parent_customers, self.parent_tables, COARSE),
-        ):
-            c, t = np.bincount(context, customers, n), np.bincount(context, tables, n)
-            used = np.flatnonzero(c)
-            rows += [np.stack([np.full(len(used), level), used, c[used], t[used]])]
+    def numbers(self) -> np.ndarray:
+        """Customers and tables of every restaurant, then training tokens and types."""
         types = int((self.counts > 0).sum())
-        rows.append(np.array([[2], [0], [self.root_customers().sum()], [types]]))
-        rows.append(np.array([[3], [0], [self.counts.sum()], [types]]))
-        columns = np.concatenate(rows, axis=1).astype(np.int64)
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["level", "context", "c", "t"])
+        found = [
+            np.bincount(self.fine, self.customers, FINE),
+            np.bincount(self.fine, self.tables, FINE),
+            np.bincount(self.coarse, self.parent_customers, COARSE),
+            np.bincount(self.coarse, self.parent_tables, COARSE),
+            [self.root_customers().sum(), types, self.counts.sum(), types],
+        ]
+        return np.concatenate(found).astype(np.int64)
+
+
+_SLICES = "slice int, numbers binary"
+
+
+def _slices(numbers: np.ndarray) -> pa.RecordBatch:
+    """The slices in which some number is not zero."""
+    cut = {k: numbers[k * SLICE : (k + 1) * SLICE] for k in range(-(-len(numbers) // SLICE))}
+    cut = {k: part for k, part in cut.items() if part.any()}
+    return _slice_rows(list(cut), list(cut.values()))
+
+
+def _slice_rows(places: list[int], numbers: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(places, pa.int32()), pa.array(list(map(_packed, numbers)), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["slice", "numbers"])
+
+
+def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over the parts; a task has few of the slices, whatever their number of rows."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for place, packed in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            sums[place] = sums.get(place, 0) + _unpacked(packed, "<i8")
+    yield _slice_rows(list(sums), list(sums.values()))
+
+
+def _no_numbers() -> np.ndarray:
+    return np.zeros(2 * FINE + 2 * COARSE + 4, np.int64)
+
+
+def _totals(numbers: np.ndarray) -> SimpleNamespace:
+    """Customers and tables of all restaurants, and the training tokens and types.
+
+    A plain object, as a broadcast has to be read without this package.
+    """
+    n = numbers.astype(np.float64)
+    return SimpleNamespace(
+        fine=[n[:FINE], n[FINE : 2 * FINE]],
+        coarse=n[2 * FINE : -4].reshape(2, COARSE),
+        root=n[-4:-2],
+        tokens=int(numbers[-2]),
+        types=int(numbers[-1]),
+    )
+
+
+def _total(slices: DataFrame) -> SimpleNamespace:
+    """The sums over all parts; how many come to the driver is fixed by the restaurants' number."""
+    numbers = _no_numbers()
+    summed = slices.repartition(-(-len(numbers) // SLICE), "slice").mapInArrow(
+        lambda batches: _add_slices(batches), _SLICES
+    )
+    for place, packed in summed.collect():
+        own = _unpacked(packed, "<i8")
+        numbers[place * SLICE : place * SLICE + len(own)] = own
+    return _totals(numbers)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Part]]:
@@ -363,32 +414,31 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Part]]:
             part = Part(
                 row["part"],
                 _unpacked(row["pair_word"], "<u8"),
-                _unpacked(row["pair_context"], "<u2"),
+                _unpacked(row["pair_context"], "<u4"),
                 _unpacked(row["trained"], "<i8"),
             )
             yield row, part
 
 
-def _total(summaries: DataFrame) -> SimpleNamespace:
-    """At most one row for each context comes to the driver."""
-    out = _nothing()
-    summed = summaries.groupBy("level", "context").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    for level, context, c, t in summed.collect():
-        if level == 3:
-            out.tokens, out.types = c, t
-        elif level == 2:
-            out.root[:] = c, t
-        else:
-            (out.coarse if level else out.fine)[:, context] = c, t
-    return out
+def _read(known: list) -> list[SimpleNamespace]:
+    """The totals after every sweep; the contexts' customers stay, so only the first have them."""
+    history = [totals.value for totals in known]
+    for totals in history:
+        totals.fine[0] = history[0].fine[0]
+    return history
+
+
+def _n_parts(documents: DataFrame) -> int:
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(LEAST_PARTS, -(-int(size) // PART_BYTES))
 
 
-def fit(documents: DataFrame) -> tuple[DataFrame, list[SimpleNamespace]]:
-    """The parts as a kept table and the totals after every sweep.
+def fit(documents: DataFrame) -> tuple[DataFrame, list, int]:
+    """The parts as a kept table, the totals after every sweep and the training tokens.
 
     ``documents`` has doc_id, text (no nulls) and held_out (learn from the others).
     """
-    parts = max(LEAST_PARTS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = _n_parts(documents)
     counted = documents.select("doc_id", "text", "held_out").mapInArrow(
         lambda batches: _count(batches, parts), _COUNTED
     )
@@ -398,18 +448,21 @@ def fit(documents: DataFrame) -> tuple[DataFrame, list[SimpleNamespace]]:
         .mapInArrow(lambda batches: _merge(batches), _MERGED)
     )
     counts = merged.select("part", "pair_word", "pair_context", "trained")
-    history: list[SimpleNamespace] = []
+    known: list = []
     for _ in range(SWEEPS + 1):
-        known = documents.sparkSession.sparkContext.broadcast(list(history))
 
-        def summarise(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+        def summarise(batches: Iterator[pa.RecordBatch], known=tuple(known)) -> Iterator[pa.RecordBatch]:
+            history = _read(known)
             for _, part in _parts(batches):
-                for number, totals in enumerate(known.value):
+                for number, totals in enumerate(history):
                     part.sweep(number, totals)
-                yield part.summary()
+                yield _slices(part.numbers())
 
-        history.append(_total(counts.mapInArrow(summarise, "level long, context long, c long, t long")))
-    return merged, history
+        totals = _total(counts.mapInArrow(summarise, _SLICES))
+        if known:
+            totals.fine[0] = None
+        known.append(documents.sparkSession.sparkContext.broadcast(totals))
+    return merged, known, totals.tokens
 
 
 _SUMS = "bucket long, doc binary, base binary, score binary, known binary, about boolean"
@@ -447,7 +500,7 @@ def _sums(batches: Iterator[pa.RecordBatch], history: list[SimpleNamespace]) ->
                 False,
                 _packed(used.astype("<u2")),
                 _packed(sums[0]),
-                _packed(sums[1].astype("<f4")),
+                _packed(sums[1]),
                 _packed(sums[2].astype("<u4")),
             )
         for own in given["about"]:
@@ -490,7 +543,7 @@ def _finish(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Recor
                 sums = np.zeros((3, len(_unpacked(about["doc"], "<i8"))))
                 continue
             doc = _unpacked(row["doc"], "<u2")
-            for total, (name, kind) in zip(sums, (("base", "<f8"), ("score", "<f4"), ("known", "<u4"))):
+            for total, (name, kind) in zip(sums, (("base", "<f8"), ("score", "<f8"), ("known", "<u4"))):
                 total[doc] += _unpacked(row[name], kind)
     if about:
         yield done()
@@ -508,11 +561,9 @@ def score(documents: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("held_out", F.lit(False)).alias("held_out"),
     )
-    merged, history = fit(whole)
-    known = documents.sparkSession.sparkContext.broadcast(history)
-    n_tokens = history[-1].tokens
+    merged, known, n_tokens = fit(whole)
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = merged.mapInArrow(lambda batches: _sums(batches, known.value), _SUMS)
+    sums = merged.mapInArrow(lambda batches: _sums(batches, _read(known)), _SUMS)
     return (
         sums.repartition(tasks, "bucket")
         .sortWithinPartitions("bucket", F.desc("about"))

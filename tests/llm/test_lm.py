@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lacuna.llm import lm
@@ -41,21 +42,15 @@ def test_counts_and_base_score(documents, monkeypatch, bucket_tokens):
 def test_chances_sum_to_one():
     """Over all known words and the class of new ones, in every used context."""
     rng = np.random.default_rng(4)
-    n_words, contexts = 30, [0, 5, 600, 601, 1300]
+    n_words, contexts = 30, [0, 5, 1025, 1026, 3000]
     word = np.repeat(np.arange(n_words, dtype=np.uint64), len(contexts))
-    context = np.tile(contexts, n_words).astype(np.uint16)
+    context = np.tile(contexts, n_words).astype(np.uint32)
     trained = rng.poisson(2, len(word)) * rng.integers(0, 40, len(word))
     trained[word == 3] = 0  # a word that only stands in held-out texts: any new word
     trained[word == 4] = 1
 
     def totals(part):
-        out = lm._nothing()
-        for level, at, c, t in part.summary().to_pandas().itertuples(index=False):
-            if level == 2:
-                out.root[:] = c, t
-            elif level < 2:
-                (out.coarse if level else out.fine)[:, at] = c, t
-        return out
+        return lm._totals(part.numbers())
 
     part = lm.Part(0, word, context, trained)
     for sweep in range(3):
@@ -115,3 +110,115 @@ def test_gibberish_scores_below_prose(spark, documents):
         assert found[i]["n_known"] == 1
         assert found[i]["score"] / found[i]["n_tokens"] < mean
     assert found[-102]["score"] < found[-101]["score"]
+
+
+def test_words_of_one_ending_are_contexts_of_their_own():
+    before = ["station", "question", "million", "xyzion", "on", "n"]
+    _, _, context = lm.tokens(pa.array([f"{w} x" for w in before]))
+    after = context[1::3]
+    assert len(set(after.tolist())) == len(before)
+    assert len(set((after[:4] // lm.WORDS).tolist())) == 1
+    assert (context[::3] == 0).all() and context.max() < lm.FINE
+
+
+def scored_by_hand(texts, seat):
+    """log10 chances of texts learnt from themselves, by dictionaries of restaurants.
+
+    Seats are those that ``seat`` gives for (restaurant's word, customers, mass of a new table).
+    """
+    def kind(word):
+        return word[-3:]
+
+    pairs = Counter()
+    for text in texts:
+        own = words(text)
+        pairs.update(zip(["", *own], own))
+    types = len({w for _, w in pairs})
+
+    def tables_of(customers, tables):
+        c, t = Counter(), Counter()
+        for (place, w), n in customers.items():
+            c[place] += n
+            t[place] += tables[place, w]
+        return c, t
+
+    def upper(tables):
+        customers = Counter()
+        for (u, w), t in tables.items():
+            customers[kind(u), w] += t
+        return customers
+
+    def chances(tables, parents):
+        """Of a word after a word, of a word in a class, and of a word alone."""
+        middle = upper(tables)
+        top = Counter()
+        for (_, w), t in parents.items():
+            top[w] += t
+        n = sum(top.values())
+
+        def alone(w):
+            return (max(top[w] - 0.8, 0) + (1 + 0.8 * types) / (types + 1)) / (1 + n)
+
+        c1, t1 = tables_of(middle, parents)
+        c0, t0 = tables_of(pairs, tables)
+
+        def in_class(k, w):
+            own = middle[k, w] - 0.8 * parents[k, w]
+            return (own + (1 + 0.8 * t1[k]) * alone(w)) / (1 + c1[k])
+
+        def after(u, w):
+            own = pairs[u, w] - 0.8 * tables[u, w]
+            return (own + (1 + 0.8 * t0[u]) * in_class(kind(u), w)) / (1 + c0[u])
+
+        return after, in_class, alone, t0, t1
+
+    tables = Counter(dict.fromkeys(pairs, 1))
+    parents = Counter(dict.fromkeys(upper(tables), 1))
+    sums = Counter()
+    for sweep in range(lm.SWEEPS):
+        _, in_class, alone, t0, t1 = chances(tables, parents)
+        tables = Counter({
+            (u, w): seat(n, (1 + 0.8 * t0[u]) * in_class(kind(u), w)) for (u, w), n in pairs.items()
+        })
+        parents = Counter({
+            (k, w): seat(n, (1 + 0.8 * t1[k]) * alone(w)) for (k, w), n in upper(tables).items()
+        })
+        if sweep >= lm.BURN_IN:
+            after = chances(tables, parents)[0]
+            for pair in pairs:
+                sums[pair] += after(*pair)
+    mean = {pair: x / (lm.SWEEPS - lm.BURN_IN) for pair, x in sums.items()}
+    out = []
+    for text in texts:
+        own = words(text)
+        out.append(sum(math.log10(mean[p]) for p in zip(["", *own], own)))
+    return out
+
+
+@pytest.mark.parametrize("fullest", [False, True])
+def test_scores_of_a_small_corpus_by_hand(monkeypatch, fullest):
+    """One table for each word, or one for each customer: no seat is left to chance."""
+    def seat(customers, mass):
+        return customers if fullest else min(customers, 1)
+
+    monkeypatch.setattr(
+        lm, "_seat", lambda customers, mass, discount, rng: customers if fullest else np.minimum(customers, 1)
+    )
+    texts = ["the station of the nation", "the nation is the station of a nation", "", "the the the a"]
+    by_hand = scored_by_hand(texts, seat)
+    # In this process, as executors would not see the seats given here.
+    batch = pa.RecordBatch.from_pylist(
+        [{"doc_id": i, "text": t, "held_out": False} for i, t in enumerate(texts)]
+    )
+    bucket = lm._Bucket(0, 1)
+    bucket.add(batch)
+    merged = next(lm._merge(iter(bucket.rows())))
+    history = []
+    for _ in range(lm.SWEEPS + 1):
+        _, part = next(lm._parts(iter([merged])))
+        for number, totals in enumerate(history):
+            part.sweep(number, totals)
+        history.append(lm._totals(part.numbers()))
+    sums = pa.Table.from_batches(lm._sums(iter([merged]), history)).sort_by([("about", "descending")])
+    found = pa.Table.from_batches(lm._finish(iter(sums.to_batches()), history[-1].tokens)).to_pylist()
+    assert [r["score"] for r in found] == pytest.approx(by_hand, abs=1e-9)
