@@ -15,8 +15,9 @@ are parameters.
 Viterbi runs over blocks of ``BLOCK_TURNS`` turns of a conversation (a block with
 more than ``BLOCK_ROWS`` rows is cut further, by turn and by hash). One pass gives
 each block of a longer conversation its best scores from every role to every
-role; these small tables are chained per conversation, and a second pass reads
-each block between its now known ends. Turns come out one row per run of lines
+role. These small tables are dealt by ranges, joined within each range, and the
+ranges of a conversation are chained; then each range's own blocks are chained
+between its ends, and a second pass reads each block between its now known ends. Turns come out one row per run of lines
 of a role within a source row, so no conversation is gathered whole.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from lacuna.functions import settle
+from lacuna.functions import settle, settle_counting
 
 ROLES = ("system", "user", "assistant")
 #: Names that stand for a role, in markers and in the role column.
@@ -56,6 +57,8 @@ MARKER_TRUST = 0.99
 CHANGE_WITHIN = 1e-6
 BLOCK_TURNS = 512
 BLOCK_ROWS = 4096
+#: Tables of blocks for each range, however many a conversation has.
+CHAINED = 100_000
 LENGTH_CLASSES = 12
 _MARKER = re.compile(
     r"^\s*(?:[#>*]+\s*)?(?:<\|?|\[)?(" + "|".join(NAMES) + r")(?:\|?>|\]|\s*:|\s*>)\**:?[ \t]*",
@@ -209,20 +212,60 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"kind": kind, "a": a, "b": b, "n": table[a, b]})
 
 
-def _chain(blocks: pd.DataFrame) -> pd.DataFrame:
-    """The roles at both ends of every block of one conversation."""
+def _tables(rows: pd.DataFrame) -> np.ndarray:
+    return np.array(rows["best"].to_list()).reshape(-1, _LEVELS, _LEVELS)
+
+
+def _joined(blocks: pd.DataFrame) -> pd.DataFrame:
+    """One table for consecutive blocks of a conversation."""
     blocks = blocks.sort_values(["turns", "sub"])
-    tables = np.array(blocks["best"].to_list()).reshape(-1, _LEVELS, _LEVELS)
-    scores, backs = tables[0][0], []
+    tables = _tables(blocks)
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = (whole[:, :, None] + table[None]).max(axis=1)
+    return blocks[["talk", "segment"]].head(1).assign(best=[whole.ravel()])
+
+
+def _chain(rows: pd.DataFrame, order: list[str], entry: int = -1, leave: int = -1) -> pd.DataFrame:
+    """The roles at both ends of every table in order, between the given ends of all (-1: free)."""
+    rows = rows.sort_values(order)
+    tables = _tables(rows)
+    scores, backs = tables[0][max(entry, 0)], []
     for table in tables[1:]:
         through = scores[:, None] + table
         backs.append(through.argmax(axis=0))
         scores = through.max(axis=0)
-    leave = [int(scores.argmax())]
+    ends = [int(scores.argmax()) if leave < 0 else leave]
     for back in reversed(backs):
-        leave.append(int(back[leave[-1]]))
-    leave.reverse()
-    return blocks[_KEY].assign(entry=[-1, *leave[:-1]], leave=leave)
+        ends.append(int(back[ends[-1]]))
+    ends.reverse()
+    return rows[["talk", *order]].assign(entry=[entry, *ends[:-1]], leave=ends)
+
+
+def _ends(tables: DataFrame) -> DataFrame:
+    """The roles at both ends of every block, from the blocks' tables."""
+    tables, seen = settle_counting(tables, n=F.count(F.lit(1)))
+    tasks = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = tables.repartitionByRange(max(tasks, -(-(seen["n"] or 0) // CHAINED)), *_KEY)
+    dealt = settle(ranges.withColumn("segment", F.spark_partition_id()))
+    own = ["talk", "segment"]
+    outer = (
+        dealt.groupBy(*own)
+        .applyInPandas(lambda rows: _joined(rows), "talk string, segment int, best array<double>")
+        .groupBy("talk")
+        .applyInPandas(
+            lambda rows: _chain(rows, ["segment"]), "talk string, segment int, entry int, leave int"
+        )
+    )
+
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
+        return _chain(rows, ["turns", "sub"], int(rows["entry"].iloc[0]), int(rows["leave"].iloc[0]))
+
+    return (
+        dealt.join(outer, own)
+        .groupBy(*own)
+        .applyInPandas(inside, "talk string, turns long, sub long, entry int, leave int")
+    )
 
 
 def _dealt(conversations: DataFrame, columns: list[str]) -> DataFrame:
@@ -295,11 +338,7 @@ def parse(conversations: DataFrame, keep: tuple[str, ...] = ("conv_id", "turn"))
 
     key = "talk string, turns long, sub long"
     longer = _by_block(seen.filter("n_blocks > 1").drop("start", "n_blocks"))
-    ends = (
-        longer.mapInPandas(transfer, f"{key}, best array<double>")
-        .groupBy("talk")
-        .applyInPandas(lambda blocks: _chain(blocks), f"{key}, entry int, leave int")
-    )
+    ends = _ends(longer.mapInPandas(transfer, f"{key}, best array<double>"))
     inner = [f"c{i}" for i in range(len(keep))]
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

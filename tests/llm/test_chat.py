@@ -98,6 +98,40 @@ def test_blocks_join_to_one_best_path(spark, monkeypatch):
     assert [r["role"] for r in found] == [chat.ROLES[i] for i in whole]
 
 
+def test_ranges_of_a_conversation_chain_as_one(spark):
+    """Roles at the ends of 200 random tables, dealt over ranges, against one chain over all."""
+    rng = np.random.default_rng(8)
+    k = chat._LEVELS
+    places = [(t, s) for t in range(50) for s in range(4)]
+    rows = [("=1", t, s, rng.random(k * k).tolist()) for t, s in places]
+    rows += [("=2", 5, 0, rng.random(k * k).tolist()), ("=2", 6, 0, rng.random(k * k).tolist())]
+    table = spark.createDataFrame(rows, "talk string, turns long, sub long, best array<double>")
+    found = {(r["talk"], r["turns"], r["sub"]): (r["entry"], r["leave"]) for r in chat._ends(table.repartition(5)).collect()}
+    assert len(found) == len(rows)
+    for talk in ("=1", "=2"):
+        own = [r for r in rows if r[0] == talk]
+        best, before = np.array(own[0][3]).reshape(k, k)[0], []
+        for r in own[1:]:
+            through = best[:, None] + np.array(r[3]).reshape(k, k)
+            before.append(through.argmax(axis=0))
+            best = through.max(axis=0)
+        ends = [int(best.argmax())]
+        for back in reversed(before):
+            ends.insert(0, int(back[ends[0]]))
+        assert [found[r[:3]] for r in own] == list(zip([-1, *ends[:-1]], ends))
+
+
+def test_a_very_long_text(spark):
+    """A text of many lines in one row comes back whole, its roles by its markers."""
+    parts = [("User", "what is it " * 3), ("Assistant", "- a line of the answer\n" * 400 + "so it is")]
+    text = "\n".join(f"{name}: {said}" for name, said in parts * 50) + "x" * 3_000_000
+    rows = [(1, 0, None, text), (1, 1, "user", "")]
+    found = chat.parse(spark.createDataFrame(rows, SCHEMA)).orderBy("turn", "part").collect()
+    assert [r["role"] for r in found] == ["user", "assistant"] * 50 + ["user"]
+    assert [r["text"] for r in found[:-2]] == [said for _, said in parts * 50][:-1]
+    assert found[-2]["text"] == parts[1][1] + "x" * 3_000_000 and found[-1]["text"] == ""
+
+
 def test_empty_table(spark):
     assert chat.parse(spark.createDataFrame([], SCHEMA)).count() == 0
 
