@@ -6,9 +6,9 @@ from lacuna.operators.sampling import (
     KEY_MIN,
     KEY_SPAN,
     PoolClass,
-    _bands,
     draw_cuts,
     is_drawn,
+    key_bands,
     sample_exact,
 )
 
@@ -119,10 +119,10 @@ def test_draws_are_even(spark):
 
 
 def test_bands_shrink_with_size_and_merge():
-    wide, narrow = (_bands([0.3], n, 5.0) for n in (10**4, 10**10))
+    wide, narrow = (key_bands([0.3], n, 5.0) for n in (10**4, 10**10))
     assert wide[0][1] - wide[0][0] > 100 * (narrow[0][1] - narrow[0][0])
-    assert len(_bands([0.1, 0.2, 0.3], 10**6, 5.0)) == 3
-    assert _bands([0.1, 0.2, 0.3], 1, 5.0) == [(KEY_MIN, KEY_MIN + KEY_SPAN)]
+    assert len(key_bands([0.1, 0.2, 0.3], 10**6, 5.0)) == 3
+    assert key_bands([0.1, 0.2, 0.3], 1, 5.0) == [(KEY_MIN, KEY_MIN + KEY_SPAN)]
 
 
 def test_rates_beyond_one_are_an_error(spark):
