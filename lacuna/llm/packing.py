@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences, hierarchically.
 
 Tokens: a text is cut at white space, which the tokenizer drops; each distinct
-chunk, and in it each distinct pre-token, is encoded once per Python worker
-(tables that start anew at ``TABLE_ENTRIES`` entries).
+chunk, and in it each distinct pre-token, is encoded once per Python worker (one
+table, which starts anew beyond ``TABLE_BYTES`` of memory).
 
 Packing: every partition packs its pieces by best fit, largest first. A bin is
 final when no bin anywhere fits into what it has left, that is when its rest is
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,7 +37,9 @@ from lacuna.llm.words import map_batches, text_rows, worker_table
 
 CAPACITY = 4096
 END_ID = 1
-TABLE_ENTRIES = 1_000_000
+#: About what a worker's table may take, and what an entry takes besides its two objects.
+TABLE_BYTES = 130_000_000
+ENTRY_BYTES = 48
 ITEMS_PER_TASK = 20_000
 FAN_IN = 8
 #: The word pattern of the tokenizer's file.
@@ -46,7 +49,11 @@ _OTHER_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 class ChunkIds(dict):
-    """Chunk without white space -> its number; the ids of all chunks lie in ``ids``."""
+    """Chunk without white space, or pre-token of one -> its ids as bytes of uint32.
+
+    A pre-token stands in the table as the chunk it is when alone. ``size`` is about
+    what the entries take in memory.
+    """
 
     def __init__(self, tokenizer_file: str):
         import regex
@@ -60,43 +67,40 @@ class ChunkIds(dict):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.bytes = {b: chr(256 + i) for i, b in enumerate(others)}
-        self.words: dict[str, list[int]] = {}
-        self.start_anew()
+        self.size = 0
 
     def start_anew(self) -> None:
         self.clear()
-        self.words.clear()
-        self.ids = array("I")
-        self.ends = array("q", [0])
+        self.size = 0
+
+    def keep(self, chunk: str, ids: bytes) -> bytes:
+        if chunk not in self:
+            self.size += sys.getsizeof(chunk) + sys.getsizeof(ids) + ENTRY_BYTES
+        self[chunk] = ids
+        return ids
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         """Ids of a lower-case pre-token whose characters all lie below U+0250."""
         if word.isascii():
             mapped = word
         else:
             mapped = word.encode().decode("latin-1").translate(self.bytes)
-        return [token.id for token in self.tokenizer.model.tokenize(mapped)]
+        ids = array("I", [token.id for token in self.tokenizer.model.tokenize(mapped)])
+        return self.keep(word, ids.tobytes())
 
-    def encoded(self, chunk: str) -> list[int]:
+    def encoded(self, chunk: str) -> bytes:
         lower = chunk.lower()
         plain = len(lower) == len(chunk) and max(chunk) < "ɐ" and min(chunk) > " "
         # U+007F is the one ASCII character beyond the space that has a letter of its own.
         if "<|" in chunk or "\x7f" in chunk or not plain:
             # Special tokens, or characters whose normal form or class is not plain.
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = []
-        for word in self.pattern.findall(lower):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self.word(word)
-            out += ids
-        return out
-
-    def __missing__(self, chunk: str) -> int:
-        self.ids.extend(self.encoded(chunk))
-        self.ends.append(len(self.ids))
-        number = self[chunk] = len(self.ends) - 2
-        return number
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        found = [self.get(word) or self.word(word) for word in self.pattern.findall(lower)]
+        # Ids of one pre-token are shared with it.
+        return found[0] if len(found) == 1 else b"".join(found)
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.keep(chunk, self.encoded(chunk))
 
     def chunks(self, text: str) -> list[str]:
         if any(c in text for c in _OTHER_SPACE):
@@ -105,28 +109,14 @@ class ChunkIds(dict):
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by END_ID, and the n + 1 offsets."""
-        if len(self) > TABLE_ENTRIES:
-            self.start_anew()
-        found: list[int] = []
-        counts = []
+        end = array("I", [END_ID]).tobytes()
+        found = []
         for text in texts:
-            chunks = self.chunks(text)
-            found += map(self.__getitem__, chunks)
-            counts.append(len(chunks))
-        number = np.array(found, np.int64)
-        ends = np.frombuffer(self.ends, np.int64)
-        ids = np.frombuffer(self.ids, np.uint32)
-        lengths = ends[number + 1] - ends[number]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        last = np.concatenate([[0], np.cumsum(counts)])
-        offsets = before[last] + np.arange(len(texts) + 1)
-        flat = np.repeat(ends[number] - before[:-1], lengths) + np.arange(before[-1])
-        out = np.full(offsets[-1], END_ID, np.uint32)
-        place = np.arange(before[-1]) + np.repeat(
-            np.arange(len(texts)), np.diff(before[last])
-        )
-        out[place] = ids[flat]
-        return out, offsets
+            if self.size > TABLE_BYTES:
+                self.start_anew()
+            found.append(b"".join(map(self.__getitem__, self.chunks(text))) + end)
+        offsets = np.cumsum([0, *map(len, found)]) // len(end)
+        return np.frombuffer(b"".join(found), np.uint32), offsets
 
 
 def pieces(documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:

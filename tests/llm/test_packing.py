@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -35,6 +36,28 @@ def test_every_low_character_as_the_library():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == [*encoded.ids, 1], texts[i]
 
 
+@pytest.mark.parametrize("kind", ["long", "short"])
+def test_table_is_bounded_by_its_bytes(monkeypatch, kind):
+    """Whatever the chunks are; starting anew within a batch changes no ids."""
+    monkeypatch.setattr(packing, "TABLE_BYTES", 1_000_000, raising=False)
+    if kind == "long":
+        texts = [f"{i:05}" * 400 + f" it's w{i}" for i in range(400)]
+    else:
+        texts = [" ".join(f"x{j:x},é" for j in range(i, i + 50)) for i in range(0, 20_000, 50)]
+    table = packing.ChunkIds(FILE)
+    tracemalloc.start()
+    try:
+        parts = [table.tokens(texts[i : i + 100]) for i in range(0, len(texts), 100)]
+        ids = sum(part.nbytes for part, _ in parts)
+        held = tracemalloc.get_traced_memory()[0] - ids
+    finally:
+        tracemalloc.stop()
+    assert held < 2_000_000
+    got = [own[a:b].tolist() for own, at in parts for a, b in zip(at, at[1:])]
+    encoded = Tokenizer.from_file(FILE).encode_batch(texts, add_special_tokens=False)
+    assert got == [[*x.ids, 1] for x in encoded]
+
+
 def check_packed(rows, parts, capacity):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(repr, rows[key].itertuples(index=False))) == sorted(
