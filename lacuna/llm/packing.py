@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import settle
-from lacuna.llm.words import map_batches, text_rows, worker_table
+from lacuna.llm.words import map_batches, text_rows, tidied, worker_table
 
 CAPACITY = 4096
 END_ID = 1
 #: About what a worker's table may take, and what an entry takes besides its two objects.
-TABLE_BYTES = 130_000_000
+TABLE_BYTES = 50_000_000
 ENTRY_BYTES = 48
 ITEMS_PER_TASK = 20_000
 FAN_IN = 8
@@ -236,7 +236,7 @@ def _round(bins: DataFrame, capacity: int, tasks: int, number: int) -> DataFrame
         yield from out.to_batches(max_chunksize=1000)
 
     spread = bins.repartition(1) if tasks == 1 else bins.repartition(tasks, _dealt(number))
-    return spread.mapInArrow(merge, _BIN)
+    return spread.mapInArrow(tidied(merge), _BIN)
 
 
 def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -290,7 +290,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     packed = reduce(DataFrame.unionByName, final)
     packed = packed.withColumn("sequence_id", F.monotonically_increasing_id())
     return packed.mapInArrow(
-        lambda batches: map(_places, batches), f"{_PIECE}, sequence_id long, offset long"
+        tidied(lambda batches: map(_places, batches)), f"{_PIECE}, sequence_id long, offset long"
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from lacuna.functions import settle
 from lacuna.llm.components import connected_components
-from lacuna.llm.words import map_batches, mix
+from lacuna.llm.words import map_batches, mix, tidied
 
 SHINGLE = 3
 SEED = 42
@@ -174,7 +174,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between ``nodes`` (fingerprint, node; each once) that connect all near pairs."""
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = nodes.select("fingerprint", "node").mapInArrow(
-        lambda batches: map(_keys, batches), "key long, fingerprint long, node long"
+        tidied(lambda batches: map(_keys, batches)), "key long, fingerprint long, node long"
     )
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     blocks = F.ceil(F.col("n") / KEY_ROWS).cast("int")
@@ -195,7 +195,7 @@ def links(nodes: DataFrame) -> DataFrame:
     grouped = shared.repartition(tasks, "key", "low", "high").sortWithinPartitions(
         "key", "low", "high"
     )
-    return grouped.mapInArrow(_group_links, "a long, b long")
+    return grouped.mapInArrow(tidied(_group_links), "a long, b long")
 
 
 def near_duplicates(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:

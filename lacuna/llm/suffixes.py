@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lacuna.functions import settle
-from lacuna.llm.words import MULTIPLIER, flat, map_batches, mix, powers, split_batch
+from lacuna.llm.words import MULTIPLIER, flat, map_batches, mix, powers, split_batch, tidied
 
 LENGTH = 200
 CORE = 64
@@ -327,7 +327,7 @@ def _hash_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 
 def _common_spans(segments: DataFrame, length: int) -> DataFrame:
     """Spans under windows of very common cores that occur more than once."""
-    windows = segments.mapInArrow(lambda batches: _hash_windows(batches, length), _HASHED)
+    windows = segments.mapInArrow(tidied(lambda batches: _hash_windows(batches, length)), _HASHED)
     counts = windows.groupBy("low", "high").agg(F.count("*").alias("n")).filter("n > 1")
     # A table, so that Spark can split the join where a window is very common.
     twice = settle(counts.select("low", "high"))
@@ -351,7 +351,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, core: int = CORE)
     conf = documents.sparkSession.conf
     texts = _keyed(documents)
     runs = texts.mapInArrow(
-        lambda batches: (out for batch in batches for out in _runs(batch, length, core)), _RUN
+        tidied(lambda batches: (out for batch in batches for out in _runs(batch, length, core))), _RUN
     )
     found = settle(recurring(settle(runs)))
     compared = found.filter("compare")
@@ -390,7 +390,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, core: int = CORE)
     very_common = bool(common.take(1))
     plain = segments.join(common, "core", "left_anti") if very_common else segments
     plain = plain.repartition(shards, "core")
-    spans = settle(plain.mapInArrow(lambda batches: _shard_spans(batches, length), _SPAN))
+    spans = settle(plain.mapInArrow(tidied(lambda batches: _shard_spans(batches, length)), _SPAN))
     end = (F.col("start") + F.col("windows") + length - 1).alias("end")
     spans = spans.unionByName(found.filter("repeated").select("doc", "text_key", "start", end))
     if very_common:
@@ -452,7 +452,7 @@ def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_spans(documents, length, "doc_id").select("doc_id", "text", "spans").mapInArrow(work, schema)
+    return _with_spans(documents, length, "doc_id").select("doc_id", "text", "spans").mapInArrow(tidied(work), schema)
 
 
 def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -489,7 +489,7 @@ def clean(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     fields = [documents.schema[c] for c in inner]
     found = _with_spans(documents, length, *inner).select(*inner, "text", "spans")
     schema = StructType([*fields, StructField("text", StringType())])
-    out = found.mapInArrow(work, schema)
+    out = found.mapInArrow(tidied(work), schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*columns)

@@ -38,8 +38,7 @@ def map_batches(
     """``work`` on every Arrow batch, in parts of bounded rows and bytes.
 
     Inside, columns whose names need quoting have plain ones. ``table`` names the
-    worker's table that ``work`` uses; other tables of the worker are dropped, so
-    that a stage does not hold what the stages before it needed.
+    worker's table that ``work`` uses.
     """
     plain = {c: f"column_{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
     if isinstance(schema, StructType):
@@ -49,15 +48,32 @@ def map_batches(
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_tables(table)
         for batch in batches:
             for part in split_batch(batch):
                 yield work(part)
 
-    out = df.toDF(*(plain.get(c, c) for c in df.columns)).mapInArrow(run, schema)
+    out = df.toDF(*(plain.get(c, c) for c in df.columns)).mapInArrow(tidied(run, table), schema)
     return out.toDF(*names) if plain else out
 
 
+def tidied(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], table: str = ""
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, leaving little in a worker that waits for its next task.
+
+    Tables of the worker other than the named one are dropped before, so that a
+    stage does not hold what the stages before it needed; memory that is free
+    afterwards goes back to the system.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables(table)
+        yield from run(batches)
+        release()
+
+    return tidy
+
+
 def split_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of at most BLOCK_BYTES of text, but one row at least."""
     if "text" not in batch.schema.names:
@@ -156,4 +172,10 @@ def drop_tables(but: str = "") -> None:
     kept = sys.modules.get("lacuna_worker_tables")
     if kept is not None and set(kept.tables) - {but}:
         kept.tables = {name: table for name, table in kept.tables.items() if name == but}
-        pa.default_memory_pool().release_unused()
+        release()
+
+
+def release() -> None:
+    """Give the worker's free memory back: Arrow's, and that of the C library (numpy, strings)."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()

@@ -1,3 +1,4 @@
+import sys
 import tracemalloc
 import zlib
 
@@ -6,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lacuna.llm import packing
+from lacuna.llm import packing, words
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -109,3 +110,18 @@ def test_best_fit_takes_the_fullest_bin():
 
 def test_empty_table(no_documents):
     assert packing.pack(packing.pieces(no_documents, FILE)).count() == 0
+
+
+def test_rounds_drop_the_tokens_table(documents, monkeypatch):
+    """A worker that goes on after the tokens, or waits, does not hold their table."""
+    parts = packing.pieces(documents[1], FILE)
+    runs, real = [], type(parts).mapInArrow
+    monkeypatch.setattr(
+        type(parts), "mapInArrow", lambda df, run, schema: runs.append(run) or real(df, run, schema)
+    )
+    packing.pack(parts)
+    assert len(runs) >= 2
+    for run in runs:
+        words.worker_table(f"words:{FILE}", dict)
+        assert list(run(iter([]))) == []
+        assert not sys.modules["lacuna_worker_tables"].tables
