@@ -207,15 +207,13 @@ def _per_visit(rows: DataFrame, *more: str) -> DataFrame:
     return rows.groupBy("seed", "AVISITN").agg(*totals)
 
 
-def _digest(rows: DataFrame, *more: str) -> DataFrame:
-    """Per seed, the number of rows and a sum of hashes, of every row and column in any order."""
+def _digest(rows: DataFrame, by: list[str], *more: str) -> DataFrame:
+    """Per group, the number of rows and a sum of hashes, of every row and column in any order."""
     values = ["SUBJID", "AVISITN", RESPONSE, *more]
     exact = [F.floor(F.col(c) * 1_000_000) for c in ("AVAL", "PCHG")]
     texts = [F.coalesce(c.cast("string"), F.lit("-")) for c in (*map(F.col, values), *exact)]
     first = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("long")
-    return rows.groupBy("scenario", "seed").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(first).alias("digest")
-    )
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("digest"))
 
 
 def _own_rows(r: DataFrame, s: DataFrame) -> DataFrame:
@@ -266,8 +264,8 @@ def row_queries(seeds) -> Queries:
             lambda r, s: strategy(mcar_rows(r, s, seeds, RATE), missing="missing").select(*FITTED)
         )
 
-    def masked(r, s):
-        return mar_rows(r, s, seeds, MAR_SCRIPT)
+    def masked(r, s, totals=None):
+        return mar_rows(r, s, seeds, MAR_SCRIPT, totals=totals)
 
     def few(r, s):
         return mar_rows(r, s, [x for x in seeds if x in ROW_SEEDS], MAR_SCRIPT)
@@ -288,7 +286,9 @@ def row_queries(seeds) -> Queries:
         "mar_dropout": _trial(lambda r, s: mar_dropout(r, s, seeds, MAR_SCRIPT)),
         "mar_masked_long": _trial(lambda r, s: _per_visit(masked(r, s), LAGGED)),
         "mar_masked_rows": _trial(lambda r, s: few(r, s).select(*listed, LAGGED)),
-        "mar_masked_digest": _trial(lambda r, s: _digest(masked(r, s), LAGGED)),
+        "mar_masked_digest": _trial(
+            lambda r, s: _digest(masked(r, s), ["scenario", "seed"], LAGGED)
+        ),
         "mar_completers": mar(completers),
         "mar_composite": mar(impute_composite),
         "mar_locf": mar(impute_locf),
@@ -299,7 +299,9 @@ def row_queries(seeds) -> Queries:
             lambda r, s: impute_locf(few(r, s), mode="last_observed").select(*listed)
         ),
         "mar_last_observed_digest": _trial(
-            lambda r, s: _digest(impute_locf(masked(r, s), mode="last_observed"))
+            lambda r, s: masked(
+                r, s, lambda rows, by: _digest(impute_locf(rows, mode="last_observed"), by)
+            )
         ),
         "mar_locf_all_visits": _ratios(lambda r, s: mar_locf_all_visits(r, s, seeds)),
     }

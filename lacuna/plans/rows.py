@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,9 @@ from lacuna.operators.profile import poor_before, subject_profile
 from lacuna.sources.tables import scenario_grid, subject_universe
 from lacuna.study import DEFAULT_STUDY, MarRates, Study, mcar_label
 
+#: Masked rows and the columns to group by -> sums per group.
+Totals = Callable[[DataFrame, list[str]], DataFrame]
+
 
 def scenario_label(labels: Sequence[str], at: Column) -> Column:
     """Label by zero-based index."""
@@ -137,34 +140,67 @@ def mar_rows(
     study: Study = DEFAULT_STUDY,
     skip_visit: bool = True,
     setup: tuple[DataFrame, Draws] | None = None,
+    totals: Totals | None = None,
 ) -> DataFrame:
     """Masked response rows of every replicate, with lag and last observed values.
 
     Lags are taken over all visits and before masking. ``setup`` is what
     ``mar_setup`` gives, if it is known already.
+
+    ``totals`` is for callers who need no more than sums over the rows. It is given
+    the masked rows without scenario and seed, and the columns to group by, and
+    returns its sums per group; the result is then these sums per scenario and seed.
     """
     pools, draws = setup or mar_setup(responses, subjects, seeds, rates, study)
     rows = response_history(parameter_rows(responses, study, skip_visit=False), study)
     if skip_visit and study.skipped_visit is not None:
         rows = rows.filter(F.col("AVISITN") != study.skipped_visit)
     rows = with_sex(rows, subjects).join(pools, "SUBJID")
+    labels = {
+        "scenario": scenario_label([r.label for r in rates], scenario_of(len(rates))),
+        "seed": seed_of(len(rates)),
+    }
     rows, size = settle_counting(rows, n=F.count(F.lit(1)))
+    if totals is not None:
+        summed = _totalled(rows, draws, study, totals)
+        names = [c for c in summed.columns if c != "replicate"]
+        summed = summed.withColumns(labels).groupBy(*labels)
+        return summed.agg(*[F.sum(c).alias(c) for c in names])
     rows = rows.repartition(tasks_for(rows.sparkSession, size["n"] * draws.n_replicates))
     marked = mark_dropout(rows, draws, study)
     return (
         mask_from(marked)
-        .withColumns(
-            {
-                "scenario": scenario_label(
-                    [r.label for r in rates], scenario_of(len(rates))
-                ),
-                "seed": seed_of(len(rates)),
-            }
-        )
+        .withColumns(labels)
         .drop("replicate", "in_universe", *map(poor_before, study.dropout_visits))
     )
 
 
+def _totalled(rows: DataFrame, draws: Draws, study: Study, totals: Totals) -> DataFrame:
+    """Sums over the masked rows per replicate.
+
+    All that a masked row takes from its replicate is the visit at which its subject
+    leaves. So each row is masked and summed once for every such visit and for
+    staying, and what is repeated over the replicates is one row per subject with
+    the sums of each case.
+    """
+    by = ["SUBJID", "in_universe", *map(poor_before, study.dropout_visits)]
+    visits = [None, *study.dropout_visits]
+    case = F.explode(F.array(*[F.lit(v).cast("int") for v in visits]))
+    masked = mask_from(rows.select("*", case.alias("dropout_visit")))
+    sums = totals(masked, [*by, "dropout_visit"])
+    names = [c for c in sums.columns if c not in (*by, "dropout_visit")]
+
+    def at(visit: int | None) -> Column:
+        return F.col("dropout_visit").eqNullSafe(F.lit(visit).cast("int"))
+
+    cases = [F.sum(F.when(at(v), F.col(c))).alias(f"_{c}_{v}") for c in names for v in visits]
+    profile, size = settle_counting(sums.groupBy(*by).agg(*cases), n=F.count(F.lit(1)))
+    profile = spread(profile, size["n"], draws.n_replicates)
+    marked = mark_dropout(profile, draws, study)
+    own = {c: F.coalesce(*[F.when(at(v), F.col(f"_{c}_{v}")) for v in visits]) for c in names}
+    return marked.groupBy("replicate").agg(*[F.sum(value).alias(c) for c, value in own.items()])
+
+
 def scenario_sizes(
     responses: DataFrame,
     subjects: DataFrame,
