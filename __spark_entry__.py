@@ -287,7 +287,7 @@ def row_queries(seeds) -> Queries:
         "mar_masked_long": _trial(lambda r, s: _per_visit(masked(r, s), LAGGED)),
         "mar_masked_rows": _trial(lambda r, s: few(r, s).select(*listed, LAGGED)),
         "mar_masked_digest": _trial(
-            lambda r, s: _digest(masked(r, s), ["scenario", "seed"], LAGGED)
+            lambda r, s: masked(r, s, lambda rows, by: _digest(rows, by, LAGGED))
         ),
         "mar_completers": mar(completers),
         "mar_composite": mar(impute_composite),

@@ -12,7 +12,7 @@ import __spark_entry__ as registered
 from lacuna.operators import impute_locf
 from lacuna.plans.rows import mar_rows
 from lacuna.sources import trial_tables
-from lacuna.study import MAR_SCRIPT, RESPONSE, MarRates
+from lacuna.study import LAGGED, MAR_SCRIPT, RESPONSE, MarRates
 from tests.test_mechanisms import people
 
 MODES = {
@@ -49,7 +49,7 @@ def by_hand(rows, *more):
     return out
 
 
-@pytest.mark.parametrize("name, more", [("mar_last_observed_digest", [])])
+@pytest.mark.parametrize("name, more", [("mar_last_observed_digest", []), ("mar_masked_digest", [LAGGED])])
 def test_digest_of_all_rows_hashes_a_row_once_per_dropout_visit(spark, tables, name, more):
     seeds = range(1, 31)
     found = registered.row_queries(seeds)[name](spark, tables)
